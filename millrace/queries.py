@@ -1,10 +1,382 @@
-"""The catalogue's queries over the given tables, and the SQL that each must equal."""
+"""The catalogue's queries over the given tables, and the SQL that each must equal.
+
+Places are nations, topics are market segments, records are customers; pages and
+documents are crawled pages, orders are runs, events are log lines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace.functions import text as T
+from millrace.operators import dedupe, merging
+from millrace.plans import acquire, serving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The given tables by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Registers a function of Tables under its name, with its SQL."""
+
+    def register(build: Callable[[Tables], DataFrame]):
+        QUERIES[build.__name__] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[build.__name__] = sql
+        return build
+
+    return register
+
+
+def records(t: Tables) -> DataFrame:
+    """Customers as records of a place and a topic."""
+    places = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("city"), "n_regionkey")
+    return t.customer.join(places, "c_nationkey").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "city", F.col("c_mktsegment").alias("topic"),
+        F.col("c_acctbal").alias("score"), "n_regionkey",
+    )
+
+
+RECORDS = "(SELECT c_custkey AS id, c_name AS name, n_name AS city, c_mktsegment AS topic, c_acctbal AS score, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+
+
+@query(f"SELECT topic, count(*) AS n FROM {RECORDS} GROUP BY topic")
+def topic_counts(t: Tables) -> DataFrame:
+    return serving.topic_counts(records(t))
+
+
+@query(f"SELECT city, topic, count(*) AS n FROM {RECORDS} GROUP BY city, topic")
+def city_topic_counts(t: Tables) -> DataFrame:
+    return serving.city_topic_counts(records(t))
+
+
+@query(f"SELECT city, string_agg(topic || '=' || n, ',' ORDER BY topic) AS counts FROM (SELECT city, topic, count(*) AS n FROM {RECORDS} GROUP BY city, topic) GROUP BY city")
+def city_topic_map(t: Tables) -> DataFrame:
+    nested = serving.city_topic_map(records(t))
+    pairs = F.transform(F.array_sort(F.map_entries("topics")), lambda e: F.concat_ws("=", e.key, e.value.cast("string")))
+    return nested.select("city", F.array_join(pairs, ",").alias("counts"))
+
+
+@query(f"SELECT city, count(*) AS n FROM {RECORDS} GROUP BY city ORDER BY n DESC, city LIMIT 8")
+def city_totals(t: Tables) -> DataFrame:
+    return serving.top_cities(records(t), 8)
+
+
+@query(f"SELECT count(*) AS n FROM {RECORDS}")
+def total_count(t: Tables) -> DataFrame:
+    return records(t).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT n_name AS city, s.topic, count(r.id) AS n FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment AS topic FROM customer) s LEFT JOIN {RECORDS} r ON r.city = n_name AND r.topic = s.topic GROUP BY n_name, s.topic")
+def city_topic_matrix_zero(t: Tables) -> DataFrame:
+    cities = t.nation.select(F.col("n_name").alias("city"))
+    topics = t.customer.select(F.col("c_mktsegment").alias("topic")).distinct()
+    return serving.zero_filled(records(t), cities, topics)
+
+
+@query(f"""
+WITH n AS (SELECT topic, city, count(*) AS n FROM {RECORDS} GROUP BY topic, city),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, city) AS place, sum(n) OVER (PARTITION BY topic) AS total FROM n),
+m AS (SELECT topic, city, id, name, row_number() OVER (PARTITION BY topic, city ORDER BY id) AS nth FROM {RECORDS})
+SELECT topic, city, n, place, cast(total AS BIGINT) AS total, nth, id, name FROM r JOIN m USING (topic, city) WHERE place <= 6 AND nth <= 4""")
+def cross_city_top6_first4(t: Tables) -> DataFrame:
+    return serving.top_cities_with_members(records(t), 6, 4)
+
+
+@query(f"SELECT city, topic, n, coalesce(r_name, '') AS country FROM (SELECT city, topic, n_regionkey, count(*) AS n FROM {RECORDS} GROUP BY ALL) LEFT JOIN region ON n_regionkey = r_regionkey")
+def results_with_country(t: Tables) -> DataFrame:
+    counts = records(t).groupBy("city", "topic", "n_regionkey").agg(F.count("*").alias("n"))
+    regions = t.region.select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name"))
+    return counts.join(regions, "n_regionkey", "left").select("city", "topic", "n", F.coalesce("r_name", F.lit("")).alias("country"))
+
+
+@query(f"SELECT city, topic, n FROM (SELECT city, topic, count(*) AS n FROM {RECORDS} GROUP BY ALL) WHERE CASE WHEN n >= 2 THEN '2+' ELSE cast(n AS VARCHAR) END = '2+' AND topic IN ('BUILDING', 'MACHINERY')")
+def faceted_results(t: Tables) -> DataFrame:
+    return serving.faceted(serving.city_topic_counts(records(t)), topics=["BUILDING", "MACHINERY"], bucket="2+")
+
+
+@query("SELECT cast(count(*) AS BIGINT) AS total, cast(count_if(props IS NOT NULL) AS BIGINT) AS with_text, cast(count_if(event_type = 'purchase') AS BIGINT) AS with_extract, cast(count_if(value > 50) AS BIGINT) AS with_enrich FROM events")
+def cache_stats(t: Tables) -> DataFrame:
+    return t.events.agg(
+        F.count("*").alias("total"), F.count_if(F.col("props").isNotNull()).alias("with_text"),
+        F.count_if(F.col("event_type") == "purchase").alias("with_extract"), F.count_if(F.col("value") > 50).alias("with_enrich"),
+    )
+
+
+@query("SELECT CASE WHEN value > 50 THEN 'enriched' WHEN event_type = 'purchase' THEN 'extracted' WHEN props IS NOT NULL THEN 'scraped' ELSE 'empty' END AS stage, count(*) AS n FROM events GROUP BY 1")
+def stage_facets(t: Tables) -> DataFrame:
+    stage = F.when(F.col("value") > 50, "enriched").when(F.col("event_type") == "purchase", "extracted")
+    stage = stage.when(F.col("props").isNotNull(), "scraped").otherwise("empty")
+    return t.events.groupBy(stage.alias("stage")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS facet_values FROM events WHERE event_type IS NOT NULL")
+def facet_values(t: Tables) -> DataFrame:
+    return t.events.agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("facet_values"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderstatus = 'F', coalesce(strftime(o_orderdate, '%Y-%m-%d'), '0000') DESC, o_orderkey) AS place FROM orders")
+def cache_index_order(t: Tables) -> DataFrame:
+    order = Window.partitionBy("o_orderpriority").orderBy(
+        (F.col("o_orderstatus") == "F").asc(), F.coalesce(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("0000")).desc(), "o_orderkey"
+    )
+    return t.orders.select("o_orderkey", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS domain, sha256(url)[1:16] AS url_hash FROM pages")
+def url_domain_hash(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", T.authority(F.col("url")).alias("domain"), T.url_hash(F.col("url")).alias("url_hash"))
+
+
+BLOCKED = ["example.net", "www."]
+
+
+@query(r"SELECT page_id, url FROM pages WHERE NOT contains(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), 'example.net') AND NOT contains(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), 'www.')")
+def blocked_domains(t: Tables) -> DataFrame:
+    return t.pages.where(~T.blocked(F.col("url"), BLOCKED)).select("page_id", "url")
+
+
+@query("SELECT page_id, 'https://' || regexp_replace(url, '^https?://', '') AS website FROM pages")
+def ensure_scheme(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", T.ensure_scheme(T.without_scheme(F.col("url"))).alias("website"))
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') AS name_key FROM part")
+def norm_key(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", T.norm_key(F.col("p_name")).alias("name_key"))
+
+
+@query(f"SELECT id, sha256(lower(name) || '|' || lower(city))[1:12] AS community_id FROM {RECORDS}")
+def community_id(t: Tables) -> DataFrame:
+    return records(t).select("id", T.community_id(F.col("name"), F.col("city")).alias("community_id"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(lower(regexp_replace(replace(strip_accents(text), 'ß', ''), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+def slug(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", T.slug(F.col("text")).alias("slug"))
+
+
+@query("SELECT doc_id, regexp_replace(lower(trim(text)), '^(a|az|the|die|le|la|el|los|las) ', '') AS bare FROM documents")
+def strip_article(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", T.strip_article(F.col("text")).alias("bare"))
+
+
+@query(r"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+def html_title(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", T.html_title(F.col("html")).alias("title"))
+
+
+@query(r"""SELECT page_id, text FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+ '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<nav[^>]*>.*?</nav>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g')) AS text FROM pages) WHERE length(text) >= 100""")
+def html_text(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", T.main_text(F.col("html")).alias("text")).where("text IS NOT NULL")
+
+
+def _halves(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Stored rows, and a delta that overlaps them: orders, and those of even keys with another status."""
+    rows = t.orders.select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"))
+    return rows.where("o_orderkey % 3 <> 0"), rows.where("o_orderkey % 2 = 0").withColumn("status", F.lit("N"))
+
+
+@query("SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, coalesce(b.o_custkey, a.o_custkey) AS o_custkey, CASE WHEN b.o_orderkey IS NULL THEN a.o_orderstatus WHEN a.o_orderkey IS NULL THEN 'N' ELSE 'N<' || a.o_orderstatus END AS status FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) b ON a.o_orderkey = b.o_orderkey")
+def keyed_upsert(t: Tables) -> DataFrame:
+    old, new = _halves(t)
+    return merging.upsert(old, new, ["o_orderkey"], {"status": F.concat_ws("<", "new.status", "old.status")})
+
+
+@query("SELECT o_orderkey, o_orderpriority AS topic, 'old' AS side FROM orders WHERE o_orderpriority NOT IN (SELECT o_orderpriority FROM orders WHERE o_orderkey % 7 = 0 AND o_orderpriority < '3') UNION ALL SELECT o_orderkey, o_orderpriority, 'new' FROM orders WHERE o_orderkey % 7 = 0 AND o_orderpriority < '3'")
+def replace_partition(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("topic"))
+    new = rows.where("o_orderkey % 7 = 0 AND topic < '3'").withColumn("side", F.lit("new"))
+    return merging.replace_partitions(rows.withColumn("side", F.lit("old")), new, ["topic"])
+
+
+@query("SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY k) AS sources FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS k FROM orders GROUP BY ALL) GROUP BY o_custkey")
+def merge_source_urls(t: Tables) -> DataFrame:
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x.o_orderpriority)
+    held = t.orders.groupBy("o_custkey").agg(ordered.alias("new"))
+    return held.select("o_custkey", F.array_join(T.merged_distinct(F.col("new"), F.slice("new", 1, 2)), ",").alias("sources"))
+
+
+@query("SELECT c_nationkey, string_agg(c_mktsegment, ',' ORDER BY k) AS tags FROM (SELECT c_nationkey, c_mktsegment, min(c_custkey) AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY min(c_custkey)) AS n FROM customer GROUP BY c_nationkey, c_mktsegment) WHERE n <= 3 GROUP BY c_nationkey")
+def tags_cap(t: Tables) -> DataFrame:
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))), lambda x: F.concat(F.lit(" "), x.c_mktsegment))
+    return t.customer.groupBy("c_nationkey").agg(ordered.alias("tags")).select("c_nationkey", F.array_join(T.clean_tags(F.col("tags"), 3), ",").alias("tags"))
+
+
+@query("SELECT sha256(text)[1:16] AS text_hash, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY 1")
+def first_seen_text(t: Tables) -> DataFrame:
+    rows = t.documents.select(T.sha_prefix(F.col("text"), 16).alias("text_hash"), "doc_id", "source")
+    return merging.first_seen(rows, ["text_hash"], ["doc_id"])
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
+def last_write_wins(t: Tables) -> DataFrame:
+    return merging.last_write(t.events.select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
+
+
+@query("SELECT user_id, event_id, event_type, coalesce(before, 'base') AS before, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type")
+def version_changes(t: Tables) -> DataFrame:
+    return serving.versions(t.events.select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
+
+
+@query("SELECT o_orderpriority, string_agg('- ' || o_orderstatus || ' (' || k || ')', chr(10) ORDER BY k) AS bullets FROM (SELECT o_orderpriority, o_orderstatus, min(o_orderkey) AS k FROM orders GROUP BY ALL) GROUP BY o_orderpriority")
+def negative_bullets(t: Tables) -> DataFrame:
+    rows = t.orders.groupBy("o_orderpriority", "o_orderstatus").agg(F.min("o_orderkey").alias("k"))
+    return serving.bullets(rows, "o_orderpriority", "o_orderstatus", "k")
+
+
+@query("""SELECT n_nationkey, '{"@type":"SportsClub","name":"' || n_name || '","location":{"@type":"Place","address":"' || r_name || '"}}' AS document FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def jsonld_doc(t: Tables) -> DataFrame:
+    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select("n_nationkey", serving.jsonld(F.lit("SportsClub"), F.col("n_name"), F.col("r_name"), F.lit(None)).alias("document"))
+
+
+@query("SELECT event_id, cast(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def json_field(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN q < 60 THEN printf('%.1f', q) || 's' ELSE cast(floor(q / 60) AS INTEGER) || 'm ' || cast(floor(q) % 60 AS INTEGER) || 's' END AS took FROM (SELECT *, l_quantity * 3 AS q FROM lineitem)")
+def fmt_duration(t: Tables) -> DataFrame:
+    return t.lineitem.select("l_orderkey", "l_linenumber", T.duration(F.col("l_quantity") * 3).alias("took"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS minute, strftime(ts, '%H:%M:%S') AS clock FROM events")
+def fmt_time(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute"), F.date_format("ts", "HH:mm:ss").alias("clock"))
+
+
+@query(f"SELECT city, n, round(greatest(7.0, least(22.0, 5 + sqrt(n) * 1.6)), 6) AS radius FROM (SELECT city, count(*) AS n FROM {RECORDS} GROUP BY city)")
+def map_radius(t: Tables) -> DataFrame:
+    counts = records(t).groupBy("city").agg(F.count("*").alias("n"))
+    return counts.select("city", "n", F.round(T.map_radius(F.col("n")), 6).alias("radius"))
+
+
+@query("SELECT doc_id, source, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS negative FROM documents")
+def mark_negative(t: Tables) -> DataFrame:
+    return merging.marked(t.documents.select("doc_id", "source"), t.labels.where("toxic = 1").select("doc_id"), "negative")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def semi_negative(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", "source").join(t.labels.where("toxic = 1"), "doc_id", "left_semi")
+
+
+@query("SELECT d.doc_id, sha256(text)[1:16] AS text_hash, l.doc_id IS NOT NULL AS hit FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id")
+def cache_lookup(t: Tables) -> DataFrame:
+    wanted = t.documents.select("doc_id", T.sha_prefix(F.col("text"), 16).alias("text_hash"))
+    return acquire.with_hits(wanted, t.labels.where("quality = 1").select("doc_id"), ["doc_id"])
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def anti_cache_miss(t: Tables) -> DataFrame:
+    return acquire.misses(t.documents.select("doc_id"), t.labels.where("quality = 1"), ["doc_id"])
+
+
+@query("SELECT a.o_orderkey, b.o_orderkey AS related FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND a.o_orderkey <> b.o_orderkey")
+def self_related(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority")
+    return acquire.related(rows, ["o_custkey", "o_orderpriority"], "o_orderkey")
+
+
+@query("""SELECT n_name AS city, topic, query_no, CASE query_no WHEN 0 THEN lower(topic) || ' ' || n_name WHEN 1 THEN lower(topic) || ' club ' || n_name ELSE lower(topic) || ' ' || n_name || ' ' || r_name END AS query
+FROM nation JOIN region ON n_regionkey = r_regionkey CROSS JOIN (SELECT DISTINCT c_mktsegment AS topic FROM customer) CROSS JOIN (SELECT unnest([0, 1, 2]) AS query_no)""")
+def query_generator(t: Tables) -> DataFrame:
+    named = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    cities = named.select(
+        F.col("n_name").alias("city"), F.lit("xx").alias("locale"), F.array("n_name", F.concat_ws(" ", "n_name", "r_name")).alias("search_variants")
+    )
+    word = F.lower("topic")
+    terms = F.create_map(F.lit("en"), F.array(word, F.concat_ws(" ", word, F.lit("club")), F.concat_ws(" ", word, F.lit("group"))))
+    topics = t.customer.select(F.col("c_mktsegment").alias("topic")).distinct().select("topic", terms.alias("search_terms"))
+    return acquire.search_queries(acquire.pairs(cities, topics)).select("city", "topic", F.col("query_no").cast("int"), "query")
+
+
+@query("SELECT o_custkey, o_orderkey, n FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY k, o_orderkey) AS n FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS o_orderkey, min(o_orderkey) AS k FROM orders GROUP BY ALL)) WHERE n <= 5")
+def pages_per_pair(t: Tables) -> DataFrame:
+    """Of results that several queries found the first, then the first five of each pair."""
+    found = t.orders.select("o_custkey", F.col("o_orderpriority").alias("url"), "o_orderkey")
+    return acquire.first_pages(found, ["o_custkey"], "url", "o_orderkey", 5).select("o_custkey", "o_orderkey", "n")
+
+
+@query("SELECT o_orderkey, o_orderstatus = 'F' AS success, o_orderdate FROM orders ORDER BY o_orderkey DESC LIMIT 20")
+def recent_runs(t: Tables) -> DataFrame:
+    runs = t.orders.select("o_orderkey", (F.col("o_orderstatus") == "F").alias("success"), "o_orderdate")
+    return runs.orderBy(F.desc("o_orderkey")).limit(20)
+
+
+@query("SELECT max(o_orderkey) AS id, arg_max(o_orderdate, o_orderkey) AS finished_at FROM orders WHERE o_orderstatus = 'F'")
+def last_success(t: Tables) -> DataFrame:
+    return t.orders.where("o_orderstatus = 'F'").agg(F.max("o_orderkey").alias("id"), F.max_by("o_orderdate", "o_orderkey").alias("finished_at"))
+
+
+@query("SELECT user_id, event_type, count(*) AS urls_found, cast(count_if(value > 90) AS BIGINT) AS fetch_failed, cast(count_if(value < 20) AS BIGINT) AS cache_hits, cast(sum(count(*)) OVER (PARTITION BY user_id) AS BIGINT) AS of_user FROM events GROUP BY user_id, event_type")
+def run_log_rollup(t: Tables) -> DataFrame:
+    pairs = t.events.groupBy("user_id", "event_type").agg(
+        F.count("*").alias("urls_found"), F.count_if(F.col("value") > 90).alias("fetch_failed"), F.count_if(F.col("value") < 20).alias("cache_hits")
+    )
+    return pairs.withColumn("of_user", F.sum("urls_found").over(Window.partitionBy("user_id")))
+
+
+@query(f"SELECT coalesce(city, '*') AS city, coalesce(topic, '*') AS topic, count(*) AS n FROM {RECORDS} GROUP BY ROLLUP (city, topic)")
+def city_topic_rollup(t: Tables) -> DataFrame:
+    totals = records(t).rollup("city", "topic").agg(F.count("*").alias("n"))
+    return totals.select(F.coalesce("city", F.lit("*")).alias("city"), F.coalesce("topic", F.lit("*")).alias("topic"), "n")
+
+
+@query("SELECT conv_id, turn, 'Page for ' || role || chr(10) || substr(text, 1, 120) AS prompt, CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '…' ELSE text END AS short FROM conversations")
+def prompt_render(t: Tables) -> DataFrame:
+    template = F.lit("Page for {role}\n{text}")
+    prompt = T.interpolated(template, {"role": F.col("role"), "text": F.substr("text", F.lit(1), F.lit(120))})
+    return t.conversations.select("conv_id", "turn", prompt.alias("prompt"), T.clipped(F.col("text"), 40).alias("short"))
+
+
+@query("SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
+def html_escape(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", T.escape_html(F.col("html")).alias("escaped"))
+
+
+@query("SELECT p_partkey, cast(p_brand <> '' AS INTEGER) + cast(p_type <> '' AS INTEGER) + 2 AS richness FROM part")
+def richness(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", T.richness([F.col("p_brand"), F.col("p_type")], F.array(F.lit("a"), F.lit("b"))).cast("int").alias("richness"))
+
+
+@query("SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) b ON a.o_orderkey = b.o_orderkey")
+def snapshot_diff(t: Tables) -> DataFrame:
+    return merging.snapshot_diff(*_halves(t), ["o_orderkey"])
+
+
+@query()
+def fuzzy_dedupe(t: Tables) -> DataFrame:
+    rows = t.part.select("p_partkey", "p_name", "p_brand", "p_size", "p_type")
+    return dedupe.fuzzy_dedupe(rows, ["p_brand", "p_size"], F.col("p_name"), F.lit(None).cast("string"), F.length("p_type"), F.col("p_partkey"))
+
+
+@query("SELECT user_id, time_bucket(INTERVAL 1 hour, ts) AS hour, count(*) AS n, max(value) AS top FROM events GROUP BY ALL")
+def events_tumbling(t: Tables) -> DataFrame:
+    """An extension: the reference has no event-time windows."""
+    return t.events.groupBy("user_id", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.max("value").alias("top")).select(
+        "user_id", F.col("w.start").alias("hour"), "n", "top"
+    )
+
+
+@query("SELECT user_id, min(ts) AS first, count(*) AS n FROM (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 minute THEN 0 ELSE 1 END AS gap FROM events)) GROUP BY user_id, s")
+def events_session(t: Tables) -> DataFrame:
+    """An extension: sessions with a gap of 30 minutes."""
+    return t.events.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select(
+        "user_id", F.col("w.start").alias("first"), "n"
+    )
