@@ -1,7 +1,8 @@
 """Packing documents into fixed-length sequences as a cutting-stock problem.
 
 Documents become token ids and are cut at multiples of the sequence length;
-what is left of each is a piece shorter than a sequence. The histogram of piece
+what is left of each is a piece shorter than a sequence, or, where lengths are such
+that whole ones would leave much padding, several smaller pieces. The histogram of piece
 lengths, of a fixed number of classes whatever the number of documents, goes
 into a linear program over patterns (how many pieces of each class share one
 sequence). Columns are priced by a knapsack dynamic program. The rounded
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import written
 
 LENGTH = 1024
+#: What is left of a document is cut to pieces of so many ids if whole ones need more than PADDING of all room.
+SMALL, PADDING = 128, 0.02
 #: Piece lengths are rounded up to a multiple of this for the linear program only.
 GRAIN = 8
 #: Columns that are priced at most, and how far from the best bound the program may end; its size doesn't depend on the data's.
@@ -106,11 +109,25 @@ def _chunks(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
     yield ids[at:], texts[at:]
 
 
+def _cuts(total: int, length: int) -> Iterator[tuple[int, int, int]]:
+    """(start, length, size) of the pieces of a document, what is left of it in both ways."""
+    for start in range(0, total, length):
+        n = min(length, total - start)
+        if n == length or n <= SMALL:
+            yield start, n, 0
+        else:
+            yield start, n, length
+            for at in range(start, start + n, SMALL):
+                yield at, min(SMALL, start + n - at), SMALL
+
+
 def cut(documents: DataFrame, vocabulary: str | None = None, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, and where they rank.
 
-    `part` is the task that cut the piece, `class` its length in grains, `rank`
-    its place among that task's pieces of the class. with_ids adds the ids.
+    `size` is 0 for pieces that are the same either way, `length` for what is left as one
+    piece, SMALL for the same in small pieces. `part` is the task that cut the piece,
+    `class` its length in grains, `rank` its place among that task's pieces of its size and class.
+    with_ids adds the ids.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
@@ -125,22 +142,21 @@ def cut(documents: DataFrame, vocabulary: str | None = None, length: int = LENGT
                 rows = []
                 for doc, ids in zip(own, _tokens[path].encode(some)):
                     total = len(ids) // 4
-                    for start in range(0, total, length):
-                        n = min(length, total - start)
+                    for start, n, size in _cuts(total, length):
                         piece = ids[4 * start : 4 * (start + n)]
                         kind = -(-n // GRAIN)
-                        rows.append((doc, start, n, zlib.crc32(piece), total, part, kind, seen[kind], piece))
-                        seen[kind] += 1
+                        rows.append((doc, start, n, zlib.crc32(piece), total, part, size, kind, seen[size, kind], piece))
+                        seen[size, kind] += 1
                 if rows:
-                    columns = list(zip(*rows))[: 9 if with_ids else 8]
+                    columns = list(zip(*rows))[: 10 if with_ids else 9]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
     fields = [
         ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
-        ("doc_tokens", pa.int64()), ("part", pa.int32()), ("class", pa.int32()), ("rank", pa.int64()), ("ids", pa.binary()),
-    ][: 9 if with_ids else 8]
+        ("doc_tokens", pa.int64()), ("part", pa.int32()), ("size", pa.int32()), ("class", pa.int32()), ("rank", pa.int64()), ("ids", pa.binary()),
+    ][: 10 if with_ids else 9]
     schema = (
-        "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, class int, rank bigint"
+        "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, size int, class int, rank bigint"
     )
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(run, schema + ", ids binary" * with_ids)
@@ -229,23 +245,37 @@ def pack(documents: DataFrame, vocabulary: str | None = None, length: int = LENG
     as often as they come. Extra columns are not read; an empty table gives no rows.
     """
     spark = documents.sparkSession
-    pieces = written(cut(documents, vocabulary, length, with_ids))
-    counts = written(pieces.groupBy("part", "class").agg((F.max("rank") + 1).alias("n")))
-    # One row for each class, of which there are length / GRAIN at most.
-    demand = {r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()}
+    every = written(cut(documents, vocabulary, length, with_ids))
+    counts = written(every.groupBy("part", "size", "class").agg((F.max("rank") + 1).alias("n"), F.sum("length").alias("ids")))
+    # One row for each size and class, of which there are three times length / GRAIN at most.
+    sums = counts.groupBy("size", "class").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids")).collect()
+    room, best = length // GRAIN, None
+    for left in (length, SMALL):
+        demand = Counter()
+        for r in sums:
+            if r["size"] in (0, left):
+                demand[r["class"]] += r["n"]
+        found = patterns(demand, room)
+        needed = sum(times for _, times in found)
+        if best is None or needed < best[0]:
+            best = needed, left, found
+        if needed * length * (1 - PADDING) <= sum(r["ids"] for r in sums if r["size"] in (0, left)):
+            break
+    _, left, found = best
     slots, sequence, taken = [], 0, Counter()
-    for pattern, times in patterns(demand, length // GRAIN):
+    for pattern, times in found:
         for kind, each in pattern.items():
             slots.append((kind, taken[kind], taken[kind] + each * times, each, sequence))
             taken[kind] += each * times
         sequence += times
+    pieces = every.where(F.col("size").isin(0, left))
     deal = spark.createDataFrame(slots, "class int, low bigint, high bigint, each bigint, first bigint")
     deal = deal.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("low", "high", "each", "first"))).alias("deal"))
-    before = counts.withColumn(
+    before = counts.where(F.col("size").isin(0, left)).withColumn(
         "before",
-        F.sum("n").over(Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"),
-    ).drop("n")
-    ranked = pieces.join(before, ["part", "class"]).join(F.broadcast(deal), "class")
+        F.sum("n").over(Window.partitionBy("class").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"),
+    ).drop("n", "ids")
+    ranked = pieces.join(before, ["part", "size", "class"]).join(F.broadcast(deal), "class")
     at = F.col("rank") + F.col("before")
     placed = ranked.withColumn("at", at).withColumn(
         "slot", F.get(F.filter("deal", lambda d: (d.low <= F.col("at")) & (F.col("at") < d.high)), F.lit(0))
