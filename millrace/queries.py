@@ -6,6 +6,8 @@ documents are crawled pages, orders are runs, events are log lines.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +15,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import dedupe, merging
-from millrace.plans import acquire, serving
+from millrace.plans import acquire, enrich, extract, serving
+from millrace.sources import connectors
+from millrace.streaming import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -380,3 +384,114 @@ def events_session(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select(
         "user_id", F.col("w.start").alias("first"), "n"
     )
+
+
+@query(f"""SELECT id, name, 'https://' || lower(city) || '.example.org' AS website, 'a,b' AS tags, sha256(lower(name) || '|' || lower(city))[1:12] AS community_id, 'x@y' AS email
+FROM {RECORDS} WHERE id % 5 <> 0""")
+def extract_records(t: Tables) -> DataFrame:
+    """Replies as a service would give them, parsed, validated and cut to those that may be joined."""
+    item = F.struct(
+        "name", F.concat(F.lower("city"), F.lit(".example.org ")).alias("website"), F.array(F.lit(" a"), F.lit("b"), F.lit("a"), F.lit("")).alias("tags"),
+        F.lit("x@y").alias("email"), F.lit("none").alias("phone"), (F.col("id") % 5 != 0).alias("joinable"), F.array(F.lit("no link")).alias("social_links"),
+    )
+    raw = F.to_json(F.struct(F.array(item, F.struct(*[F.lit(None).cast(k).alias(n) for n, k in (("name", "string"), ("website", "string"), ("tags", "array<string>"), ("email", "string"), ("phone", "string"), ("joinable", "boolean"), ("social_links", "array<string>"))])).alias("communities")))
+    replies = records(t).select("city", "topic", F.concat(F.lit("http://p/"), F.col("id").cast("string")).alias("url"), raw.alias("raw"))
+    found = extract.joinable(extract.parsed(replies))
+    return found.select(
+        F.substring_index("source_url", "/", -1).cast("long").alias("id"), "name", "website", F.array_join("tags", ",").alias("tags"), "community_id", "email"
+    )
+
+
+@query("SELECT c_custkey AS record_key, CASE WHEN c_custkey % 3 = 0 THEN 'https://own' WHEN o.k IS NOT NULL THEN 'https://found/' || o.k END AS website, c_custkey % 3 <> 0 AND o.k IS NOT NULL AS enriched FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS k FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey) o ON o_custkey = c_custkey")
+def enrich_fill(t: Tables) -> DataFrame:
+    """Records without a website get that of their first candidate that has one."""
+    text, links = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    record = t.customer.select(
+        F.col("c_custkey").alias("record_key"), F.col("c_name").alias("name"), F.lit("c").alias("city"), F.lit("http://s").alias("source_url"),
+        F.when(F.col("c_custkey") % 3 == 0, "own").alias("website"),
+        *[text.alias(c) for c in (*extract.TEXTS, "email", "community_id")], *[links.alias(c) for c in ("social_links", "tags", "source_urls")],
+        F.lit(True).alias("joinable"), F.lit(0).alias("founding_year"),
+    )
+    useful = F.when(F.col("o_orderstatus") != "F", F.concat(F.lit("https://found/"), F.col("o_orderkey").cast("string")))
+    replies = t.orders.select(
+        F.col("o_custkey").alias("record_key"), F.col("o_orderkey").alias("candidate_rank"), useful.alias("website"),
+        *[text.alias(c) for c in ("contact", "email", "phone")], links.alias("social_links"),
+    )
+    done = enrich.enriched(record.withColumn("website", T.ensure_scheme(F.col("website"))), enrich.first_success(replies, most=1 << 60))
+    return done.select("record_key", "website", "enriched")
+
+
+@query("SELECT page_id, CASE WHEN contains(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), 'example.net') THEN 'blocked' WHEN page_id % 10 = 0 THEN 'error' WHEN page_id % 10 = 1 THEN 'not_html' ELSE 'ok' END AS status FROM pages")
+def page_status(t: Tables) -> DataFrame:
+    pages = t.pages.select(
+        "page_id", "url", F.when(F.col("page_id") % 10 == 0, 404).otherwise(200).alias("status"),
+        F.when(F.col("page_id") % 10 == 1, "application/pdf").otherwise("text/html; charset=utf-8").alias("content_type"), "html",
+    )
+    return connectors.usable_pages(pages, ["example.net"]).select("page_id", "status")
+
+
+@query("SELECT lower(trim(email)) AS email, topic, arg_min(token, token) AS token FROM (SELECT ' C' || o_custkey || '@X.org' AS email, o_orderpriority AS topic, o_orderkey AS token FROM orders) GROUP BY ALL")
+def subscriptions(t: Tables) -> DataFrame:
+    """First come, first kept: odd orders are stored, even ones are added where absent."""
+    email = T.email_key(F.concat(F.lit(" C"), F.col("o_custkey").cast("string"), F.lit("@X.org")))
+    rows = t.orders.select(email.alias("email"), F.col("o_orderpriority").alias("topic"), F.col("o_orderkey").alias("token"))
+    return merging.first_seen(rows, ["email", "topic"], ["token"])
+
+
+@query("SELECT user_id AS id, arg_max(event_type, event_id) AS status, max(event_id) AS seq FROM events GROUP BY user_id")
+def queue_latest(t: Tables) -> DataFrame:
+    rows = t.events.select(
+        F.col("user_id").alias("id"), F.lit("extract").alias("op"), F.lit("u").alias("url"), F.col("event_type").alias("status"),
+        F.col("event_id").alias("at"), F.lit(None).cast("string").alias("error"), F.col("event_id").alias("seq"),
+    )
+    return logs.queue_state(rows).select("id", "status", F.col("at").alias("seq"))
+
+
+@query("SELECT event_id AS seq, event_type || '  user=' || user_id AS text FROM events ORDER BY event_id DESC LIMIT 500")
+def log_ring_buffer(t: Tables) -> DataFrame:
+    text = T.log_text(F.col("event_type"), F.create_map(F.lit("user"), F.col("user_id").cast("string")))
+    return logs.retained(t.events.select(F.col("event_id").alias("seq"), text.alias("text")))
+
+
+@query("SELECT o_orderpriority AS topic, 'Extract.' || chr(10) || string_agg('- ' || o_orderstatus, chr(10) ORDER BY o_orderstatus) AS prompt FROM (SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders) GROUP BY o_orderpriority")
+def prompts_with_negatives(t: Tables) -> DataFrame:
+    lines = F.transform(F.array_sort(F.collect_set("o_orderstatus")), lambda s: F.concat(F.lit("- "), s))
+    rows = t.orders.groupBy(F.col("o_orderpriority").alias("topic")).agg(F.array_join(lines, "\n").alias("lines"))
+    return rows.select("topic", F.concat_ws("\n", F.lit("Extract."), "lines").alias("prompt"))
+
+
+@query("SELECT r_name AS country, '{\"@context\":\"https://schema.org\",\"@graph\":[' || string_agg('{\"@type\":\"Place\",\"name\":\"' || n_name || '\"}', ',' ORDER BY n_name) || ']}' AS document FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def jsonld_graph(t: Tables) -> DataFrame:
+    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    one = serving.jsonld(F.lit("Place"), F.col("n_name"), F.lit(None).cast("string"), F.lit(None))
+    return serving.jsonld_graph(rows.select(F.col("r_name").alias("country"), one.alias("one")), "one", "country")
+
+
+@query("SELECT c_custkey, CASE WHEN s >= 0.8 THEN 'high' WHEN s >= 0.5 THEN 'medium' ELSE 'low' END AS band, s >= 0.5 AS sure FROM (SELECT c_custkey, (c_custkey % 10) / 10.0 AS s FROM customer)")
+def confidence_bands(t: Tables) -> DataFrame:
+    score = (F.col("c_custkey") % 10) / 10.0
+    return t.customer.select("c_custkey", T.confidence_band(score).alias("band"), (score >= 0.5).alias("sure"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'fr' ELSE 'en' END AS lang FROM customer")
+def accepted_language(t: Tables) -> DataFrame:
+    header = F.when(F.col("c_custkey") % 3 == 0, "xx, de-AT;q=0.5, fr").when(F.col("c_custkey") % 3 == 1, "FR-ca,en").otherwise("zz")
+    return t.customer.select("c_custkey", T.accepted_language(header, ["en", "de", "fr"]).alias("lang"))
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY ALL")
+def stream_event_counts(t: Tables) -> DataFrame:
+    """The same counts by a stream over the table: what is there is read in batches, then the stream stops."""
+    source = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parquet*")
+    counts = source.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"))
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    place = f"{base}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/rows/batch={number}")
+
+    run = counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{place}/state")
+    run.trigger(availableNow=True).start().awaitTermination()
+    rows = t.spark.read.parquet(f"{place}/rows")
+    latest = rows.groupBy("event_type", "w").agg(F.max_by("n", "batch").alias("n"))
+    return latest.select("event_type", F.col("w.start").alias("start"), "n")
