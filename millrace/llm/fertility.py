@@ -25,8 +25,8 @@ BLANKS = " \t\n\v\f\r"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: A band reaches so many interquartile ranges (each at least this share of the median) beyond the quartiles.
 WIDTH, LEAST_RANGE = 4.0, 0.04
-#: A reading of fewer tokens is too noisy to reject by.
-LEAST_TOKENS = 30
+#: A reading of fewer tokens is too noisy to reject by; up to STEADY tokens bands are wider, as readings of short texts scatter more.
+LEAST_TOKENS, STEADY = 30, 400
 VOCABULARY = "piece_bpe_32k.model"
 #: Words remembered by each worker process, in each of two generations.
 REMEMBERED = 300_000
@@ -130,7 +130,7 @@ def base_failed() -> Column:
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """Lower and upper bounds of each measure by language, from all documents that pass the base rules.
+    """Quartiles of each measure by language and how far a band reaches, from all documents that pass the base rules.
 
     One partial aggregation; a language with most of the rows is summed up
     within each task before anything is shuffled.
@@ -142,7 +142,7 @@ def bands(measured: DataFrame) -> DataFrame:
     for m in MEASURES:
         q = F.col(m)
         wide = WIDTH * F.greatest(q[2] - q[0], LEAST_RANGE * F.abs(q[1]), F.lit(1e-3))
-        out = out.withColumn(f"{m}_low", q[0] - wide).withColumn(f"{m}_high", q[2] + wide)
+        out = out.withColumns({f"{m}_low": q[0], f"{m}_high": q[2], f"{m}_wide": wide})
     return out.drop(*MEASURES)
 
 
@@ -165,9 +165,10 @@ def quality(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     measured = written(measured)
     # A row for each language: Spark broadcasts it while it is small, else it splits the skewed side.
     judged = measured.join(written(bands(measured)), "band", "left")
-    within = F.lit(True)
+    within, scatter = F.lit(True), F.greatest(F.lit(1.0), F.sqrt(F.try_divide(F.lit(STEADY), F.col("n_tokens"))))
     for m in MEASURES:
-        within &= F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
+        reach = F.col(f"{m}_wide") * scatter
+        within &= F.col(m).between(F.col(f"{m}_low") - reach, F.col(f"{m}_high") + reach)
     verdict = F.coalesce(within, F.lit(True)) | (F.col("n_tokens") < LEAST_TOKENS)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
