@@ -138,6 +138,25 @@ def _visit(index: MultiIndex, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 _FOUND = "id bigint, other bigint, links bigint"
 
 
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, column) that span whatever a matrix of links ties together, breadth first."""
+    rows, columns = near.any(1), near.any(0)
+    i, j = [], []
+    while rows.any():
+        front = np.array([int(rows.argmax())])
+        rows[front] = False
+        while len(front):
+            new = np.flatnonzero(near[front].any(0) & columns)
+            columns[new] = False
+            i.append(front[near[np.ix_(front, new)].argmax(0)] if len(new) else new)
+            j.append(new)
+            front = np.flatnonzero(near[:, new].any(1) & rows)
+            rows[front] = False
+            i.append(front)
+            j.append(new[near[np.ix_(front, new)].argmax(1)] if len(front) else front)
+    return (np.concatenate(i), np.concatenate(j)) if i else (np.empty(0, int), np.empty(0, int))
+
+
 def _block(rows: pd.DataFrame) -> pd.DataFrame:
     """Links between the visitors and the members of a block.
 
@@ -148,44 +167,19 @@ def _block(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"id": [], "other": [], "links": []})
     v, m = np.stack(visitors["v"].to_numpy()), np.stack(members["v"].to_numpy())
     vi, mi = visitors["id"].to_numpy(), members["id"].to_numpy()
-    near = np.einsum("id,jd->ij", v, m) >= COSINE
+    near = (np.einsum("id,jd->ij", v, m) >= COSINE) & (vi[:, None] != mi[None])
     # A pair is seen from both ends if each visits the other's cell; then the visit of the smaller id counts.
-    i, j = np.nonzero(near & (vi[:, None] != mi[None]))
-    if not len(i):
-        return pd.DataFrame({"id": [], "other": [], "links": []})
-    home = visitors["home"].to_numpy()
-    visits = [frozenset(c.tolist()) for c in members["cells"]]
-    both = np.fromiter((home[a] in visits[b] for a, b in zip(i.tolist(), j.tolist())), dtype=bool, count=len(i))
-    keep = ~both | (vi[i] < mi[j])
-    i, j = i[keep], j[keep]
+    homes, home = np.unique(visitors["home"].to_numpy(), return_inverse=True)
+    back = np.stack([np.isin(homes, c) for c in members["cells"]], axis=1)
+    near &= ~back[home] | (vi[:, None] < mi[None])
     # Exact copies stand behind an id: their number counts for the other end.
-    vn, mn = visitors["copies"].to_numpy(), members["copies"].to_numpy()
-    count = {}
-    for ids, others in ((vi[i], mn[j]), (mi[j], vn[i])):
-        for k, n in zip(ids.tolist(), others.tolist()):
-            count[k] = count.get(k, 0) + n
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    forest = []
-    for a, b in zip(vi[i].tolist(), mi[j].tolist()):
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            forest.append((a, b))
-    ids = [*count, *(a for a, _ in forest)]
-    return pd.DataFrame(
-        {
-            "id": np.array(ids, dtype=np.int64),
-            "other": pd.array([None] * len(count) + [b for _, b in forest], dtype="Int64"),
-            "links": np.array([*count.values(), *[0] * len(forest)], dtype=np.int64),
-        }
-    )
+    from_v = (near * members["copies"].to_numpy()[None]).sum(1)
+    from_m = (near * visitors["copies"].to_numpy()[:, None]).sum(0)
+    i, j = _forest(near)
+    ids = np.concatenate([vi[from_v > 0], mi[from_m > 0], vi[i]])
+    links = np.concatenate([from_v[from_v > 0], from_m[from_m > 0], np.zeros(len(i), dtype=np.int64)])
+    other = pd.array([None] * (len(ids) - len(i)) + mi[j].tolist(), dtype="Int64")
+    return pd.DataFrame({"id": ids, "other": other, "links": links})
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
