@@ -12,9 +12,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents whose verdict is to keep them; ids are unique, so this join has no hot key."""
+    """The documents whose verdict is to keep them; ids are unique, so this join has no hot key.
+
+    A merge join at every size: the ids grow with the documents, so they are never broadcast.
+    """
     ids = written(verdicts.where("kept").select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(ids, "doc_id", "left_semi")
+    return docs.select(*COLUMNS).join(ids.hint("merge"), "doc_id", "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
