@@ -1,15 +1,15 @@
 """Quality rules: fixed text rules, and tokeniser fertility with bands per language.
 
 A public vocabulary with byte fallback is applied to every word of a text.
-Characters per token, the share of byte-fallback tokens and token entropy are
-compared with bands that all documents of the same language give.
+Characters per token, the share of byte-fallback tokens and token entropy (over
+windows of like length) are compared with bands that all documents of the same
+language give.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from itertools import chain
-from math import log2
 
 import numpy as np
 import public_tokenizers
@@ -24,7 +24,9 @@ BLANKS = " \t\n\v\f\r"
 #: Base rules.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: A band reaches so many interquartile ranges (each at least this share of the median) beyond the quartiles.
-WIDTH, LEAST_RANGE = 4.0, 0.04
+WIDTH, LEAST_RANGE = 3.0, 0.0
+#: Tokens over which entropy is taken: entropy grows with length, so only windows of like length compare.
+WINDOW = 64
 #: A reading of fewer tokens is too noisy to reject by; up to STEADY tokens bands are wider, as readings of short texts scatter more.
 LEAST_TOKENS, STEADY = 30, 400
 VOCABULARY = "piece_bpe_32k.model"
@@ -90,15 +92,30 @@ class WordPieces:
 _pieces: dict[str, WordPieces] = {}
 
 
+def windowed_entropy(ids: np.ndarray) -> float:
+    """Mean entropy of the windows of WINDOW tokens, as a share of the most possible; the last window overlaps its neighbour.
+
+    Texts with fewer tokens are one window.
+    """
+    size = min(len(ids), WINDOW)
+    if size < 2:
+        return 0.0
+    windows = ids[: len(ids) // size * size].reshape(-1, size)
+    if len(ids) % size:
+        windows = np.vstack([windows, ids[-size:]])
+    windows = np.sort(windows, axis=1)
+    first = np.ones(windows.shape, dtype=bool)
+    first[:, 1:] = windows[:, 1:] != windows[:, :-1]
+    # Each window starts a run, so runs do not cross windows.
+    runs = np.diff(np.r_[np.flatnonzero(first), windows.size])
+    return float(1 - (runs * np.log2(runs)).sum() / (windows.size * np.log2(size)))
+
+
 def reading(text: str, pieces: WordPieces) -> dict:
     """The base counts of a text and its tokens under a vocabulary."""
     words = text.encode("utf-8", "surrogatepass").split()
     lines = [x for x in text.split("\n") if x.strip(BLANKS)]
     ids = np.array(pieces.ids(words), dtype=np.int64)
-    entropy = 0.0
-    if len(ids):
-        share = np.unique(ids, return_counts=True)[1] / len(ids)
-        entropy = float(-(share * np.log2(share)).sum()) / max(1.0, log2(len(ids)))
     return {
         "n_words": len(words),
         "word_chars": len(text) - sum(map(text.count, BLANKS)),
@@ -107,7 +124,7 @@ def reading(text: str, pieces: WordPieces) -> dict:
         "n_repeat_words": repeated_words(words),
         "n_tokens": len(ids),
         "n_bytes": int(pieces.is_byte[ids].sum()),
-        "entropy": entropy,
+        "entropy": windowed_entropy(ids),
     }
 
 

@@ -150,6 +150,24 @@ def test_quality_rules_reject_odd_text(spark):
     assert all(got[i]["kept"] for i in range(60)) and not got[60]["kept"] and not got[60]["base_failed"]
 
 
+def test_quality_rules_reject_symbols_at_every_length(spark):
+    rng = random.Random(7)
+    words = vocabulary(rng)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([80, 300, 1500]))), "en") for i in range(150)]
+    for i, size in enumerate([80, 300, 1500] * 4):
+        rows.append((150 + i, " ".join(rng.choice(words) + rng.choice(["", "", "###", "$$$", "***"]) for _ in range(size)), "en"))
+    got = by_id(fertility.quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")))
+    assert sum(got[i]["kept"] for i in range(150)) >= 149
+    assert not any(got[i]["kept"] or got[i]["base_failed"] for i in range(150, 162))
+
+
+def test_entropy_is_of_like_lengths():
+    ids = np.array([random.Random(1).randrange(40) for _ in range(64)])
+    assert fertility.windowed_entropy(np.tile(ids, 50)) == pytest.approx(fertility.windowed_entropy(ids))
+    assert fertility.windowed_entropy(np.arange(100)) == 1.0 and fertility.windowed_entropy(np.zeros(100, int)) == 0.0
+    assert fertility.windowed_entropy(np.arange(0)) == fertility.windowed_entropy(np.arange(1)) == 0.0
+
+
 def test_byte_bpe(spark, documents, texts):
     import tiktoken
 
