@@ -9,6 +9,8 @@ from millrace.llm import fertility, near_dups, packing, quality_model, secrets
 from millrace.llm.common import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near-duplicates of this stage share so many percent of their shingles; the limit of op7 is its own.
+NEAR = 80
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near-duplicates."""
-    return _kept(docs, near_dups.near_duplicates(docs))
+    return _kept(docs, near_dups.near_duplicates(docs, NEAR))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ tried too, so a group of thousands of copies costs one check a member, not one a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,15 @@ from millrace.llm.common import mix, shingle_hashes, word_hashes, written
 from millrace.llm.components import components
 
 WORDS = 5
-#: Links have 100 * intersection >= PERCENT * union.
+#: Links have 100 * intersection >= limit * union; this is the limit unless another is given.
 PERCENT = 85
 TREES = 16
 #: Minhashes shared at each level of a tree. At the first, 16 trees miss a pair of similarity 0.85 once in 4 million.
 DEPTHS = (3, 5, 8, 12)
 #: A region with more members is looked at one level deeper; this bounds what one task holds.
 REGION = 512
-#: Places of the sketch that may differ: 3.7 standard deviations above what pairs at the limit show.
-DIFFER = 45
+#: Share of pairs at the limit whose sketches may differ in more places than the bound; they are lost.
+LOST = 1.7e-4
 #: Candidate ids up to this number (some 50 MB) are broadcast to the scan that makes their sets; more are joined.
 BROADCAST_IDS = 2_000_000
 
@@ -42,6 +43,16 @@ _FACTOR = (_SEEDS[_HASHES:].astype(np.uint32) | np.uint32(1))[:, None]
 _BLOCK = 4096
 
 
+def most_differing(percent: int) -> int:
+    """Places of the sketch that may differ: the binomial bound that pairs at the limit exceed with a chance of LOST."""
+    p = (1 - percent / 100) * 15 / 16
+    upto, chance = -1, 0.0
+    while 1 - chance > LOST:
+        upto += 1
+        chance += comb(_HASHES, upto) * p**upto * (1 - p) ** (_HASHES - upto)
+    return upto
+
+
 def _minhashes(shingles: np.ndarray) -> np.ndarray:
     h = (shingles >> np.uint64(32)).astype(np.uint32)
     low = np.full(_HASHES, np.iinfo(np.uint32).max, dtype=np.uint32)
@@ -173,12 +184,13 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], crossing: bool) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], crossing: bool, percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Candidate pairs (a < b) of each region and the places in which their sketches differ.
 
     crossing: all pairs whose components differ; else for each member, of those with a smaller id
     that share the longest prefix with it, the nearest by sketch.
     """
+    differ = most_differing(percent)
     for table in _grouped(batches, "region"):
         region = table["region"].to_numpy()
         ids, n = table["id"].to_numpy(), table["n"].to_numpy()
@@ -193,7 +205,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], crossing: bool) -> Iterator[pa.Rec
                 continue
             apart = _differ(sketch[some])
             small, large = np.minimum.outer(n[some], n[some]), np.maximum.outer(n[some], n[some])
-            good = (apart <= DIFFER) & (100 * small >= PERCENT * large) & (ids[some, None] > ids[None, some])
+            good = (apart <= differ) & (100 * small >= percent * large) & (ids[some, None] > ids[None, some])
             if crossing:
                 i, j = np.nonzero(good & (group[some, None] != group[None, some]))
             else:
@@ -213,7 +225,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], crossing: bool) -> Iterator[pa.Rec
             )
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose full sets reach the limit."""
     pairs = written(pairs)
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
@@ -226,11 +238,11 @@ def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     both = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
-    return written(both.where(common * 100 >= union * PERCENT).select("a", "b"))
+    return written(both.where(common * 100 >= union * percent).select("a", "b"))
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document.
+def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document; links reach `percent` of the union.
 
     Equal sets are one class from the start, so copies cost one grouped minimum.
     Null, empty and blank texts have no set: each is its own component. Texts
@@ -254,15 +266,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     def tried(rows: DataFrame, crossing: bool) -> DataFrame:
         # A region has REGION members at most, so no task gets an unbounded group.
         parted = rows.repartition("region").sortWithinPartitions("region", "place", "id")
-        return parted.mapInArrow(lambda batches: _pairs(batches, crossing), schema)
+        return parted.mapInArrow(lambda batches: _pairs(batches, crossing, percent), schema)
 
     nearest = tried(members, False).groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")).select("a", "b")
-    links = confirmed(nearest if ties is None else nearest.unionByName(ties).distinct(), documents)
+    links = confirmed(nearest if ties is None else nearest.unionByName(ties).distinct(), documents, percent)
     parts = written(components(links))
     marked = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     crossing = written(tried(marked, True).select("a", "b").distinct())
     if not crossing.isEmpty():
-        more = confirmed(crossing, documents)
+        more = confirmed(crossing, documents, percent)
         if not more.isEmpty():
             parts = written(components(links.unionByName(more)))
     named = heads.join(parts, "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))

@@ -148,3 +148,13 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_near_dedup_limit(spark):
+    base = [f"w{i}" for i in range(60)]
+    changed = [*base[:30], "other", *base[31:]]  # 51 of 61 shingles in common
+    far = [*base[:10], "x", *base[11:45], "y", *base[46:]]  # 46 of 66
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate([base, changed, far])], SCHEMA)
+    got = corpus_pipeline.minhash_near_dedup(spark, docs, "")
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 2]
+    assert all(r["kept"] for r in near_dups.near_duplicates(docs).collect())
