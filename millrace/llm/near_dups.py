@@ -1,9 +1,8 @@
 """MinHash near-duplicates by an LSH forest, links confirmed on full shingle sets.
 
 Each tree orders the documents by a sequence of minhashes. Documents that share
-the first of them form a region; a region with too many members is looked at
-deeper, so depth adapts to density. Within a region, in the tree's order, the
-neighbours with the longest common prefix (the nearest of them by a sketch, four
+the first of them form a region; a region with many members is dealt to parts,
+of which every two meet. Within a part, in the tree's order, the neighbours with the longest common prefix (the nearest of them by a sketch, four
 bits of each minhash) become candidates. They are confirmed on
 the full sets; then pairs of a region that are still in different components are
 tried too, so a group of thousands of copies costs one check a member, not one a pair.
@@ -26,10 +25,10 @@ WORDS = 5
 #: Links have 100 * intersection >= limit * union; this is the limit unless another is given.
 PERCENT = 85
 TREES = 16
-#: Minhashes shared at each level of a tree. At the first, 16 trees miss a pair of similarity 0.85 once in 4 million.
+#: Minhashes shared at each level of a tree. Regions share the first, deeper ones order their members. At the first, 16 trees miss a pair of similarity 0.85 once in 4 million.
 DEPTHS = (3, 5, 8, 12)
-#: A region with more members is looked at one level deeper; this bounds what one task holds.
-REGION = 512
+#: A region with more members is dealt to parts, and every two parts meet; this bounds what one task holds.
+REGION = 2048
 #: Share of pairs at the limit whose sketches may differ in more places than the bound; they are lost.
 LOST = 1.7e-4
 #: Candidate ids up to this number (some 50 MB) are broadcast to the scan that makes their sets; more are joined.
@@ -81,11 +80,11 @@ def _sketch(low: np.ndarray) -> bytes:
 _ONES = np.uint64(0x1111111111111111)
 
 
-def _differ(sketch: np.ndarray) -> np.ndarray:
-    """Places in which each two of the sketches differ."""
-    out = np.zeros((len(sketch), len(sketch)), dtype=np.int16)
-    for column in sketch.T:
-        x = column[:, None] ^ column[None]
+def _differ(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Places in which each of some sketches and each of others differ."""
+    out = np.zeros((len(rows), len(columns)), dtype=np.int16)
+    for left, right in zip(rows.T, columns.T):
+        x = left[:, None] ^ right[None]
         x |= x >> np.uint64(2)
         x |= x >> np.uint64(1)
         out += np.bitwise_count(x & _ONES)
@@ -136,34 +135,25 @@ def shingle_sets(text: Column) -> Column:
     return sets(text)
 
 
-def regions(classes: DataFrame) -> DataFrame:
-    """(region, place, id): the members of every region of every tree, places in the tree's order."""
+def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of every region of every tree, and (a, b) that tie the parts of a large region together.
+
+    A member has (at, tree, part, parts, place, firsts, id): the region, its tree, the part of
+    the region that it is in and how many there are, its labels in that tree at all depths,
+    and the regions it is in, tree by tree.
+    """
+    firsts = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.get("labels", t * len(DEPTHS)))
     tree = F.posexplode(
         F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("labels", t * len(DEPTHS) + 1, len(DEPTHS)))
-    ).alias("tree", "key")
-    rows = classes.select("id", tree)
-    found = None
-    for level in range(len(DEPTHS)):
-        key = F.col("key")[level]
-        sizes = written(rows.groupBy(key.alias("at")).agg(F.count("*").alias("members")).where("members > 1"))
-        # Labels hold the tree, so the key alone names a region.
-        own = written(rows.withColumn("at", key).join(sizes, "at"))
-        last = level + 1 == len(DEPTHS)
-        # In the deepest regions all members agree on all minhashes: parts of them are as good.
-        part = F.when(F.col("members") > REGION, F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / (REGION // 2)))) if last else F.lit(None)
-        done = own if last else own.where(F.col("members") <= REGION)
-        done = done.select(F.xxhash64("at", part).alias("region"), F.col("key").alias("place"), "id")
-        found = done if found is None else found.unionByName(done)
-        if last:
-            # Every part is also tied to the region's first member.
-            tied = own.where(F.col("members") > REGION)
-            heads = written(tied.groupBy("at").agg(F.min("id").alias("head")))
-            ties = tied.join(heads, "at").select(F.col("head").alias("a"), F.col("id").alias("b")).where("a <> b")
-            return found, ties
-        rows = own.where(F.col("members") > REGION).select("id", "tree", "key")
-        if rows.isEmpty():
-            return found, None
-    return found, None
+    ).alias("tree", "place")
+    # Labels hold the tree, so the label alone names a region.
+    rows = classes.select("id", firsts.alias("firsts"), tree).withColumn("at", F.col("place")[0])
+    sizes = rows.groupBy("at").agg(F.count("*").alias("members"), F.min("id").alias("head")).where("members > 1")
+    own = written(rows.join(written(sizes), "at").withColumn("parts", F.ceil(F.col("members") / REGION).cast("int")))
+    # Parts differ from tree to tree, as the region is hashed too.
+    found = own.withColumn("part", F.pmod(F.xxhash64("at", "id"), F.col("parts")).cast("int"))
+    ties = own.where("parts > 1 AND id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    return found.select("at", "tree", "part", "parts", "place", "firsts", "id"), ties
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
@@ -187,37 +177,50 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
 def _pairs(batches: Iterator[pa.RecordBatch], crossing: bool, percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Candidate pairs (a < b) of each region and the places in which their sketches differ.
 
-    crossing: all pairs whose components differ; else for each member, of those with a smaller id
-    that share the longest prefix with it, the nearest by sketch.
+    crossing: all pairs whose components differ, each in the first tree that shows it; the rows are
+    those of two parts of a region (or one part twice). Else, within a part, for each member, of those
+    with a smaller id that share the longest prefix with it, the nearest by sketch.
     """
     differ = most_differing(percent)
     for table in _grouped(batches, "region"):
-        region = table["region"].to_numpy()
+        table = table.combine_chunks()
+        region, part = table["region"].to_numpy(), table["part"].to_numpy()
         ids, n = table["id"].to_numpy(), table["n"].to_numpy()
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
         labels = table["place"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        firsts = table["firsts"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        tree = table["tree"].to_numpy()
         group = table["component"].to_numpy() if crossing else ids
         edges = np.flatnonzero(np.r_[True, region[1:] != region[:-1], True])
         a, b, far = [], [], []
         for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            some = slice(low, high)
-            if crossing and (group[some] == group[low]).all():
+            if (group[low:high] == group[low]).all():
                 continue
-            apart = _differ(sketch[some])
-            small, large = np.minimum.outer(n[some], n[some]), np.maximum.outer(n[some], n[some])
-            good = (apart <= differ) & (100 * small >= percent * large) & (ids[some, None] > ids[None, some])
+            # Rows are sorted by part, so that the first part comes first.
+            middle = low + int(np.searchsorted(part[low:high], part[high - 1]))
+            rows, columns = (slice(low, high),) * 2 if middle == low else (slice(low, middle), slice(middle, high))
+            apart = _differ(sketch[rows], sketch[columns])
+            small, large = np.minimum.outer(n[rows], n[columns]), np.maximum.outer(n[rows], n[columns])
+            good = (apart <= differ) & (100 * small >= percent * large)
+            if middle == low:
+                good &= ids[rows, None] > ids[None, columns]
             if crossing:
-                i, j = np.nonzero(good & (group[some, None] != group[None, some]))
+                i, j = np.nonzero(good & (group[rows, None] != group[None, columns]))
+                new = np.ones(len(i), dtype=bool)
+                for t in range(tree[low]):
+                    new &= firsts[rows][i, t] != firsts[columns][j, t]
+                i, j = i[new], j[new]
             else:
                 # A label stands for the whole prefix down to its level.
-                prefix = (labels[some, None] == labels[None, some]).sum(axis=2)
+                prefix = sum((column[rows, None] == column[None, columns]).astype(np.int16) for column in labels.T)
                 score = np.where(good, apart - 1000 * prefix, 9999)
                 # Of equally near ones the last in the tree's order.
                 j = high - low - 1 - score[:, ::-1].argmin(axis=1)
                 i = np.flatnonzero(good.any(axis=1))
                 j = j[i]
-            a.append(ids[some][j])
-            b.append(ids[some][i])
+            x, y = ids[rows][i], ids[columns][j]
+            a.append(np.minimum(x, y))
+            b.append(np.maximum(x, y))
             far.append(apart[i, j])
         if a:
             yield pa.RecordBatch.from_arrays(
@@ -264,14 +267,19 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     schema = "a bigint, b bigint, differ bigint"
 
     def tried(rows: DataFrame, crossing: bool) -> DataFrame:
-        # A region has REGION members at most, so no task gets an unbounded group.
-        parted = rows.repartition("region").sortWithinPartitions("region", "place", "id")
+        # At most two parts of some REGION members each, so no task gets an unbounded group.
+        parted = rows.repartition("region").sortWithinPartitions("region", "part", "place", "id")
         return parted.mapInArrow(lambda batches: _pairs(batches, crossing, percent), schema)
 
-    nearest = tried(members, False).groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")).select("a", "b")
-    links = confirmed(nearest if ties is None else nearest.unionByName(ties).distinct(), documents, percent)
+    parts_of = members.withColumn("region", F.xxhash64("at", "part", "part"))
+    nearest = tried(parts_of, False).groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")).select("a", "b")
+    links = confirmed(nearest.unionByName(ties).distinct(), documents, percent)
     parts = written(components(links))
     marked = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # Every part of a region meets every part.
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    marked = marked.withColumn("other", other).withColumn("region", F.xxhash64("at", low, high)).drop("other")
     crossing = written(tried(marked, True).select("a", "b").distinct())
     if not crossing.isEmpty():
         more = confirmed(crossing, documents, percent)

@@ -117,6 +117,29 @@ def test_near_duplicates_large_region(spark, monkeypatch):
     assert {r["component_id"] for r in got.values()} == {0}
 
 
+def test_near_duplicates_hot_template(spark, monkeypatch):
+    """Pages just under the limit to each other; pairs above it are found whatever the region's size."""
+    monkeypatch.setattr(near_dups, "REGION", 32)
+    texts = []
+    for page in range(200):
+        own = [f"w{i}" for i in range(434)]
+        # No two pages change more than one place in common: 0.83 or 0.8495.
+        for x in range(4):
+            own[4 + 5 * (19 * x + (page // 19 * x + page) % 19)] = f"p{page}x{x}"
+        texts.append(own)
+    for page in range(40):
+        own = list(texts[page])
+        for k in range(388, 424, 7):
+            own[k] = f"q{page}x{k}"  # 0.87 to its page
+        texts.append(own)
+    sets = [set(near_dups.shingle_set(" ".join(t)).tolist()) for t in texts]
+    links = [(j, i) for i, s in enumerate(sets) for j in range(i) if 100 * len(s & sets[j]) >= 85 * len(s | sets[j])]
+    assert links == [(i, 200 + i) for i in range(40)]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = by_id(near_dups.near_duplicates(frame))
+    assert all(got[i]["component_id"] == (i - 200 if i >= 200 else i) for i in range(240))
+
+
 def test_quality_rules(spark, documents, texts):
     got = by_id(fertility.quality(documents))
     assert len(got) == len(texts)
