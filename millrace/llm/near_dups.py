@@ -30,7 +30,7 @@ DEPTHS = (3, 5, 8, 12)
 #: A region with more members is dealt to parts, and every two parts meet; this bounds what one task holds.
 REGION = 2048
 #: Share of pairs at the limit whose sketches may differ in more places than the bound; they are lost.
-LOST = 1.7e-4
+LOST = 1e-5
 #: Candidate ids up to this number (some 50 MB) are broadcast to the scan that makes their sets; more are joined.
 BROADCAST_IDS = 2_000_000
 

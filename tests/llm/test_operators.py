@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -140,6 +141,14 @@ def test_near_duplicates_hot_template(spark, monkeypatch):
     assert all(got[i]["component_id"] == (i - 200 if i >= 200 else i) for i in range(240))
 
 
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_sketch_bound_loses_few_links(percent):
+    p = (1 - percent / 100) * 15 / 16
+    bound = near_dups.most_differing(percent)
+    lost = sum(math.comb(192, k) * p**k * (1 - p) ** (192 - k) for k in range(bound + 1, 193))
+    assert lost <= 1e-5
+
+
 def test_quality_rules(spark, documents, texts):
     got = by_id(fertility.quality(documents))
     assert len(got) == len(texts)
