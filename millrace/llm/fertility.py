@@ -163,17 +163,21 @@ def bands(measured: DataFrame) -> DataFrame:
     return out.drop(*MEASURES)
 
 
-def quality(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def quality(documents: DataFrame, vocabulary: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every document's doc_id, base counts, fertility readings and verdict.
 
+    Columns in `carry` stay with their row in a struct `carried`.
+
     Null text counts as empty (no words: base_failed). Documents without lang
     share the band of the empty language. Texts with few tokens are judged by the
     base rules alone. Repeated rows give repeated results; a document outside
     any band of its language is not kept.
     """
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in documents.columns else F.lit("")
-    read = documents.select("doc_id", lang.alias("band"), readings(F.col("text"), vocabulary).alias("r"))
-    measured = read.select("doc_id", "band", "r.*").select(
+    also = [F.struct(*carry).alias("carried")] if carry else []
+    kept_with = ["carried"] * bool(carry)
+    read = documents.select("doc_id", *also, lang.alias("band"), readings(F.col("text"), vocabulary).alias("r"))
+    measured = read.select("doc_id", *kept_with, "band", "r.*").select(
         "*",
         F.try_divide(F.col("word_chars"), F.col("n_tokens")).alias("chars_per_token"),
         F.try_divide(F.col("n_bytes"), F.col("n_tokens")).alias("byte_share"),
@@ -190,5 +194,5 @@ def quality(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", (~F.col("base_failed") & verdict).alias("kept"),
-        "n_tokens", *MEASURES, F.col("band").alias("lang"),
+        "n_tokens", *MEASURES, F.col("band").alias("lang"), *kept_with,
     )

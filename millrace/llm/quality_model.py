@@ -136,9 +136,13 @@ def posteriors(scored: DataFrame) -> DataFrame:
     return nested.select("host", "path", "prior", "host_mean", site.alias("site"))
 
 
-def classify(documents: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:
+def classify(
+    documents: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """doc_id, evidence, posteriors and verdict of every document.
 
+    Columns in `carry` stay with their row in a struct `carried`.
+
     The host is by default `source`, the path `lang`, empty where null or missing.
     Null text counts as empty. Without labels the evidence is 0.5 everywhere and
     all documents are kept. Repeated rows repeat; an empty table gives no rows.
@@ -149,11 +153,13 @@ def classify(documents: DataFrame, labels: DataFrame, host: Column | None = None
         return F.coalesce(column.cast("string"), F.lit(""))
 
     *weights, constant = train(documents, labels)
+    also = [F.struct(*carry).alias("carried")] if carry else []
+    kept_with = ["carried"] * bool(carry)
     read = documents.select(
-        "doc_id", named(host, "source").alias("host"), named(path, "lang").alias("path"), features(F.col("text")).alias("x")
+        "doc_id", *also, named(host, "source").alias("host"), named(path, "lang").alias("path"), features(F.col("text")).alias("x")
     )
     logit = sum((F.col("x")[i] * w for i, w in enumerate(weights)), F.lit(constant))
-    scored = read.select("doc_id", "host", "path", logit.alias("logit"))
+    scored = read.select("doc_id", *kept_with, "host", "path", logit.alias("logit"))
     scored = written(scored.withColumn("evidence", 1 / (1 + F.exp(-F.col("logit")))))
     sites = written(posteriors(scored))
     # Spark broadcasts the sites while they are few; else it splits the side of a hot site.
@@ -161,5 +167,5 @@ def classify(documents: DataFrame, labels: DataFrame, host: Column | None = None
     shifted = F.col("logit") + _logit(F.col("site")) - _logit(F.col("prior"))
     posterior = F.coalesce(1 / (1 + F.exp(-shifted)), F.col("evidence"))
     return joined.withColumn("posterior", posterior).select(
-        "doc_id", "evidence", "host_mean", "site", "posterior", (F.col("posterior") >= THRESHOLD).alias("kept")
+        "doc_id", "evidence", "host_mean", "site", "posterior", (F.col("posterior") >= THRESHOLD).alias("kept"), *kept_with
     )

@@ -141,6 +141,56 @@ def test_near_duplicates_hot_template(spark, monkeypatch):
     assert all(got[i]["component_id"] == (i - 200 if i >= 200 else i) for i in range(240))
 
 
+def test_near_duplicates_of_rows_whose_ids_clash(spark):
+    base = [f"w{i}" for i in range(100)]
+    other = [f"v{i}" for i in range(100)]
+    change = lambda words, at: " ".join([*words[:at], "new", *words[at + 1 :]])
+    rows = [(5, " ".join(base)), (5, " ".join(other)), (7, change(base, 50)), (8, change(other, 50)), (9, " ".join(base)), (9, " ".join(base)),
+            (None, change(base, 20)), (None, "alone in the world"), (None, None), (3, "")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("head", F.lit(1)).coalesce(1)
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in near_dups.near_duplicates(frame).collect()]
+    wanted = [(5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 5, False), (9, 5, False), (None, 5, False),
+              (None, None, True), (None, None, True), (3, 3, True)]
+    assert sorted(map(repr, got)) == sorted(map(repr, wanted))
+    assert sum(r["first"] for r in near_dups.near_duplicates(frame).collect()) == 5
+
+
+@pytest.mark.parametrize("region", [16, 64, 5000])
+def test_near_duplicates_equal_brute_force_whatever_the_region(spark, monkeypatch, region):
+    """A template whose pages are at 0.72 to 0.83 to each other, with planted pairs at the limit and chains."""
+    monkeypatch.setattr(near_dups, "REGION", region)
+    rng = random.Random(11)
+    words = vocabulary(rng)
+    base = [rng.choice(words) for _ in range(160)]
+    texts = []
+    for _ in range(150):
+        own = list(base)
+        for at in rng.sample(range(160), rng.randint(2, 4)):
+            own[at] = rng.choice(words) + str(rng.randrange(1000))
+        texts.append(own)
+    for k in range(40):
+        own = list(texts[k])
+        own[rng.randrange(160)] += "x"
+        texts.append(own)
+    texts += [texts[3], texts[4]]
+    sets = [set(near_dups.shingle_set(" ".join(t)).tolist()) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if 100 * len(s & sets[j]) >= 85 * len(s | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = by_id(near_dups.near_duplicates(frame))
+    assert [got[i]["component_id"] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+
+
 @pytest.mark.parametrize("percent", [80, 85, 95])
 def test_sketch_bound_loses_few_links(percent):
     p = (1 - percent / 100) * 15 / 16
