@@ -13,39 +13,67 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 NEAR = 80
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents whose verdict is to keep them; ids are unique, so this join has no hot key.
+def _whole(docs: DataFrame) -> DataFrame:
+    """`docs` with all of COLUMNS: one that is missing is null, others are dropped."""
+    kinds = {"doc_id": "long", "n_chars": "long"}
+    return docs.select(
+        *[(F.col(c) if c in docs.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS]
+    )
 
-    A merge join at every size: the ids grow with the documents, so they are never broadcast.
-    """
-    ids = written(verdicts.where("kept").select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(ids.hint("merge"), "doc_id", "left_semi")
+
+def _kept(judged: DataFrame, verdict: str = "kept") -> DataFrame:
+    """The rows that their own verdict keeps, as they came. Rows carry their verdict, so repeated and null ids are no matter."""
+    return judged.where(verdict).select("carried.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the fertility bands of their language."""
-    return _kept(docs, fertility.quality(docs))
+    """Rows that pass the base rules and the fertility bands of their language.
+
+    Each row is judged by its own text: null or empty text fails, repeated rows and rows of
+    one id stay or go each by itself, null ids are ids like others. Columns of `documents` that are missing are
+    null, others are dropped. An empty table gives no rows.
+    """
+    return _kept(fertility.quality(_whole(docs), carry=tuple(COLUMNS)))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior quality reaches the threshold."""
-    return _kept(docs, quality_model.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    """Rows whose posterior quality reaches the threshold; without labels all do.
+
+    Each row is judged by its own text and site (null: the empty one). Repeated rows, null ids, missing and
+    additional columns and an empty table as in quality_rules. Labels of ids that don't occur, or
+    of no quality, are not used.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _kept(quality_model.classify(_whole(docs), labels, carry=tuple(COLUMNS)))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near-duplicates."""
-    return _kept(docs, near_dups.near_duplicates(docs, NEAR))
+    """One row of each component of near-duplicates: that with the smallest id, null ids last.
+
+    Of equal rows one stays. Rows of one id with different texts link each by its own
+    text. Rows without words are no duplicates of each other and all stay. Missing and additional columns and an
+    empty table as in quality_rules.
+    """
+    return _kept(near_dups.near_duplicates(_whole(docs), NEAR, carry=tuple(COLUMNS)), "first")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mark."""
-    found = docs.select(*COLUMNS, secrets.secret_spans(F.col("text")).alias("found"))
+    """All rows, their secrets replaced by a mark; of overlapping ones one mark stands for all.
+
+    n_chars is that of the new text. Null text stays null with n_chars 0. Repeated rows, null ids, missing and additional
+    columns and an empty table as in quality_rules.
+    """
+    found = _whole(docs).select(*COLUMNS, secrets.secret_spans(F.col("text")).alias("found"))
     safe = found.withColumn("text", secrets.redact(F.col("text"), F.col("found")))
     return safe.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed in sequences."""
+    """The pieces of all rows, placed in sequences.
+
+    Null text is one piece, the closing id. Repeated rows are packed as often as they
+    come; a null id stays null on its pieces. Other columns are not read; an empty table gives no rows.
+    """
     return packing.pack(docs)
 
 
