@@ -38,6 +38,8 @@ DEPTHS = (3, 5, 8, 12)
 REGION, SHINGLES = 2048, 4_000_000
 #: Share of pairs at the limit whose sketches may differ in more places than the bound; they are lost.
 LOST = 1e-5
+#: Ids whose full sets are wanted are broadcast to the scan of the texts up to this number (some 50 MB); more are joined.
+BROADCAST_IDS = 2_000_000
 
 _HASHES = TREES * DEPTHS[-1]
 _SEEDS = mix(np.arange(2 * _HASHES, dtype=np.uint64))
@@ -332,17 +334,19 @@ def _together(rows: DataFrame, run: Callable, percent: int, schema: str) -> Data
 
 
 def _sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, s): the full sets of the classes in question."""
+    """(id, n, s): the full sets of the classes in question. Texts are not shuffled while the ids are few."""
+    ids = written(ids.distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
     return written(texts.join(ids, "id", "left_semi").select("id", "n", shingle_sets(F.col("text")).alias("s")))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose full sets reach the limit."""
     pairs = written(pairs)
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = _sets(texts, ids)
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    sets = _sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    # Merge joins at every size, as both sides grow with the documents.
+    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
+    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
     return written(both.where(common * 100 >= union * percent).select("a", "b"))
@@ -350,7 +354,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
 
 def _rare_members(large: DataFrame, classes: DataFrame, texts: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Members of large regions in groups by rare shingles, where a group has several components; large groups part by part."""
-    sets = _sets(texts, large.select("id").distinct())
+    sets = _sets(texts, large.select("id"))
     rare = by_rare_shingles(sets, percent).join(classes.select("id", "n", "sketch"), "id").join(parts, "id", "left")
     rare = written(rare.withColumn("component", F.coalesce("component", "id")))
     sizes = rare.groupBy("key").agg(
@@ -391,8 +395,8 @@ def class_components(classes: DataFrame, texts: DataFrame, percent: int) -> Data
     open_members = written(_together(known.select(*[c.split()[0] for c in _MEMBER.split(", ")]), _pending, percent, _MEMBER))
     if open_members.isEmpty():
         return parts
-    sets = _sets(texts, written(open_members.select("id").distinct())).drop("n")
-    more = written(_together(open_members.join(sets, "id"), _joining, percent, "a bigint, b bigint"))
+    sets = _sets(texts, open_members.select("id")).drop("n")
+    more = written(_together(open_members.join(sets.hint("merge"), "id"), _joining, percent, "a bigint, b bigint"))
     return parts if more.isEmpty() else written(components(links.unionByName(more)))
 
 
