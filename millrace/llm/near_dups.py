@@ -159,7 +159,8 @@ def regions(classes: DataFrame) -> DataFrame:
     rows = classes.select("id", "n", tree).withColumn("at", F.col("place")[0])
     sizes = rows.groupBy("at").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("id").alias("head"))
     sizes = written(sizes.where("members > 1").select("at", "head", _too_large().alias("large")))
-    return written(rows.join(sizes, "at"))
+    # Merge joins wherever both sides grow with the documents, so that plans are alike at every size.
+    return written(rows.join(sizes.hint("merge"), "at"))
 
 
 def deeper(large: DataFrame) -> DataFrame:
@@ -381,14 +382,14 @@ def class_components(classes: DataFrame, texts: DataFrame, percent: int) -> Data
     large = members.where("large")
     any_large = not large.isEmpty()
     ordered = first.unionByName(deeper(large)) if any_large else first
-    ready = ordered.withColumn("part", F.lit(0)).join(signs, "id").withColumn("component", F.col("id"))
+    ready = ordered.withColumn("part", F.lit(0)).join(signs.hint("merge"), "id").withColumn("component", F.col("id"))
     ready = written(ready.select("large", *[c.split()[0] for c in _MEMBER.split(", ")]))
     near = _together(ready.drop("large"), _neighbours, percent, "a bigint, b bigint, differ bigint")
     nearest = near.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")).select("a", "b")
     ties = large.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
     links = confirmed(nearest.unionByName(ties).distinct() if any_large else nearest, texts, percent)
     parts = written(components(links))
-    known = ready.where("NOT large").drop("large", "component").join(parts, "id", "left")
+    known = ready.where("NOT large").drop("large", "component").join(parts.hint("merge"), "id", "left")
     known = known.withColumn("component", F.coalesce("component", "id"))
     if any_large:
         known = known.unionByName(_rare_members(large, classes, texts, parts, percent))
@@ -417,15 +418,15 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, carry: tuple[s
     signed = written(signed.select("doc_id", "text", *["carried"] * bool(carry), "x.*", F.monotonically_increasing_id().alias("row")))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("head")
     heads = written(signed.where("n > 0").groupBy("print").agg(least))
-    of_class = signed.where("n > 0").join(heads.select("head.row"), "row", "left_semi").withColumnRenamed("row", "id")
+    of_class = signed.where("n > 0").join(heads.select("head.row").hint("merge"), "row", "left_semi").withColumnRenamed("row", "id")
     classes = written(of_class.select("id", "n", "labels", "sketch"))
     parts = class_components(classes, signed.where("n > 0").select(F.col("row").alias("id"), "n", "text"), percent)
-    named = heads.withColumn("id", F.col("head.row")).join(parts, "id", "left")
+    named = heads.withColumn("id", F.col("head.row")).join(parts.hint("merge"), "id", "left")
     named = written(named.select("print", "head", F.coalesce("component", "id").alias("component")))
     of_component = named.groupBy("component").agg(F.min("head").alias("top"))
-    named = written(named.join(of_component, "component").select("print", "top"))
+    named = written(named.join(of_component.hint("merge"), "component").select("print", "top"))
     # A set with very many copies is one hot key; its rows' side can be split.
-    found = signed.drop("text", "labels", "sketch").join(named, "print", "left")
+    found = signed.drop("text", "labels", "sketch").join(named.hint("merge"), "print", "left")
     component = F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id"))
     return found.select(
         "doc_id",
