@@ -1,7 +1,7 @@
 """Packing documents into fixed-length sequences as a cutting-stock problem.
 
 Documents become token ids and are cut at multiples of the sequence length;
-what is left of each is a piece shorter than a sequence, or, where lengths are such
+what is left of each is a piece shorter than a sequence, or, where the histogram shows
 that whole ones would leave much padding, several smaller pieces. The histogram of piece
 lengths, of a fixed number of classes whatever the number of documents, goes
 into a linear program over patterns (how many pieces of each class share one
@@ -14,6 +14,7 @@ class together.
 from __future__ import annotations
 
 import base64
+import json
 import sys
 import zlib
 from array import array
@@ -37,7 +38,8 @@ SMALL, PADDING = 128, 0.02
 GRAIN = 8
 #: Columns that are priced at most, and how far from the best bound the program may end; its size doesn't depend on the data's.
 ROUNDS, GAP = 3000, 1e-3
-VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Merges by rank, and the file whose added tokens are found in texts.
+VOCABULARY, ADDED = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 #: Spaced words remembered by each worker process, in each of two generations, and characters encoded at a time.
 REMEMBERED, CHUNK = 400_000, 2_000_000
 
@@ -45,17 +47,23 @@ REMEMBERED, CHUNK = 400_000, 2_000_000
 class Tokens:
     """Ids of texts by a byte-level vocabulary, one id 0 behind each text.
 
-    The ids are those that the library `tokenizers` gives with byte_bpe_50k.json and
-    add_special_tokens=False, special strings being ordinary text; they are taken
-    from the same vocabulary's rank file, whose library needs a third of the time.
+    The ids are those that the library `tokenizers` gives with the JSON file and
+    add_special_tokens=False: its added tokens are found in the text first, what lies between
+    them is encoded by itself. Merges come from the same vocabulary's rank file, whose library
+    needs a third of the time.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, json_path: str):
         import tiktoken
 
         with open(path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
         ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        with open(json_path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in added}
+        # Longest first, as one may begin another.
+        self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.model = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
@@ -70,6 +78,12 @@ class Tokens:
                 ids.byteswap()
         return [ids.tobytes() for ids in found]
 
+    def _spaced(self, text: str) -> list[str]:
+        if not text or text in self.added or self.breaks.search(text):
+            return [text] * bool(text)
+        first, *rest = text.split(" ")
+        return [first] * bool(first) + [" " + w for w in rest]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text.
 
@@ -78,15 +92,10 @@ class Tokens:
         """
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
-        parted: list[list[str]] = []
-        for t in texts:
-            if not t:
-                parted.append([])
-            elif self.breaks.search(t):
-                parted.append([t])
-            else:
-                first, *rest = t.split(" ")
-                parted.append([first] * bool(first) + [" " + w for w in rest])
+        self.new.update(self.added)
+        parted = [
+            [w for part in (self.marks.split(t) if any(m in t for m in self.added) else [t]) for w in self._spaced(part)] for t in texts
+        ]
         needed = set().union(*parted)
         ready = {p: ids for p in needed if (ids := self.new.get(p) or self.old.get(p)) is not None}
         missing = [p for p in needed if p not in ready]
@@ -96,7 +105,7 @@ class Tokens:
         return [b"".join([ready[p] for p in parts]) + b"\0\0\0\0" for parts in parted]
 
 
-_tokens: dict[str, Tokens] = {}
+_tokens: dict[tuple[str, str], Tokens] = {}
 
 
 def _chunks(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
@@ -109,57 +118,63 @@ def _chunks(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
     yield ids[at:], texts[at:]
 
 
-def _cuts(total: int, length: int) -> Iterator[tuple[int, int, int]]:
-    """(start, length, size) of the pieces of a document, what is left of it in both ways."""
-    for start in range(0, total, length):
-        n = min(length, total - start)
-        if n == length or n <= SMALL:
-            yield start, n, 0
-        else:
-            yield start, n, length
-            for at in range(start, start + n, SMALL):
-                yield at, min(SMALL, start + n - at), SMALL
+_SMALL = pa.list_(
+    pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("class", pa.int32()), ("rank", pa.int64())])
+)
+_PIECE = [
+    ("doc_id", "bigint", pa.int64()), ("start", "bigint", pa.int64()), ("length", "bigint", pa.int64()),
+    ("ids_crc32", "bigint", pa.int64()), ("doc_tokens", "bigint", pa.int64()), ("part", "int", pa.int32()), ("class", "int", pa.int32()),
+    ("rank", "bigint", pa.int64()),
+    ("small", "array<struct<start:bigint,length:bigint,ids_crc32:bigint,class:int,rank:bigint>>", _SMALL), ("ids", "binary", pa.binary()),
+]
 
 
-def cut(documents: DataFrame, vocabulary: str | None = None, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+def cut(
+    documents: DataFrame, vocabulary: str | None = None, length: int = LENGTH, with_ids: bool = False, added: str | None = None
+) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, and where they rank.
 
-    `size` is 0 for pieces that are the same either way, `length` for what is left as one
-    piece, SMALL for the same in small pieces. `part` is the task that cut the piece,
-    `class` its length in grains, `rank` its place among that task's pieces of its size and class.
-    with_ids adds the ids.
+    `part` is the task that cut the piece, `class` its length in grains, `rank` its place among that
+    task's pieces of its class. What is left of a document and longer than SMALL has in `small` the pieces that it may be cut to,
+    ranked among their like (null: the piece stays). with_ids adds the ids; `vocabulary` is the rank file, `added` the JSON file with the added tokens.
     """
-    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    paths = vocabulary or public_tokenizers.path(VOCABULARY), added or public_tokenizers.path(ADDED)
+    fields = _PIECE if with_ids else _PIECE[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _tokens:
-            _tokens[path] = Tokens(path)
+        if paths not in _tokens:
+            _tokens[paths] = Tokens(*paths)
         part, seen = TaskContext.get().partitionId(), Counter()
+
+        def ranked(n: int, way: str) -> tuple[int, int]:
+            kind = -(-n // GRAIN)
+            seen[way, kind] += 1
+            return kind, seen[way, kind] - 1
+
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for own, some in _chunks(docs, texts):
                 rows = []
-                for doc, ids in zip(own, _tokens[path].encode(some)):
+                for doc, ids in zip(own, _tokens[paths].encode(some)):
                     total = len(ids) // 4
-                    for start, n, size in _cuts(total, length):
-                        piece = ids[4 * start : 4 * (start + n)]
-                        kind = -(-n // GRAIN)
-                        rows.append((doc, start, n, zlib.crc32(piece), total, part, size, kind, seen[size, kind], piece))
-                        seen[size, kind] += 1
+                    for start in range(0, total, length):
+                        n = min(length, total - start)
+                        piece, small = ids[4 * start : 4 * (start + n)], None
+                        stays = n == length or n <= SMALL
+                        if not stays:
+                            small = []
+                            for at in range(0, n, SMALL):
+                                size = min(SMALL, n - at)
+                                kind, rank = ranked(size, "small")
+                                crc = zlib.crc32(piece[4 * at : 4 * (at + size)])
+                                small.append({"start": start + at, "length": size, "ids_crc32": crc, "class": kind, "rank": rank})
+                        rows.append((doc, start, n, zlib.crc32(piece), total, part, *ranked(n, "stays" if stays else "whole"), small, piece))
                 if rows:
-                    columns = list(zip(*rows))[: 10 if with_ids else 9]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
-
-    fields = [
-        ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
-        ("doc_tokens", pa.int64()), ("part", pa.int32()), ("size", pa.int32()), ("class", pa.int32()), ("rank", pa.int64()), ("ids", pa.binary()),
-    ][: 10 if with_ids else 9]
-    schema = (
-        "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, size int, class int, rank bigint"
-    )
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, _, t) in zip(zip(*rows), fields)], names=[f[0] for f in fields])
+
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, schema + ", ids binary" * with_ids)
+    return chosen.mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in fields))
 
 
 def _best_pattern(worth: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -238,44 +253,53 @@ def patterns(demand: dict[int, int], room: int) -> list[tuple[dict[int, int], in
     return out + [(dict(p), n) for p, n in made.items()]
 
 
-def pack(documents: DataFrame, vocabulary: str | None = None, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+def pack(
+    documents: DataFrame, vocabulary: str | None = None, length: int = LENGTH, with_ids: bool = False, added: str | None = None
+) -> DataFrame:
     """Every piece of every document with its sequence and its place there.
 
+    What is left of documents is cut small where whole pieces would leave over PADDING of all room; the
+    histogram of lengths decides, the number of documents doesn't matter.
+
     Null text is empty: one piece, the closing id 0. Repeated rows are packed
     as often as they come. Extra columns are not read; an empty table gives no rows.
     """
     spark = documents.sparkSession
-    every = written(cut(documents, vocabulary, length, with_ids))
-    counts = written(every.groupBy("part", "size", "class").agg((F.max("rank") + 1).alias("n"), F.sum("length").alias("ids")))
-    # One row for each size and class, of which there are three times length / GRAIN at most.
-    sums = counts.groupBy("size", "class").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids")).collect()
+    every = written(cut(documents, vocabulary, length, with_ids, added))
+    columns = [c for c in every.columns if c not in ("small",)]
+    stays, rest = every.where("small IS NULL"), every.where("small IS NOT NULL")
+    ids = F.substr("ids", (F.col("piece.start") - F.col("start")).cast("int") * 4 + 1, F.col("piece.length").cast("int") * 4)
+    cut_small = rest.withColumn("piece", F.explode("small")).select(
+        "doc_id", "piece.start", "piece.length", "piece.ids_crc32", "doc_tokens", "part", "piece.class", "piece.rank",
+        *[ids.alias("ids")] * with_ids,
+    )
     room, best = length // GRAIN, None
-    for left in (length, SMALL):
-        demand = Counter()
-        for r in sums:
-            if r["size"] in (0, left):
-                demand[r["class"]] += r["n"]
-        found = patterns(demand, room)
+    for pieces in (rest.select(*columns), cut_small):
+        pieces = stays.select(*columns, F.lit(0).alias("way")).unionByName(pieces.withColumn("way", F.lit(1)))
+        counts = written(pieces.groupBy("part", "way", "class").agg((F.max("rank") + 1).alias("n"), F.sum("length").alias("ids")))
+        # One row for each class, of which there are length / GRAIN at most.
+        sums = counts.groupBy("class").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids")).collect()
+        found = patterns({r["class"]: r["n"] for r in sums}, room)
         needed = sum(times for _, times in found)
         if best is None or needed < best[0]:
-            best = needed, left, found
-        if needed * length * (1 - PADDING) <= sum(r["ids"] for r in sums if r["size"] in (0, left)):
+            best = needed, pieces, counts, found
+        if needed * length * (1 - PADDING) <= sum(r["ids"] for r in sums):
             break
-    _, left, found = best
+    _, pieces, counts, found = best
     slots, sequence, taken = [], 0, Counter()
     for pattern, times in found:
         for kind, each in pattern.items():
             slots.append((kind, taken[kind], taken[kind] + each * times, each, sequence))
             taken[kind] += each * times
         sequence += times
-    pieces = every.where(F.col("size").isin(0, left))
     deal = spark.createDataFrame(slots, "class int, low bigint, high bigint, each bigint, first bigint")
     deal = deal.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("low", "high", "each", "first"))).alias("deal"))
-    before = counts.where(F.col("size").isin(0, left)).withColumn(
+    # A row for each class and task.
+    before = counts.withColumn(
         "before",
-        F.sum("n").over(Window.partitionBy("class").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"),
+        F.sum("n").over(Window.partitionBy("class").orderBy("way", "part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"),
     ).drop("n", "ids")
-    ranked = pieces.join(before, ["part", "size", "class"]).join(F.broadcast(deal), "class")
+    ranked = pieces.join(before, ["part", "way", "class"]).join(F.broadcast(deal), "class")
     at = F.col("rank") + F.col("before")
     placed = ranked.withColumn("at", at).withColumn(
         "slot", F.get(F.filter("deal", lambda d: (d.low <= F.col("at")) & (F.col("at") < d.high)), F.lit(0))
