@@ -106,8 +106,8 @@ WITH sized AS (
     SELECT *, max(page_id) OVER (PARTITION BY payload) AS first FROM sized
 )
 SELECT page_id, cast(size AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
-    CASE WHEN size >= 1000 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-    CASE WHEN size >= 1000 AND first <> page_id THEN first END AS refers_to
+    CASE WHEN size >= 1000 AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN size >= 1000 AND first IS DISTINCT FROM page_id THEN first END AS refers_to
 FROM named
 """
 

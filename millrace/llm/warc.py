@@ -33,12 +33,13 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP = 16 + zlib.MAX_WBITS
 
 
-def _urn(page: int) -> str:
-    return f"<urn:millrace:page:{page}>"
+def _urn(page: int | None) -> str:
+    return f"<urn:millrace:page:{'none' if page is None else page}>"
 
 
-def _page(urn: str) -> int:
-    return int(urn.strip("<>").rpartition(":")[2])
+def _page(urn: str) -> int | None:
+    name = urn.strip("<>").rpartition(":")[2]
+    return None if name == "none" else int(name)
 
 
 def _digest(data: bytes) -> str:
@@ -103,14 +104,15 @@ def read_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], dict[str, s
 def revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, sha1 and refers_to, null for responses.
 
-    Among equal payloads of LEAST_BYTES and more, that of the largest page_id is kept.
+    Among equal payloads of LEAST_BYTES and more, that of the largest page_id is kept; rows that repeat this
+    id are responses too. Null ids are smaller than others; among null ids alone all are responses.
     A payload with very many copies is one hot key of the join; the side with the pages can be split.
     """
     plain = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     named = plain.select("*", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("size"))
     large = named.where(F.col("size") >= LEAST_BYTES).groupBy("sha1", "size")
     kept = large.agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = F.when(F.col("first") != F.col("page_id"), F.col("first"))
+    first = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     return named.join(written(kept), ["sha1", "size"], "left").select(
         "page_id", "url", "payload", "sha1", first.alias("refers_to")
     )
@@ -190,7 +192,7 @@ def archive_and_read(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """What the archives of all pages hold, read back.
 
     Null html is an empty payload; null or blank urls give records without a target.
-    Repeated page_ids give a record each. Other columns are not read; an empty
+    Repeated and null page_ids give a record each and are read back as they were. Other columns are not read; an empty
     table gives no archive and no rows.
     """
     return read_archives(write_archives(pages, folder))
