@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the cluster's spark.checkpoint.dir, which all executors see.
 
-    Only where the session names none (tests), a local temporary folder is set.
+    Where the session names none, one within the warehouse, which all executors see as well.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+        base = base if ":" in base else f"file://{base}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
 
