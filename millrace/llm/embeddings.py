@@ -4,8 +4,10 @@ Unit vectors are cut in halves; a codebook for each half makes a grid of cells.
 A vector lives in its nearest cell and visits others in the order of their
 distance (multi-sequence traversal) until the target recall, which is measured
 on neighbours at the limit. Visitors meet members cell by cell; a cell with many of
-either is cut into blocks, so hot cells spread over many tasks, and only counts
-and a spanning forest of links leave a block.
+either is cut into blocks, so hot cells spread over many tasks. They first meet with a
+byte for each component, whose error is bounded; only those that may reach the limit
+come again with their vectors. Counts and a spanning forest of links leave a block. Vectors
+of each length have an index of their own.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from millrace.llm.components import components
 COSINE = 0.95
 #: Vectors that the codebooks are fitted on, at most; all are indexed.
 SAMPLE = 20_000
-#: Vectors that a cell should hold, and codewords for each half, at most.
-PER_CELL, MOST_CODES = 32, 256
+#: Vectors that a cell should hold; codebooks grow with the root of the rows, up to one codeword for so many vectors of the sample.
+PER_CELL, PER_CODE = 32, 4
 #: Share of neighbours at the limit whose cell is visited, measured on TRIALS of them. Links are seen from both ends.
 RECALL, TRIALS = 0.999, 2_000
 #: Rows of either side in a block.
@@ -72,7 +74,7 @@ class MultiIndex:
     def __init__(self, sample: np.ndarray, rows: int):
         rng = np.random.default_rng(SEED)
         self.half = max(1, sample.shape[1] // 2)
-        codes = int(np.clip(round((rows / PER_CELL) ** 0.5), 1, min(MOST_CODES, len(sample))))
+        codes = int(np.clip(round((rows / PER_CELL) ** 0.5), 1, max(1, len(sample) // PER_CODE)))
         self.books = [_codebook(sample[:, s].copy(), codes, rng) for s in (slice(self.half), slice(self.half, None))]
         self.visits = self._visits(sample, rng)
 
@@ -91,10 +93,10 @@ class MultiIndex:
         return int(np.ceil(np.quantile(np.minimum(there, back), RECALL))) + 1
 
     def cells(self, x: np.ndarray) -> list[list[int]]:
-        """The cells that each vector visits; the first is where it lives."""
-        codes = len(self.books[0])
+        """The cells that each vector visits; the first is where it lives. Their numbers hold the vectors' length."""
+        codes, width = len(self.books[0]), x.shape[1] << 40
         a, b = self.distances(x)
-        return [[i * codes + j for i, j in traversal(a[k], b[k], self.visits)] for k in range(len(x))]
+        return [[width + i * codes + j for i, j in traversal(a[k], b[k], self.visits)] for k in range(len(x))]
 
 
 def _rank(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -126,13 +128,28 @@ def fit(units: DataFrame, rows: int) -> MultiIndex:
     return MultiIndex(np.stack(sample["v"].to_numpy()).astype(float), rows)
 
 
-def _visit(index: MultiIndex, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def bytes_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Components as bytes, what one step of a byte is worth, and how far each vector is from what its bytes say."""
+    step = np.maximum(np.abs(x).max(1), 1e-300) / 127
+    code = np.rint(x / step[:, None]).astype(np.int8)
+    return code, step, np.linalg.norm(x - code * step[:, None], axis=1)
+
+
+def _visit(indexes: dict[int, MultiIndex], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
             part = batch.slice(at, 2048)
-            x = np.stack(part.column("v").to_numpy(zero_copy_only=False))
-            cells = pa.array(index.cells(x), type=pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*part.columns, cells], names=[*part.schema.names, "cells"])
+            rows = part.column("v").to_numpy(zero_copy_only=False)
+            widths = np.array([len(v) for v in rows])
+            cells, code, step, off = [None] * len(rows), [None] * len(rows), np.zeros(len(rows)), np.zeros(len(rows))
+            for width in np.unique(widths).tolist():
+                own = np.flatnonzero(widths == width)
+                x = np.stack(rows[own])
+                short, step[own], off[own] = bytes_of(x)
+                for k, c, s in zip(own.tolist(), indexes[width].cells(x), short):
+                    cells[k], code[k] = c, s.tobytes()
+            more = [pa.array(cells, pa.list_(pa.int64())), pa.array(code, pa.binary()), pa.array(step), pa.array(off)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, "cells", "code", "step", "off"])
 
 
 _FOUND = "id bigint, other bigint, links bigint"
@@ -157,6 +174,23 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(i), np.concatenate(j)) if i else (np.empty(0, int), np.empty(0, int))
 
 
+def _may_link(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a block the visitors and members that may reach the limit by their bytes."""
+    visitors, members = rows[rows["visits"]], rows[~rows["visits"]]
+    if not len(visitors) or not len(members):
+        return rows.iloc[:0][_SHORT]
+    v, m = (np.stack([np.frombuffer(c, np.int8) for c in x["code"]]) * x["step"].to_numpy()[:, None] for x in (visitors, members))
+    v_off, m_off = visitors["off"].to_numpy()[:, None], members["off"].to_numpy()[None]
+    # With vectors v + e and m + f of length one, v . m is that far from their cosine at most.
+    bound = (1 + v_off) * m_off + (1 + m_off) * v_off + v_off * m_off + 1e-9
+    near = np.einsum("id,jd->ij", v, m) + bound >= COSINE
+    near &= visitors["id"].to_numpy()[:, None] != members["id"].to_numpy()[None]
+    return pd.concat([visitors[near.any(1)], members[near.any(0)]])[_SHORT]
+
+
+_SHORT = ["cell", "x", "y", "visits", "id"]
+
+
 def _block(rows: pd.DataFrame) -> pd.DataFrame:
     """Links between the visitors and the members of a block.
 
@@ -186,57 +220,58 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector.
 
     Vectors that are null, empty, zero or hold null or non-finite components link
-    with nothing. Equal vectors are one class with a count from the start. Vectors
-    of another length than the rest's most common one are compared among their like
-    only if they are equal. Repeated ids repeat in the result; extra columns are
-    not read; an empty table gives no rows.
+    with nothing. Equal vectors are one class with a count from the start. Vectors of
+    different lengths are never links; each length has its index. Repeated ids repeat in the result, each row
+    linked by its own vector; a component's id is the smallest that is not null, and rows with a null id are
+    kept where no row of their component has one. Extra columns are not read; an empty table gives no rows.
     """
     spark: SparkSession = vectors.sparkSession
     units = written(unit_vectors(vectors.select("vec_id", "embedding")))
     classes = units.where("v IS NOT NULL").withColumn("print", F.xxhash64("v"))
-    heads = written(
-        classes.groupBy("print", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    )
-    widths = heads.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    rows = heads.where(F.size("v") == widths["w"]).select("id", "copies", "v") if widths else None
-    if rows is None:
-        alone = units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-        return alone.withColumn("kept", F.lit(True))
-    n = rows.count()
-    index = spark.sparkContext.broadcast(fit(rows, n))  # two codebooks of MOST_CODES at most
-    fields = "id bigint, copies bigint, v array<double>, cells array<int>"
+    least = F.min(F.struct(F.col("vec_id").isNull().alias("unnamed"), "vec_id")).alias("least")
+    heads = classes.groupBy("print", "v").agg(least, F.count("*").alias("copies"))
+    # Written with its rows numbered, so that the numbers stay; a class is known by its number.
+    heads = written(heads.withColumn("id", F.monotonically_increasing_id()))
+    # A row for each length of vectors, of which a table has a few.
+    widths = {r["w"]: r["n"] for r in heads.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).collect()}
+    rows = heads.select("id", "copies", "v")
+    index = spark.sparkContext.broadcast({w: fit(rows.where(F.size("v") == w), n) for w, n in widths.items()})  # two codebooks each
+    fields = "id bigint, copies bigint, v array<double>, cells array<bigint>, code binary, step double, off double"
     placed = rows.repartition("id").mapInArrow(lambda batches: _visit(index.value, batches), fields)
     placed = written(placed.withColumn("home", F.col("cells")[0]))
     lives = placed.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("members"))
     comes = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("visitors"))
-    # A row for each cell of the grid, MOST_CODES squared at most.
+    # A row for each cell with members.
     sizes = written(lives.join(comes, "cell"))
     parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    short = ["id", "code", "step", "off"]
     # In a large cell each member meets each block of visitors, and each visitor each block of members.
     member = (
-        placed.withColumn("cell", F.col("home")).join(F.broadcast(sizes), "cell")
+        placed.select(F.col("home").alias("cell"), *short).join(sizes, "cell")
         .withColumn("x", F.pmod(F.xxhash64("id"), parts("members")).cast("int"))
         .withColumn("y", F.explode(F.sequence(F.lit(0), parts("visitors") - 1)))
-        .select("cell", "x", "y", F.lit(False).alias("visits"), "id", "copies", "v", "home", "cells")
+        .select("cell", "x", "y", F.lit(False).alias("visits"), *short)
     )
     visitor = (
-        placed.withColumn("cell", F.explode("cells")).join(F.broadcast(sizes), "cell")
+        placed.select(F.explode("cells").alias("cell"), *short).join(sizes, "cell")
         .withColumn("y", F.pmod(F.xxhash64("id"), parts("visitors")).cast("int"))
         .withColumn("x", F.explode(F.sequence(F.lit(0), parts("members") - 1)))
-        .select("cell", "x", "y", F.lit(True).alias("visits"), "id", "copies", "v", "home", F.lit(None).cast("array<int>").alias("cells"))
+        .select("cell", "x", "y", F.lit(True).alias("visits"), *short)
     )
-    found = written(member.unionByName(visitor).groupBy("cell", "x", "y").applyInPandas(_block, _FOUND))
+    met = member.unionByName(visitor).groupBy("cell", "x", "y")
+    some = written(met.applyInPandas(_may_link, "cell bigint, x int, y int, visits boolean, id bigint"))
+    again = some.join(placed.select("id", "copies", "v", "home", "cells"), "id")
+    found = written(again.groupBy("cell", "x", "y").applyInPandas(_block, _FOUND))
     counts = found.where("other IS NULL").groupBy("id").agg(F.sum("links").alias("links"))
     parted = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    classes_of = (
-        heads.select("print", "v", "id", "copies").join(counts, "id", "left").join(parted, "id", "left")
-        .select("print", "v", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component_id"))
-    )
-    named = units.withColumn("print", F.xxhash64("v")).join(written(classes_of), ["print", "v"], "left")
-    component = F.coalesce("component_id", "vec_id")
+    classes_of = heads.join(counts, "id", "left").join(parted, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    classes_of = written(classes_of.select("print", "v", "copies", F.coalesce("links", F.lit(0)).alias("links"), "component", "least"))
+    top = classes_of.groupBy("component").agg(F.min("least").vec_id.alias("component_id"))
+    named = units.withColumn("print", F.xxhash64("v")).join(classes_of.join(top, "component"), ["print", "v"], "left")
+    component = F.when(F.col("print").isNull() | F.col("v").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return named.select(
         "vec_id",
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
-        (component == F.col("vec_id")).alias("kept"),
+        component.eqNullSafe(F.col("vec_id")).alias("kept"),
     )
