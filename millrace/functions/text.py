@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,31 @@ from pyspark.sql import functions as F
 ARTICLES = ["a", "az", "the", "die", "le", "la", "el", "los", "las"]
 FREE_WORDS = ["ingyenes", "free", "gratis", "kostenlos", "gratuit"]
 RTL = ["ar", "fa", "he", "ur"]
+# Language tags and country codes of search services by locale, schema.org types by topic.
+SEARCH_LANGUAGE = {"hu": "hu-HU", "en": "en-US", "de": "de-DE", "fr": "fr-FR", "es": "es-ES"}
+SEARCH_COUNTRY = {
+    "en": "US", "de": "DE", "fr": "FR", "es": "ES", "it": "IT", "pt": "BR", "nl": "NL", "sv": "SE", "da": "DK", "fi": "FI",
+    "no": "NO", "pl": "PL", "tr": "TR", "ar": "SA", "zh": "CN", "ja": "JP", "ko": "KR", "ru": "RU",
+}
+TOPIC_TYPE = {
+    "running": "SportsClub", "cycling": "SportsClub", "hiking": "SportsClub", "swimming": "SportsClub", "yoga": "SportsClub",
+    "martial_arts": "SportsClub", "fitness": "SportsClub", "choir": "MusicGroup", "music": "MusicGroup", "dance": "DanceGroup",
+    "theater": "PerformingGroup",
+}
+# Named entities that are decoded, the ampersand last.
+ENTITIES = {
+    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&reg;": "®", "&middot;": "·",
+    "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&euro;": "€", "&amp;": "&",
+}
+
+
+#: What counts as white space at the ends of a text.
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def norm_key(text: Column) -> Column:
@@ -34,25 +60,27 @@ def community_id(name: Column, city: Column) -> Column:
     return sha_prefix(F.concat_ws("|", F.lower(name), F.lower(city)), 12)
 
 
-def _decompositions(low: int = 0xA0, high: int = 0x2FF) -> dict[str, str]:
-    """What compatibility decomposition leaves of each character in ASCII."""
-    out = {}
-    for code in range(low, high):
-        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
-        if plain:
-            out[chr(code)] = plain
-    return out
+@cache
+def _decompositions() -> dict[str, str]:
+    """What compatibility decomposition leaves of each character in ASCII, where that is something."""
+    found = ((chr(c), unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) for c in range(0x80, 0x110000))
+    return {c: plain for c, plain in found if plain}
 
 
 def to_ascii(text: Column) -> Column:
-    """Latin letters without their marks; what has no ASCII form goes."""
+    """Letters and digits of all scripts that have an ASCII form, without their marks; the rest goes.
+
+    Plain ASCII is not touched; the few texts with characters that become several (such as ligatures) go letter by letter.
+    """
     found = _decompositions()
     single = {k: v for k, v in found.items() if len(v) == 1}
-    out = F.translate(text, "".join(single), "".join(single.values()))
-    for k, v in found.items():
-        if len(v) > 1:
-            out = F.replace(out, F.lit(k), F.lit(v))
-    return F.regexp_replace(out, r"[^\x00-\x7F]", "")
+    several = {k: v for k, v in found.items() if len(v) > 1}
+    pairs = F.map_from_arrays(F.array(*map(F.lit, several)), F.array(*map(F.lit, several.values())))
+    letters = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c))
+    some = F.rlike(text, F.lit("[" + "".join(several) + "]"))
+    spread = F.when(some, F.array_join(letters, "")).otherwise(text)
+    plain = F.regexp_replace(F.translate(spread, "".join(single), "".join(single.values())), r"[^\x00-\x7F]", "")
+    return F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), plain).otherwise(text)
 
 
 def slug(text: Column) -> Column:
@@ -64,7 +92,7 @@ def community_url(city: Column, name: Column) -> Column:
 
 
 def strip_article(name: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(name)), f"^({'|'.join(ARTICLES)}) ", "")
+    return F.regexp_replace(strip(F.lower(name)), f"^({'|'.join(ARTICLES)}) ", "")
 
 
 def authority(url: Column) -> Column:
@@ -83,12 +111,12 @@ def blocked(url: Column, domains: list[str], suffix: bool = False) -> Column:
 
 def ensure_scheme(url: Column) -> Column:
     """Trimmed, with https:// where no scheme is, null where blank."""
-    bare = F.nullif(F.trim(url), F.lit(""))
+    bare = F.nullif(strip(url), F.lit(""))
     return F.when(bare.rlike("^https?://"), bare).otherwise(F.concat(F.lit("https://"), bare))
 
 
 def valid_links(links: Column) -> Column:
-    return F.filter(links, lambda x: F.trim(x).rlike("^https?://"))
+    return F.filter(links, lambda x: strip(x).rlike("^https?://"))
 
 
 def email_or_null(email: Column) -> Column:
@@ -96,12 +124,12 @@ def email_or_null(email: Column) -> Column:
 
 
 def email_key(email: Column) -> Column:
-    return F.lower(F.trim(email))
+    return F.lower(strip(email))
 
 
 def clean_tags(tags: Column, most: int = 8) -> Column:
     """Trimmed, without blanks, each once in order of appearance, the first `most`."""
-    kept = F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != "")
+    kept = F.filter(F.transform(tags, strip), lambda t: t != "")
     return F.slice(F.array_distinct(kept), 1, most)
 
 
@@ -151,7 +179,7 @@ def model_short(model: Column) -> Column:
 
 
 def is_free(fee: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(fee)).isin(FREE_WORDS), F.lit(False))
+    return F.coalesce(F.lower(fee).isin(FREE_WORDS), F.lit(False))
 
 
 def confidence_band(confidence: Column) -> Column:
@@ -166,11 +194,86 @@ def map_radius(count: Column) -> Column:
     return F.greatest(F.lit(7.0), F.least(F.lit(22.0), 5 + F.sqrt(count) * 1.6))
 
 
-def accepted_language(header: Column, known: list[str], default: str = "en") -> Column:
-    """The first known language of an Accept-Language header, in the order given."""
+def accepted_language(header: Column, known: list[str], default: str = "en", chosen: Column | None = None) -> Column:
+    """The language chosen before (a cookie) where it is known, else the first known one of an Accept-Language header, in the order given."""
     codes = F.transform(F.split(header, ","), lambda x: F.lower(F.substring_index(F.substring_index(F.trim(x), ";", 1), "-", 1)))
     listed = F.array(*map(F.lit, known))
-    return F.coalesce(F.get(F.filter(codes, lambda c: F.array_contains(listed, c)), F.lit(0)), F.lit(default))
+    first = F.get(F.filter(codes, lambda c: F.array_contains(listed, c)), F.lit(0))
+    before = F.lit(None) if chosen is None else F.when(chosen.isin(known), chosen)
+    return F.coalesce(before, first, F.lit(default))
+
+
+def text_direction(language: Column) -> Column:
+    return F.when(language.isin(RTL), "rtl").otherwise("ltr")
+
+
+def api_language(locale: Column) -> Column:
+    """The language tag that a self-hosted search takes for a locale."""
+    return F.coalesce(F.try_element_at(_literal_map(SEARCH_LANGUAGE), locale), F.lit("en-US"))
+
+
+def api_country(locale: Column) -> Column:
+    """The country code that a keyed search takes for a locale."""
+    return F.coalesce(F.try_element_at(_literal_map(SEARCH_COUNTRY), locale), F.lit("US"))
+
+
+def schema_type(topic: Column) -> Column:
+    """The schema.org type of a topic's groups."""
+    return F.coalesce(F.try_element_at(_literal_map(TOPIC_TYPE), topic), F.lit("Organization"))
+
+
+def _literal_map(values: dict[str, str]) -> Column:
+    return F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*map(F.lit, values.values())))
+
+
+def minute(time: Column) -> Column:
+    """A timestamp as it is shown: to the minute, with a space."""
+    return F.date_format(time, "yyyy-MM-dd HH:mm")
+
+
+def clock(time: Column) -> Column:
+    return F.date_format(time, "HH:mm:ss")
+
+
+def parse_iso(text: Column) -> Column:
+    """An ISO time, with T or a space and with or without a zone; null where it can't be read."""
+    return F.try_to_timestamp(text)
+
+
+def rounded(seconds: Column) -> Column:
+    """Two decimals; halves go to the even digit."""
+    return F.bround(seconds, 2)
+
+
+def short_token() -> Column:
+    """Eight random hexadecimal digits, for items of a queue."""
+    return F.substr(F.uuid(), F.lit(1), F.lit(8))
+
+
+def shown_website(website: Column, links: Column) -> Column:
+    """The website where it is a link, else the first social link that is one."""
+    first = F.get(F.filter(links, is_link), F.lit(0))
+    return F.coalesce(F.when(is_link(website), website), first)
+
+
+def is_link(text: Column) -> Column:
+    return F.coalesce(F.startswith(text, F.lit("http")), F.lit(False))
+
+
+def first_links(links: Column, most: int = 2) -> Column:
+    """The first few social links that are links."""
+    return F.slice(F.filter(links, is_link), 1, most)
+
+
+def shown_contact(contact: Column, email: Column, phone: Column) -> Column:
+    """The free contact only where neither e-mail nor phone is known."""
+    blank = lambda c: F.coalesce(c == "", F.lit(True))
+    return F.when(blank(email) & blank(phone), F.nullif(contact, F.lit("")))
+
+
+def shown_sources(sources: Column, source: Column) -> Column:
+    """The list of sources, or the one source where the list is empty."""
+    return F.when(F.coalesce(F.size(sources), F.lit(0)) > 0, sources).otherwise(F.array(source))
 
 
 def safe_redirect(target: Column) -> Column:
@@ -200,15 +303,40 @@ def html_title(html: Column) -> Column:
     return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
-def html_text(html: Column) -> Column:
-    """The text of a page, without scripts, styles, navigation, comments and tags."""
-    text = F.regexp_replace(html, r"(?is)<(script|style|nav)[^>]*>.*?</\1>", " ")
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    return F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))
+def decode_entities(text: Column) -> Column:
+    """Common named entities and numbered ones as the characters that they stand for."""
+
+    def numbered(part: Column) -> Column:
+        decimal, hexa = F.regexp_extract(part, r"^(\d{1,7});", 1), F.regexp_extract(part, r"^[xX]([0-9a-fA-F]{1,6});", 1)
+        code = F.when(decimal != "", decimal.cast("int")).when(hexa != "", F.conv(hexa, 16, 10).cast("int"))
+        code = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), code)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.coalesce(F.concat(char, F.regexp_replace(part, "^[^;]*;", "")), F.concat(F.lit("&#"), part))
+
+    parts = F.split(text, "&#")
+    rest = F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), numbered), "")
+    out = F.when(F.contains(text, F.lit("&#")), F.concat(F.get(parts, F.lit(0)), rest)).otherwise(text)
+    for entity, char in ENTITIES.items():
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+
+
+#: Elements whose text is never shown, and those around the main text.
+HIDDEN, AROUND = ["script", "style", "noscript", "template"], ["nav", "header", "footer", "aside", "form"]
+
+
+def html_text(html: Column, without: list[str] = HIDDEN + AROUND) -> Column:
+    """The text of a page without comments, tags and the elements named; one that is never closed reaches to the end."""
+    text = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", " ")
+    for name in without:
+        text = F.regexp_replace(text, rf"(?is)<{name}(?:\s[^>]*)?>.*?(?:</{name}\s*>|\z)", " ")
+    text = decode_entities(F.regexp_replace(text, r"(?s)<[^>]*>", " "))
+    return F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x{A0}]+", " "))
 
 
 def main_text(html: Column, least: int = 100) -> Column:
-    """The page's text where it has at least `least` characters, else null."""
-    text = html_text(html)
-    return F.when(F.length(text) >= least, text)
+    """The text of the page's article where it has `least` characters, else that of the page without what
+    stands around the main text, else all its text; null where none of them is so long."""
+    article = F.regexp_extract(html, r"(?is)<(article|main)(?:\s[^>]*)?>(.*?)(?:</\1\s*>|\z)", 2)
+    tries = [html_text(article), html_text(html), html_text(html, HIDDEN)]
+    return F.coalesce(*[F.when(F.length(text) >= least, text) for text in tries])

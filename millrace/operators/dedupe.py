@@ -1,19 +1,26 @@
-"""Fuzzy duplicates of named records: the greedy first match within a block."""
+"""Fuzzy duplicates of named records: the greedy first match within a block, folded where records can match at all.
+
+Two records can match only if they share a site, one name contains the other, or
+the names are close. Those links are found by joins on keys that lose none; the fold then runs in each
+connected part by itself, which gives what one fold of the whole block gives, as records of different
+parts never match.
+"""
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import strip_article
+from millrace.operators.components import components
+from millrace.storage import written
 
 #: Names closer than this are the same.
 RATIO = 0.88
-#: Rows of a block that are folded at once; a larger block is folded in parts by first word before its survivors are.
-LARGE = 2_000
 
 
 def same(a: str, b: str, site_a: str, site_b: str) -> bool:
@@ -22,7 +29,14 @@ def same(a: str, b: str, site_a: str, site_b: str) -> bool:
         return True
     if not a or not b:
         return False
-    return a in b or b in a or SequenceMatcher(None, a, b).ratio() > RATIO
+    return a in b or b in a or _close(a, b)
+
+
+def _close(a: str, b: str) -> bool:
+    if 2 * min(len(a), len(b)) <= RATIO * (len(a) + len(b)):
+        return False
+    match = SequenceMatcher(None, a, b)
+    return match.quick_ratio() > RATIO and match.ratio() > RATIO
 
 
 def _fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -37,22 +51,85 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.iloc[kept]
 
 
+def _grams(name: Column, size: int) -> Column:
+    """All runs of `size` characters; none of shorter names."""
+    last = F.greatest(F.length(name) - size, F.lit(-1))
+    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.substring(name, i + 1, F.lit(size)))
+
+
+def containments(names: DataFrame) -> DataFrame:
+    """(a, b) of names, by id, where the first is within the second, in one block.
+
+    A name looks for its rarest run of three characters (shorter names: for themselves) among the runs of others.
+    """
+    runs = lambda sizes: F.array_distinct(F.flatten(F.array(*[_grams(F.col("bare"), k) for k in sizes])))
+    held = names.select("block", "id", "bare", F.explode(runs([1, 2, 3])).alias("gram"))
+    times = written(held.groupBy("block", "gram").agg(F.count("*").alias("n")))
+    own = F.when(F.length("bare") < 3, F.array("bare")).otherwise(F.array_distinct(_grams(F.col("bare"), 3)))
+    asks = names.select("block", "id", "bare", F.explode(own).alias("gram")).join(times, ["block", "gram"])
+    rare = asks.groupBy("block", "id", "bare").agg(F.min(F.struct("n", "gram")).alias("r")).where("r.n > 1")
+    rare = rare.select("block", F.col("id").alias("a"), F.col("bare").alias("x"), F.col("r.gram").alias("gram"))
+    met = rare.join(held.withColumnRenamed("id", "b"), ["block", "gram"])
+    return met.where((F.col("a") != F.col("b")) & F.contains("bare", F.col("x"))).select("a", "b")
+
+
+def close_names(names: DataFrame) -> DataFrame:
+    """(a, b) of names, by id, whose ratio may exceed RATIO in either order, in one block.
+
+    Of la + lb characters at most 12 % are unmatched, so the matched blocks hold over 0.32 * (la + lb) - 1 common
+    pairs of letters; the shorter is at least 0.785 times as long as the longer. So two such names share one of the
+    floor(0.43 * length) + 2 rarest pairs (repeats numbered) of each.
+    """
+    pairs = F.posexplode(_grams(F.col("bare"), 2)).alias("at", "gram")
+    each = names.select("block", "id", "bare", pairs)
+    numbered = each.selectExpr("block", "id", "bare", "concat(gram, '#', row_number() OVER (PARTITION BY block, id, gram ORDER BY at)) AS token")
+    times = written(numbered.groupBy("block", "token").agg(F.count("*").alias("n")))
+    ranked = numbered.join(times, ["block", "token"]).groupBy("block", "id", "bare").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("r"))
+    most = (F.floor(F.length("bare") * 0.43) + 2).cast("int")
+    rare = written(ranked.select("block", "id", "bare", F.explode(F.slice("r", F.lit(1), most)).alias("r")).where("r.n > 1").select("block", "id", "bare", "r.token"))
+    other = rare.select("block", "token", F.col("id").alias("b"), F.col("bare").alias("y"))
+    small, large = F.least(F.length("bare"), F.length("y")), F.greatest(F.length("bare"), F.length("y"))
+    met = rare.join(other, ["block", "token"]).where((F.col("id") < F.col("b")) & (small >= large * 0.78))
+    met = met.select(F.col("id").alias("a"), "b", "bare", "y").distinct()
+
+    @F.arrow_udf("boolean")
+    def close(left: pa.Array, right: pa.Array) -> pa.Array:
+        found = zip(left.to_pylist(), right.to_pylist())
+        return pa.array([_close(a, b) or _close(b, a) for a, b in found], pa.bool_())
+
+    return met.where(close("bare", "y")).select("a", "b")
+
+
 def fuzzy_dedupe(rows: DataFrame, block: list[str], name: Column, website: Column, rich: Column, order: Column) -> DataFrame:
     """Survivors of each block: in order of name, a record joins the first one it equals, the richer staying.
 
-    The outcome depends on order, so a block is one fold. A block of more than LARGE
-    rows is first folded in parts by first word, in parallel; then its survivors are folded.
+    Null names and sites are empty and match nothing. Equal names are one node, so copies make no pairs. A part
+    whose records all hang together is one fold, as the outcome depends on its order.
     """
-    bare = F.coalesce(strip_article(name), F.lit(""))
     ready = rows.withColumns(
         {
-            "_name": F.coalesce(name, F.lit("")), "_bare": bare, "_rich": rich, "_seq": order,
-            "_site": F.rtrim(F.coalesce(website, F.lit("")), F.lit("/")),
+            "_name": F.coalesce(name, F.lit("")), "_bare": F.coalesce(strip_article(name), F.lit("")), "_rich": rich, "_seq": order,
+            "_site": F.rtrim(F.coalesce(website, F.lit("")), F.lit("/")), "_block": F.to_json(F.struct(*block), {"ignoreNullFields": "false"}),
         }
     )
-    sizes = rows.groupBy(*block).count().where(F.col("count") > LARGE).drop("count")
-    large = ready.join(sizes, block, "left_semi").withColumn("_part", F.substring_index("_bare", " ", 1))
-    folded = large.groupBy(*block, "_part").applyInPandas(_fold, large.schema).drop("_part")
-    parts = ready.join(sizes, block, "left_anti").unionByName(folded)
-    out = parts.groupBy(*block).applyInPandas(_fold, ready.schema)
-    return out.select(*rows.columns)
+    # Written with its nodes numbered, so that the numbers stay.
+    node = F.monotonically_increasing_id()
+    names = written(ready.where("_bare <> ''").select(F.col("_block").alias("block"), F.col("_bare").alias("bare")).distinct().withColumn("id", node))
+    named = ready.join(names.select(F.col("block").alias("_block"), F.col("bare").alias("_bare"), F.col("id").alias("_node")), ["_block", "_bare"], "left")
+    # Names that stand beside one site in a block hang together; the smallest is tied to each.
+    of_site = named.where("_site <> '' AND _node IS NOT NULL").groupBy("_block", "_site").agg(F.min("_node").alias("a"))
+    ties = named.join(of_site, ["_block", "_site"]).select("a", F.col("_node").alias("b")).where("a <> b").distinct()
+    links = written(containments(names).unionByName(close_names(names)).unionByName(ties))
+    parts = written(components(links))
+    grouped = named.join(parts.select(F.col("id").alias("_node"), "component"), "_node", "left")
+    # Records without a name hang together by site alone, and with the names beside that site.
+    site_part = grouped.where("_site <> ''").groupBy("_block", "_site").agg(F.min(F.coalesce("component", "_node")).alias("_site_part"))
+    grouped = grouped.join(site_part, ["_block", "_site"], "left")
+    own = F.coalesce(F.col("component"), F.col("_node"), F.col("_site_part"))
+    key = F.when(own.isNotNull(), F.concat(F.lit("n"), own.cast("string"))).when(F.col("_site") != "", F.concat(F.lit("s"), "_site"))
+    alone = grouped.withColumn("_part", key)
+    folded = alone.where("_part IS NOT NULL").select(*ready.columns, "_part")
+    kept = folded.groupBy("_block", "_part").applyInPandas(lambda g: _fold(g), folded.schema)
+    # Without name and site a record equals none.
+    return kept.select(*rows.columns).unionByName(alone.where("_part IS NULL").select(*rows.columns))

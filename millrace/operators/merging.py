@@ -32,8 +32,36 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], merged: dict[str, Co
     return a.join(b, on, "full_outer").select(*columns)
 
 
-def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return old.unionByName(new.join(old.select(*keys), keys, "left_anti"))
+def insert_absent(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """`old` and the rows of `new` whose keys it lacks; of new rows with one key the first in `order` (default: all columns)."""
+    first = first_seen(new, keys, order or [c for c in new.columns if c not in keys])
+    return old.unionByName(first.join(old.select(*keys), keys, "left_anti"))
+
+
+def kept_or_new(old: DataFrame, new: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
+    """For each key of `new` the value that holds from now on: the stored one where there is one, else the first new one."""
+    wanted = first_seen(new, keys, order)
+    held = old.select(*keys, F.col(value).alias("_held"))
+    return wanted.join(held, keys, "left").select(*keys, F.coalesce("_held", value).alias(value))
+
+
+def appended(old: DataFrame, content: DataFrame, keys: list[str], order: str = "version", text: str = "content") -> DataFrame:
+    """`old` versions and a next one of each key whose new content differs from its last; a first one is version 1."""
+    last = old.groupBy(*keys).agg(F.max_by(text, order).alias("_last"), F.count("*").alias("_n"))
+    joined = content.join(last, keys, "left").where(~F.col(text).eqNullSafe(F.col("_last")) | F.col("_n").isNull())
+    new = joined.withColumn(order, (F.coalesce("_n", F.lit(0)) + 1).cast(old.schema[order].dataType))
+    return old.unionByName(new.drop("_last", "_n"))
+
+
+def removed(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that stay, and one row: how many went and whether any did."""
+    gone = rows.join(keys.distinct(), keys.columns, "left_semi").agg(F.count("*").alias("removed"))
+    return delete_keys(rows, keys), gone.select("removed", (F.col("removed") > 0).alias("any"))
+
+
+def truncated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """No rows of the same columns, and one row: how many there were."""
+    return rows.limit(0), rows.agg(F.count("*").alias("removed"))
 
 
 def delete_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:

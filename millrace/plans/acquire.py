@@ -37,6 +37,11 @@ def first_pages(results: DataFrame, pair: list[str], url: str, order: str, most:
     return once.withColumn("n", place).where(F.col("n") <= most)
 
 
+def numbered(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Rows numbered from 1 within each group, in order."""
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("long"))
+
+
 def with_hits(wanted: DataFrame, cached: DataFrame, keys: list[str]) -> DataFrame:
     """Wanted rows with a flag for those that the cache holds."""
     known = cached.select(*keys).distinct().withColumn("hit", F.lit(True))

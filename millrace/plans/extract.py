@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import difflib
+import html
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace import schemas
@@ -63,16 +67,71 @@ def fingerprint(prompt: Column, model: Column) -> Column:
     return T.sha_prefix(F.concat(prompt, model), 12)
 
 
-def effective_prompt(base: str, negatives: DataFrame, city: str = "", topic: str = "", kind: str = "extraction") -> DataFrame:
-    """One row: the prompt with the negative examples that hold for the place and topic; blank means any."""
-    fits = F.col("fp_type") == kind
+# Kinds of negative examples.
+KINDS = ["extraction", "enrichment"]
+#: What stands before the examples of a kind.
+HEADINGS = {"extraction": "Not to be extracted:", "enrichment": "Not to be taken over again:"}
+
+
+def relevant(negatives: DataFrame, city: str = "", topic: str = "", kind: str = "extraction") -> DataFrame:
+    """Negative examples of a kind that hold for a place and a topic; blank means any."""
+    fits = F.coalesce("fp_type", F.lit("extraction")) == kind
     for column, value in (("city", city), ("topic", topic)):
         if value:
             fits &= F.col(column) == value
-    reason = F.when(F.coalesce("reason", F.lit("")) != "", F.concat(F.lit(": "), "reason")).otherwise("")
-    line = F.concat(F.lit("- "), "name", reason)
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", line.alias("line")))), lambda x: x.line), "\n")
-    section = negatives.where(fits).agg(lines.alias("lines"), F.count("*").alias("fp_count"))
-    return section.select(
-        F.when(F.col("fp_count") > 0, F.concat(F.lit(base + "\n\nNot to be extracted:\n"), "lines")).otherwise(base).alias("prompt"), "fp_count"
-    )
+    return negatives.where(fits)
+
+
+def _bullets(order: str) -> Column:
+    line = F.concat(F.lit('- "'), "name", F.lit('": '), F.coalesce("reason", F.lit("")))
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))), lambda x: x.line), "\n")
+
+
+def effective_prompt(
+    base: str, negatives: DataFrame, city: str = "", topic: str = "", kind: str = "extraction", order: str = "marked_at"
+) -> DataFrame:
+    """One row: the prompt with the negative examples that hold for the place and topic, in the order in which they were stored.
+
+    A prompt holds its examples as one text, so this is for a place and topic, as `effective_prompts` is for all.
+    """
+    section = relevant(negatives, city, topic, kind).agg(_bullets(order).alias("lines"), F.count("*").alias("fp_count"))
+    return section.select(_with_section(base, kind).alias("prompt"), "fp_count")
+
+
+def _with_section(base: str, kind: str) -> Column:
+    return F.when(F.col("fp_count") > 0, F.concat(F.lit(f"{base}\n\n{HEADINGS[kind]}\n"), "lines")).otherwise(base)
+
+
+def effective_prompts(base: str, negatives: DataFrame, by: list[str], kind: str = "extraction", order: str = "marked_at") -> DataFrame:
+    """The prompt of each place or topic that has negative examples."""
+    section = relevant(negatives, kind=kind).groupBy(*by).agg(_bullets(order).alias("lines"), F.count("*").alias("fp_count"))
+    return section.select(*by, _with_section(base, kind).alias("prompt"), "fp_count")
+
+
+def negative_counts(negatives: DataFrame) -> DataFrame:
+    """One row: negative examples of each kind."""
+    return negatives.agg(*[F.count_if(F.coalesce("fp_type", F.lit("extraction")) == k).alias(k) for k in KINDS])
+
+
+def line_diff(old: Column, new: Column) -> Column:
+    """The line differences of two texts as HTML: added and removed lines marked, hints left out, null counts as empty."""
+
+    @F.arrow_udf("string")
+    def compare(olds: pa.Array, news: pa.Array) -> pa.Array:
+        return pa.array([_diff_html(a.as_py() or "", b.as_py() or "") for a, b in zip(olds, news)], pa.string())
+
+    return compare(old, new)
+
+
+def _diff_html(old: str, new: str) -> str:
+    marks = {"+ ": '<span class="diff-add">{}</span>', "- ": '<span class="diff-del">{}</span>', "  ": "{}"}
+    lines = difflib.ndiff(old.splitlines(keepends=True), new.splitlines(keepends=True))
+    return "".join(marks[x[:2]].format(html.escape(x[2:], quote=False)) for x in lines if x[:2] in marks)
+
+
+def prompt_versions(history: DataFrame, base: str) -> DataFrame:
+    """Stored prompt versions, newest first, each with its difference from the one before (the first: from the base prompt)."""
+    by = Window.partitionBy("fp_type").orderBy("version")
+    before = F.coalesce(F.lag("content").over(by), F.lit(base))
+    shown = history.withColumn("diff_html", line_diff(before, F.col("content")))
+    return shown.orderBy("fp_type", F.desc("version"))

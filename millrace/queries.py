@@ -6,8 +6,6 @@ documents are crawled pages, orders are runs, events are log lines.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,8 +13,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import dedupe, merging
-from millrace.plans import acquire, enrich, extract, serving
+from millrace.plans import acquire, cache, enrich, extract, serving
 from millrace.sources import connectors
+from millrace.storage import shared_folder
 from millrace.streaming import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,9 +101,8 @@ def cross_city_top6_first4(t: Tables) -> DataFrame:
 
 @query(f"SELECT city, topic, n, coalesce(r_name, '') AS country FROM (SELECT city, topic, n_regionkey, count(*) AS n FROM {RECORDS} GROUP BY ALL) LEFT JOIN region ON n_regionkey = r_regionkey")
 def results_with_country(t: Tables) -> DataFrame:
-    counts = records(t).groupBy("city", "topic", "n_regionkey").agg(F.count("*").alias("n"))
-    regions = t.region.select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name"))
-    return counts.join(regions, "n_regionkey", "left").select("city", "topic", "n", F.coalesce("r_name", F.lit("")).alias("country"))
+    cities = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("city"), F.col("r_name").alias("country"))
+    return serving.with_country(serving.city_topic_counts(records(t)), cities).select("city", "topic", "n", "country")
 
 
 @query(f"SELECT city, topic, n FROM (SELECT city, topic, count(*) AS n FROM {RECORDS} GROUP BY ALL) WHERE CASE WHEN n >= 2 THEN '2+' ELSE cast(n AS VARCHAR) END = '2+' AND topic IN ('BUILDING', 'MACHINERY')")
@@ -132,12 +130,11 @@ def facet_values(t: Tables) -> DataFrame:
     return t.events.agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("facet_values"))
 
 
-@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderstatus = 'F', coalesce(strftime(o_orderdate, '%Y-%m-%d'), '0000') DESC, o_orderkey) AS place FROM orders")
+@query("SELECT o_orderkey, o_orderdate FROM orders")
 def cache_index_order(t: Tables) -> DataFrame:
-    order = Window.partitionBy("o_orderpriority").orderBy(
-        (F.col("o_orderstatus") == "F").asc(), F.coalesce(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("0000")).desc(), "o_orderkey"
-    )
-    return t.orders.select("o_orderkey", F.row_number().over(order).cast("long").alias("place"))
+    """All pages in the order of the index: a sort by ranges, without a window over all of them; tests hold the order."""
+    entries = t.orders.select(F.col("o_orderkey").alias("url_hash"), F.col("o_orderdate").alias("scraped_at"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("extracted_at"))
+    return cache.ordered(entries).select(F.col("url_hash").alias("o_orderkey"), F.col("scraped_at").alias("o_orderdate"))
 
 
 @query(r"SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS domain, sha256(url)[1:16] AS url_hash FROM pages")
@@ -183,42 +180,63 @@ def html_title(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.html_title(F.col("html")).alias("title"))
 
 
-@query(r"""SELECT page_id, text FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
- '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<nav[^>]*>.*?</nav>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g')) AS text FROM pages) WHERE length(text) >= 100""")
+def _text_nodes(html: str) -> str:
+    """The same text from the other side: what stands between tags is gathered, not the tags taken out."""
+    nodes = f"array_to_string(regexp_extract_all('>' || {html}, '(?s)>([^<]*)', 1), ' ')"
+    for entity, char in T.ENTITIES.items():
+        nodes = f"replace({nodes}, '{entity}', chr({ord(char)}))"
+    return f"trim(regexp_replace({nodes}, '[ \\t\\n\\r\\f]+', ' ', 'g'))"
+
+
+def _without(names: list[str]) -> str:
+    html = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
+    for name in names:
+        html = f"regexp_replace({html}, '(?is)<{name}[^>]*>.*?</{name}>', ' ', 'g')"
+    return html
+
+
+@query(f"""SELECT page_id, text FROM (SELECT page_id, CASE WHEN length(a) >= 100 THEN a WHEN length(b) >= 100 THEN b WHEN length(c) >= 100 THEN c END AS text FROM (SELECT page_id,
+ {_text_nodes("regexp_extract(html, '(?is)<article>(.*?)</article>', 1)")} AS a, {_text_nodes(_without(["script", "style", "nav", "footer"]))} AS b, {_text_nodes(_without(["script", "style"]))} AS c FROM pages)) WHERE text IS NOT NULL""")
 def html_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.main_text(F.col("html")).alias("text")).where("text IS NOT NULL")
 
 
 def _halves(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Stored rows, and a delta that overlaps them: orders, and those of even keys with another status."""
+    """Stored rows, and a delta that overlaps them: orders that aren't open, and those that aren't finished with another status."""
     rows = t.orders.select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"))
-    return rows.where("o_orderkey % 3 <> 0"), rows.where("o_orderkey % 2 = 0").withColumn("status", F.lit("N"))
+    return rows.where("status <> 'O'"), rows.where("status <> 'F'").withColumn("status", F.lit("N"))
 
 
-@query("SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, coalesce(b.o_custkey, a.o_custkey) AS o_custkey, CASE WHEN b.o_orderkey IS NULL THEN a.o_orderstatus WHEN a.o_orderkey IS NULL THEN 'N' ELSE 'N<' || a.o_orderstatus END AS status FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) b ON a.o_orderkey = b.o_orderkey")
+@query("SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, coalesce(b.o_custkey, a.o_custkey) AS o_custkey, CASE WHEN b.o_orderkey IS NULL THEN a.o_orderstatus WHEN a.o_orderkey IS NULL THEN 'N' ELSE 'N<' || a.o_orderstatus END AS status FROM (SELECT * FROM orders WHERE o_orderstatus <> 'O') a FULL JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') b ON a.o_orderkey = b.o_orderkey")
 def keyed_upsert(t: Tables) -> DataFrame:
     old, new = _halves(t)
     return merging.upsert(old, new, ["o_orderkey"], {"status": F.concat_ws("<", "new.status", "old.status")})
 
 
-@query("SELECT o_orderkey, o_orderpriority AS topic, 'old' AS side FROM orders WHERE o_orderpriority NOT IN (SELECT o_orderpriority FROM orders WHERE o_orderkey % 7 = 0 AND o_orderpriority < '3') UNION ALL SELECT o_orderkey, o_orderpriority, 'new' FROM orders WHERE o_orderkey % 7 = 0 AND o_orderpriority < '3'")
+@query("SELECT o_orderkey, o_orderpriority AS topic, 'old' AS side FROM orders WHERE o_orderpriority NOT IN (SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority < '3') UNION ALL SELECT o_orderkey, o_orderpriority, 'new' FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority < '3'")
 def replace_partition(t: Tables) -> DataFrame:
-    rows = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("topic"))
-    new = rows.where("o_orderkey % 7 = 0 AND topic < '3'").withColumn("side", F.lit("new"))
+    rows = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("topic"), "o_orderstatus")
+    new = rows.where("o_orderstatus = 'P' AND topic < '3'").withColumn("side", F.lit("new")).drop("o_orderstatus")
+    rows = rows.drop("o_orderstatus")
     return merging.replace_partitions(rows.withColumn("side", F.lit("old")), new, ["topic"])
 
 
-@query("SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY k) AS sources FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS k FROM orders GROUP BY ALL) GROUP BY o_custkey")
+@query("""SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY side, k) AS sources FROM (SELECT o_custkey, o_orderpriority, min(side) AS side, arg_min(k, side) AS k FROM
+(SELECT o_custkey, o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS side, min(o_orderkey) AS k FROM orders GROUP BY ALL) GROUP BY ALL) GROUP BY o_custkey""")
 def merge_source_urls(t: Tables) -> DataFrame:
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x.o_orderpriority)
-    held = t.orders.groupBy("o_custkey").agg(ordered.alias("new"))
-    return held.select("o_custkey", F.array_join(T.merged_distinct(F.col("new"), F.slice("new", 1, 2)), ",").alias("sources"))
+    """Priorities as sources: those of finished orders are stored, the others come new and stand first."""
+    first = t.orders.groupBy("o_custkey", (F.col("o_orderstatus") == "F").alias("old"), "o_orderpriority").agg(F.min("o_orderkey").alias("k"))
+    listed = lambda rows: F.transform(F.array_sort(F.collect_list(F.when(rows, F.struct("k", "o_orderpriority")))), lambda x: x.o_orderpriority)
+    sides = first.groupBy("o_custkey").agg(listed(~F.col("old")).alias("new"), listed(F.col("old")).alias("old"))
+    return sides.select("o_custkey", F.array_join(T.merged_distinct(F.col("new"), F.col("old")), ",").alias("sources"))
 
 
 @query("SELECT c_nationkey, string_agg(c_mktsegment, ',' ORDER BY k) AS tags FROM (SELECT c_nationkey, c_mktsegment, min(c_custkey) AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY min(c_custkey)) AS n FROM customer GROUP BY c_nationkey, c_mktsegment) WHERE n <= 3 GROUP BY c_nationkey")
 def tags_cap(t: Tables) -> DataFrame:
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))), lambda x: F.concat(F.lit(" "), x.c_mktsegment))
-    return t.customer.groupBy("c_nationkey").agg(ordered.alias("tags")).select("c_nationkey", F.array_join(T.clean_tags(F.col("tags"), 3), ",").alias("tags"))
+    # A row for each nation and segment before anything is listed.
+    first = t.customer.groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("k"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "c_mktsegment"))), lambda x: F.concat(F.lit("\t"), x.c_mktsegment))
+    return first.groupBy("c_nationkey").agg(ordered.alias("tags")).select("c_nationkey", F.array_join(T.clean_tags(F.col("tags"), 3), ",").alias("tags"))
 
 
 @query("SELECT sha256(text)[1:16] AS text_hash, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY 1")
@@ -243,10 +261,10 @@ def negative_bullets(t: Tables) -> DataFrame:
     return serving.bullets(rows, "o_orderpriority", "o_orderstatus", "k")
 
 
-@query("""SELECT n_nationkey, '{"@type":"SportsClub","name":"' || n_name || '","location":{"@type":"Place","address":"' || r_name || '"}}' AS document FROM nation JOIN region ON n_regionkey = r_regionkey""")
+@query("""SELECT n_nationkey, '{"@type":"Organization","name":"' || n_name || '","location":{"@type":"Place","addressLocality":"' || r_name || '"}}' AS document FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def jsonld_doc(t: Tables) -> DataFrame:
     rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.select("n_nationkey", serving.jsonld(F.lit("SportsClub"), F.col("n_name"), F.col("r_name"), F.lit(None)).alias("document"))
+    return rows.select("n_nationkey", serving.jsonld({"name": F.col("n_name"), "city": F.col("r_name"), "topic": F.lit("chess")}).alias("document"))
 
 
 @query("SELECT event_id, cast(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
@@ -261,7 +279,7 @@ def fmt_duration(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS minute, strftime(ts, '%H:%M:%S') AS clock FROM events")
 def fmt_time(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute"), F.date_format("ts", "HH:mm:ss").alias("clock"))
+    return t.events.select("event_id", T.minute(F.col("ts")).alias("minute"), T.clock(F.col("ts")).alias("clock"))
 
 
 @query(f"SELECT city, n, round(greatest(7.0, least(22.0, 5 + sqrt(n) * 1.6)), 6) AS radius FROM (SELECT city, count(*) AS n FROM {RECORDS} GROUP BY city)")
@@ -338,8 +356,7 @@ def run_log_rollup(t: Tables) -> DataFrame:
 
 @query(f"SELECT coalesce(city, '*') AS city, coalesce(topic, '*') AS topic, count(*) AS n FROM {RECORDS} GROUP BY ROLLUP (city, topic)")
 def city_topic_rollup(t: Tables) -> DataFrame:
-    totals = records(t).rollup("city", "topic").agg(F.count("*").alias("n"))
-    return totals.select(F.coalesce("city", F.lit("*")).alias("city"), F.coalesce("topic", F.lit("*")).alias("topic"), "n")
+    return serving.rollup(records(t))
 
 
 @query("SELECT conv_id, turn, 'Page for ' || role || chr(10) || substr(text, 1, 120) AS prompt, CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '…' ELSE text END AS short FROM conversations")
@@ -359,7 +376,7 @@ def richness(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", T.richness([F.col("p_brand"), F.col("p_type")], F.array(F.lit("a"), F.lit("b"))).cast("int").alias("richness"))
 
 
-@query("SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) b ON a.o_orderkey = b.o_orderkey")
+@query("SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT * FROM orders WHERE o_orderstatus <> 'O') a FULL JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') b ON a.o_orderkey = b.o_orderkey")
 def snapshot_diff(t: Tables) -> DataFrame:
     return merging.snapshot_diff(*_halves(t), ["o_orderkey"])
 
@@ -402,7 +419,7 @@ def extract_records(t: Tables) -> DataFrame:
     )
 
 
-@query("SELECT c_custkey AS record_key, CASE WHEN c_custkey % 3 = 0 THEN 'https://own' WHEN o.k IS NOT NULL THEN 'https://found/' || o.k END AS website, c_custkey % 3 <> 0 AND o.k IS NOT NULL AS enriched FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS k FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey) o ON o_custkey = c_custkey")
+@query("SELECT c_custkey AS record_key, CASE WHEN c_custkey % 3 = 0 THEN 'https://own' WHEN o.k IS NOT NULL THEN 'https://found/' || o.k END AS website, c_custkey % 3 <> 0 AND o.k IS NOT NULL AS enriched FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS k FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders) WHERE nth <= 2 AND o_orderstatus <> 'F' GROUP BY o_custkey) o ON o_custkey = c_custkey")
 def enrich_fill(t: Tables) -> DataFrame:
     """Records without a website get that of their first candidate that has one."""
     text, links = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
@@ -413,11 +430,11 @@ def enrich_fill(t: Tables) -> DataFrame:
         F.lit(True).alias("joinable"), F.lit(0).alias("founding_year"),
     )
     useful = F.when(F.col("o_orderstatus") != "F", F.concat(F.lit("https://found/"), F.col("o_orderkey").cast("string")))
-    replies = t.orders.select(
-        F.col("o_custkey").alias("record_key"), F.col("o_orderkey").alias("candidate_rank"), useful.alias("website"),
+    replies = acquire.numbered(t.orders, ["o_custkey"], "o_orderkey").select(
+        F.col("o_custkey").alias("record_key"), (F.col("n") - 1).alias("candidate_rank"), useful.alias("website"),
         *[text.alias(c) for c in ("contact", "email", "phone")], links.alias("social_links"),
     )
-    done = enrich.enriched(record.withColumn("website", T.ensure_scheme(F.col("website"))), enrich.first_success(replies, most=1 << 60))
+    done = enrich.enriched(record.withColumn("website", T.ensure_scheme(F.col("website"))), enrich.first_success(replies))
     return done.select("record_key", "website", "enriched")
 
 
@@ -453,17 +470,18 @@ def log_ring_buffer(t: Tables) -> DataFrame:
     return logs.retained(t.events.select(F.col("event_id").alias("seq"), text.alias("text")))
 
 
-@query("SELECT o_orderpriority AS topic, 'Extract.' || chr(10) || string_agg('- ' || o_orderstatus, chr(10) ORDER BY o_orderstatus) AS prompt FROM (SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders) GROUP BY o_orderpriority")
+@query("""SELECT o_orderpriority AS topic, 'Extract.' || chr(10) || chr(10) || 'Not to be extracted:' || chr(10) || string_agg('- "' || o_orderstatus || '": ' || CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'r' END, chr(10) ORDER BY k) AS prompt, count(*) AS fp_count
+FROM (SELECT o_orderpriority, o_orderstatus, min(o_orderkey) AS k FROM orders GROUP BY ALL) GROUP BY o_orderpriority""")
 def prompts_with_negatives(t: Tables) -> DataFrame:
-    lines = F.transform(F.array_sort(F.collect_set("o_orderstatus")), lambda s: F.concat(F.lit("- "), s))
-    rows = t.orders.groupBy(F.col("o_orderpriority").alias("topic")).agg(F.array_join(lines, "\n").alias("lines"))
-    return rows.select("topic", F.concat_ws("\n", F.lit("Extract."), "lines").alias("prompt"))
+    kinds = t.orders.groupBy(F.col("o_orderpriority").alias("topic"), F.col("o_orderstatus").alias("name")).agg(F.min("o_orderkey").alias("marked_at"))
+    negatives = kinds.withColumns({"reason": F.when(F.col("name") != "P", "r"), "fp_type": F.lit(None).cast("string")})
+    return extract.effective_prompts("Extract.", negatives, ["topic"])
 
 
-@query("SELECT r_name AS country, '{\"@context\":\"https://schema.org\",\"@graph\":[' || string_agg('{\"@type\":\"Place\",\"name\":\"' || n_name || '\"}', ',' ORDER BY n_name) || ']}' AS document FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+@query("SELECT r_name AS country, '{\"@context\":\"https://schema.org\",\"@graph\":[' || string_agg('{\"@type\":\"Organization\",\"name\":\"' || n_name || '\",\"location\":{\"@type\":\"Place\"}}', ',' ORDER BY n_name) || ']}' AS document FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def jsonld_graph(t: Tables) -> DataFrame:
     rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    one = serving.jsonld(F.lit("Place"), F.col("n_name"), F.lit(None).cast("string"), F.lit(None))
+    one = serving.jsonld({"name": F.col("n_name")})
     return serving.jsonld_graph(rows.select(F.col("r_name").alias("country"), one.alias("one")), "one", "country")
 
 
@@ -484,8 +502,7 @@ def stream_event_counts(t: Tables) -> DataFrame:
     """The same counts by a stream over the table: what is there is read in batches, then the stream stops."""
     source = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parquet*")
     counts = source.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"))
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    place = f"{base}/stream-{uuid.uuid4().hex}"
+    place = shared_folder(t.spark)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/rows/batch={number}")

@@ -11,11 +11,16 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import text as T
 from millrace.functions.text import blocked, main_text
 
+#: Results that a keyed search gives at most for one call.
+MOST_RESULTS = 20
+RESULTS = "array<struct<url:string,title:string,snippet:string>>"
+
 
 class RateLimited(Exception):
     """The service asks for a pause of so many seconds."""
@@ -67,6 +72,52 @@ def call_service(rows: DataFrame, column: str, client: Callable[[], Callable[[st
     return spread.mapInPandas(run, f"{fields}, reply string, status string")
 
 
+def keyed_search(query: Column, locale: Column, most: int = 10) -> Column:
+    """The parameters of a call of a keyed search service."""
+    language = F.when(F.length(locale) == 2, locale).otherwise("en")
+    count = F.lit(str(min(most, MOST_RESULTS)))
+    return F.create_map(F.lit("q"), query, F.lit("count"), count, F.lit("country"), T.api_country(locale), F.lit("search_lang"), language)
+
+
+def hosted_search(query: Column, locale: Column) -> Column:
+    """The parameters of a call of a self-hosted search service."""
+    return F.create_map(F.lit("q"), query, F.lit("format"), F.lit("json"), F.lit("language"), T.api_language(locale), F.lit("pageno"), F.lit("1"))
+
+
+def search_status(code: Column) -> Column:
+    """What an answer's code means: a spent quota (402 and 429), failed (400 and above, or no answer), or ok."""
+    return F.when(code.isin(402, 429), "quota").when(F.coalesce(code >= 400, F.lit(True)), "failed").otherwise("ok")
+
+
+def search_results(replies: DataFrame, path: str, snippet: str, most: int = 10) -> DataFrame:
+    """A row for each result of JSON replies (`reply`), numbered from 0, the first `most`; unreadable replies give none.
+
+    `path` says where the list lies (`$.web.results` or `$.results`), `snippet` what the text is called there.
+    """
+    schema = f"array<struct<url:string,title:string,{snippet}:string>>"
+    items = F.slice(F.from_json(F.get_json_object("reply", path), schema), 1, most)
+    rows = replies.select(*[c for c in replies.columns if c != "reply"], F.posexplode(items).alias("rank", "x"))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    kept = [c for c in replies.columns if c != "reply"]
+    return rows.select(*kept, "rank", blank(F.col("x.url")).alias("url"), blank(F.col("x.title")).alias("title"), blank(F.col(f"x.{snippet}")).alias("snippet"))
+
+
+def first_urls(rows: DataFrame, by: list[str], order: str, most: int = 5) -> DataFrame:
+    """The first pages of each pair that are worth fetching."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    return rows.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
+def fetch_many(rows: DataFrame, client: Callable, blocked_domains: list[str], by: list[str], order: str, most: int = 5, **options) -> DataFrame:
+    """(…, url, text): the first `most` URLs of each pair fetched, of which those with text stay.
+
+    The client gives a page's HTML, or null for errors and other kinds of content; hosts that are blocked are not called.
+    """
+    wanted = first_urls(rows, by, order, most).where(~blocked(F.col("url"), blocked_domains))
+    pages = call_service(wanted, "url", client, **options)
+    return pages.withColumn("text", main_text(F.col("reply"))).where("text IS NOT NULL").drop("reply", "status")
+
+
 def with_fallback(rows: DataFrame, column: str, first: Callable, second: Callable, **options) -> DataFrame:
     """The first service's replies, and the second's for the rows that the first did not take."""
     tried = call_service(rows, column, first, **options)

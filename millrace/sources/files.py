@@ -40,18 +40,66 @@ def topics(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, schemas.TOPICS)
 
 
-def settings(spark: SparkSession, path: str) -> dict:
-    merged: dict = {}
+#: Settings that a configuration may leave out.
+DEFAULTS = {
+    "local": {"max_text_chars": "3000"}, "fetch": {"blocked_domains": []}, "cache": {"skip_scraped": "true", "skip_extracted": "true"},
+    "pipeline": {"test_mode": "false", "test_cities": [], "enrich_communities": "true"},
+    "hosted": {"temperature": "0.1", "timeout_seconds": "60", "max_text_chars": "4000", "rate_limit_seconds": "4.0"},
+}
+
+
+def settings(spark: SparkSession, path: str, environment: dict[str, str] | None = None) -> dict:
+    """Configuration over its defaults, section by section; SECTION__NAME of the environment stands over both."""
+    merged: dict = {k: dict(v) for k, v in DEFAULTS.items()}
     for text in _documents(spark, path):
-        merged |= _yaml(text)
+        for section, values in _yaml(text).items():
+            merged[section] = {**merged.get(section, {}), **values} if isinstance(values, dict) else values
+    for name, value in (environment or {}).items():
+        section, _, key = name.lower().partition("__")
+        if key and isinstance(merged.setdefault(section, {}), dict):
+            merged[section][key] = value
     return merged
 
 
-def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored table, or no rows where none has been written yet."""
+def allowed_cities(config: dict) -> list[str] | None:
+    """The cities that a run is cut to in test mode; None for all."""
+    pipeline = config.get("pipeline", {})
+    return list(pipeline.get("test_cities") or []) if str(pipeline.get("test_mode", "false")).lower() == "true" else None
+
+
+def coordinates(spark: SparkSession, path: str) -> DataFrame:
+    """(city, lat, lng) from a JSON Lines or CSV file with a header."""
+    schema = "city string, lat double, lng double"
+    return spark.read.schema(schema).csv(path, header=True) if path.endswith(".csv") else spark.read.schema(schema).json(path)
+
+
+def negatives(spark: SparkSession, path: str) -> DataFrame:
+    """Exported negative examples: missing reasons and sources are empty, a missing kind is extraction."""
+    rows = spark.read.schema(schemas.FALSE_POSITIVES).json(path, multiLine=True)
+    blank = {c: F.coalesce(c, F.lit("")) for c in ("reason", "source_url")}
+    return rows.withColumns({**blank, "fp_type": F.coalesce("fp_type", F.lit("extraction"))})
+
+
+def prompt_history(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("extraction", "enrichment")) -> DataFrame:
+    """Exported prompt versions, one file for each kind, whose kind the file's name says; kinds without a file have none."""
+    out = spark.createDataFrame([], schemas.PROMPT_HISTORY)
+    for kind in kinds:
+        path = f"{folder}/prompt_history_{kind}.json"
+        if _exists(spark, path):
+            rows = spark.read.schema(schemas.PROMPT_HISTORY).json(path, multiLine=True)
+            out = out.unionByName(rows.withColumns({"fp_type": F.lit(kind), "fp_count": F.coalesce("fp_count", F.lit(0))}))
+    return out
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored table, or no rows where none has been written yet."""
+    if _exists(spark, path):
         return spark.read.schema(schema).parquet(path)
     return spark.createDataFrame([], schema)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import schemas
+from millrace.functions import text as T
 
 
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -43,6 +44,39 @@ def queue_state(events: DataFrame) -> DataFrame:
     return events.groupBy("id").agg(F.max_by(whole, F.struct("at", "seq")).alias("row")).select("id", "row.*")
 
 
+def waiting(states: DataFrame, most: int = 10) -> DataFrame:
+    """The next items, first come first."""
+    return states.where("status = 'pending'").orderBy("at", "id").limit(most)
+
+
+def newest(states: DataFrame, most: int = 50) -> DataFrame:
+    return states.orderBy(F.desc("at"), F.desc("id")).limit(most)
+
+
+def held(states: DataFrame, most: int = 30) -> DataFrame:
+    """All items that are not done, and the newest of those that are."""
+    return states.where("status NOT IN ('done', 'error')").unionByName(finished(states, most))
+
+
+def progress(events: DataFrame) -> DataFrame:
+    """One row: the phase and page of the latest progress event, with the page's hash; a null phase means idle."""
+    last = events.agg(F.max_by(F.struct("phase", "url"), F.struct("at", "seq")).alias("x"))
+    return last.select("x.phase", F.when(F.col("x.url").isNotNull(), T.url_hash(F.col("x.url"))).alias("url_hash"), "x.url")
+
+
+def queue_stream(events: DataFrame, path: str, most: int = 30):
+    """A sink that keeps each item's latest state and, of those done, the newest; a batch tried again changes nothing."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark, whole = batch.sparkSession, batch
+        if number > 0:
+            whole = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/batch={number - 1}"))
+        latest = whole.groupBy("id").agg(F.max_by(F.struct(*whole.columns), F.struct("at", "seq")).alias("row")).select("row.*")
+        held(latest, most).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return events.writeStream.foreachBatch(merge)
+
+
 def finished(states: DataFrame, most: int = 30) -> DataFrame:
     return states.where("status IN ('done', 'error')").orderBy(F.desc("at"), "id").limit(most)
 

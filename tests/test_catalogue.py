@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace import schemas
 from millrace.functions import text as T
 from millrace.operators import dedupe, merging
-from millrace.plans import acquire, enrich, extract
+from millrace.plans import acquire, cache, enrich, extract, runs, serving
 from millrace.sources import connectors, files
 from millrace.streaming import logs
 
@@ -28,7 +28,7 @@ def values(spark, rows, schema, *columns):
 def test_text_functions(spark):
     rows = [(None,), ("",), ("  The Chess Club ",), ("Ünïted Straße №5",), ("東京",)]
     got = values(spark, rows, "x string", T.norm_key(F.col("x")), T.slug(F.col("x")), T.strip_article(F.col("x")))
-    assert got == [(None, None, None), ("", "", ""), ("the_chess_club", "the-chess-club", "chess club"), ("n_ted_stra_e_5", "united-strae-5", "ünïted straße №5"), ("", "", "東京")]
+    assert got == [(None, None, None), ("", "", ""), ("the_chess_club", "the-chess-club", "chess club"), ("n_ted_stra_e_5", "united-strae-no5", "ünïted straße №5"), ("", "", "東京")]
     urls = [("https://u:p@M.Facebook.com:8/x",), ("netflix.com/a",), ("https://netflix.com/a",), (None,), ("not a url",)]
     got = values(spark, urls, "x string", T.blocked(F.col("x"), ["facebook.com", "x.com"]), T.blocked(F.col("x"), ["x.com"], suffix=True), T.ensure_scheme(F.col("x")))
     assert [g[0] for g in got] == [True, False, True, False, False] and not any(g[1] for g in got)
@@ -139,6 +139,265 @@ def test_log_sink_keeps_the_newest(spark, tmp_path):
     assert sorted(r["seq"] for r in spark.read.parquet(f"file://{tmp_path}/out/{last}").collect()) == list(range(15, 30))
 
 
+def test_slugs_of_all_scripts(spark):
+    import unicodedata
+
+    rng = random.Random(3)
+    rows = ["Việt Nam", "№5 ﬁne", "Ｔｏｋｙｏ", "ǅ Straße ½ ㎏ Ⅷ", "𝒜 𝟙 a", "İstanbul", "plain text 7", "ﷺ", "日本 e\u0301", ""]
+    rows += ["".join(chr(rng.choice([*range(32, 0x2500), *range(0x3000, 0x3400), *range(0xF900, 0xFFF0), *range(0x1D400, 0x1D800)])) for _ in range(12)) for _ in range(300)]
+    plain = lambda t: re.sub("[^a-z0-9]+", "-", unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower()).strip("-")
+    got = values(spark, [(r,) for r in rows], "x string", "x", T.slug(F.col("x")))
+    assert got == [(r, plain(r)) for r in rows]
+
+
+def test_white_space_of_all_kinds(spark):
+    rows = [("\t http://a\n",), ("\u00a0The Club\u2003",), (" \x1c\x85",)]
+    got = values(spark, rows, "x string", T.ensure_scheme(F.col("x")), T.strip_article(F.col("x")), T.email_key(F.col("x")), T.clean_tags(F.array("x")))
+    assert got == [("http://a", "http://a", "http://a", ["http://a"]), ("https://The Club", "club", "the club", ["The Club"]), (None, "", "", [])]
+
+
+def test_page_texts(spark):
+    body = "word " * 30
+    pages = [
+        f"<script>a < b</script><nav>menu</nav><article><h1>T&amp;C</h1>{body}&#233;&#xe9;&copy;</article><footer>f</footer>",
+        f"<nav>{body}</nav><p>short</p>", "<p>short</p>", f"<p>{body}</p><script>var x = '", f"<!-- {body} --><p>x</p>", None, f"<header>h</header><p>{body}</p><style>p",
+    ]
+    got = [r[0] for r in values(spark, [(p,) for p in pages], "x string", T.main_text(F.col("x")))]
+    text = body.strip()
+    assert got == [f"T&C {text} éé©", f"{text} short", None, text, None, None, text]
+
+
+def test_main_text_equals_a_parser(spark):
+    """The given pages' articles, read by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.out = False, []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            self.out.append(" ")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.out.append(data)
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the given tables are absent")
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html", T.main_text(F.col("html")).alias("t")).collect()
+    for r in rows:
+        reader = Reader()
+        reader.feed(r["html"])
+        text = " ".join("".join(reader.out).split())
+        assert len(text) < 100 or r["t"] == text
+
+
+def test_fuzzy_dedupe_of_a_large_block(spark):
+    """One block of thousands of names equals one fold; nothing depends on its size."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(900)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 3))), f"http://{rng.randrange(4000)}/" if rng.random() < 0.3 else None, rng.randint(0, 3)) for i in range(2500)]
+    for i in range(0, 300, 2):
+        name = list(rows[i][1])
+        name[rng.randrange(len(name))] = "z"
+        rows.append((3000 + i, "".join(name), "", rng.randint(0, 3)))
+    rows += [(9000, None, None, 1), (9001, None, None, 1), (9002, "", "http://7", 2), (9003, None, "http://7/", 3), (9004, "The", None, 0)]
+    frame = spark.createDataFrame(rows, "i int, name string, site string, rich int").withColumn("block", F.lit(None).cast("string"))
+    got = dedupe.fuzzy_dedupe(frame, ["block"], F.col("name"), F.col("site"), F.col("rich"), F.col("i"))
+    assert sorted(r["i"] for r in got.collect()) == fold([(i, n or "", s or "", r) for i, n, s, r in rows])
+
+
+def test_merging_of_odd_rows(spark):
+    old = spark.createDataFrame([("a", 1)], "k string, v int")
+    new = spark.createDataFrame([("a", 5), ("b", 7), ("b", 3)], "k string, v int")
+    assert sorted(map(tuple, merging.insert_absent(old, new, ["k"]).collect())) == [("a", 1), ("b", 3)]
+    assert sorted(map(tuple, merging.kept_or_new(old, new, ["k"], "v", ["v"]).collect())) == [("a", 1), ("b", 3)]
+    rest, gone = merging.removed(old, new.select("k"))
+    assert rest.count() == 0 and tuple(gone.first()) == (1, True)
+    assert tuple(merging.removed(old, new.where("k = 'b'").select("k"))[1].first()) == (0, False)
+    assert merging.truncated(new)[1].first()["removed"] == 3 and merging.truncated(new)[0].count() == 0
+    history = spark.createDataFrame([("x", 1, "p"), ("x", 2, "q"), ("y", 1, "r")], "fp_type string, version int, content string")
+    added = merging.appended(history, spark.createDataFrame([("x", "p"), ("y", "r"), ("z", "s")], "fp_type string, content string"), ["fp_type"])
+    assert sorted(map(tuple, added.collect())) == [("x", 1, "p"), ("x", 2, "q"), ("x", 3, "p"), ("y", 1, "r"), ("z", 1, "s")]
+
+
+def test_prompts(spark):
+    schema = "name string, city string, topic string, reason string, fp_type string, marked_at int"
+    negatives = spark.createDataFrame([("b", "C", "t", "why", None, 1), ("a", "D", "t", None, "extraction", 2), ("z", "C", "t", "no", "enrichment", 0)], schema)
+    assert tuple(extract.effective_prompt("P", negatives).first()) == ('P\n\nNot to be extracted:\n- "b": why\n- "a": ', 2)
+    assert extract.effective_prompt("P", negatives, city="D").first()["prompt"].endswith('\n- "a": ')
+    assert tuple(extract.effective_prompt("P", negatives, city="X").first()) == ("P", 0)
+    assert tuple(extract.negative_counts(negatives).first()) == (2, 1)
+    history = spark.createDataFrame([("e", 1, "a\nb <1>\n"), ("e", 2, "a\nc\n"), ("f", 1, None)], "fp_type string, version int, content string")
+    got = [(r["fp_type"], r["version"], r["diff_html"]) for r in extract.prompt_versions(history, "a\n").collect()]
+    assert got[0] == ("e", 2, 'a\n<span class="diff-del">b &lt;1&gt;\n</span><span class="diff-add">c\n</span>')
+    assert got[1] == ("e", 1, 'a\n<span class="diff-add">b &lt;1&gt;\n</span>') and got[2] == ("f", 1, '<span class="diff-del">a\n</span>')
+
+
+def test_prompt_differences_equal_the_library(spark):
+    import html
+
+    rng = random.Random(1)
+    texts = [("\n".join(rng.choice(["a", "b & c", "the line", "thee line", ""]) for _ in range(rng.randint(0, 6)))) for _ in range(40)]
+    rows = list(zip(texts, texts[1:]))
+    for old, new, got in values(spark, rows, "a string, b string", "a", "b", extract.line_diff(F.col("a"), F.col("b"))):
+        wanted = ""
+        for line in difflib.ndiff(old.splitlines(keepends=True), new.splitlines(keepends=True)):
+            plain = html.escape(line[2:], quote=False)
+            wanted += {"+": f'<span class="diff-add">{plain}</span>', "-": f'<span class="diff-del">{plain}</span>', " ": plain}.get(line[0], "")
+        assert got == wanted
+
+
+def test_enrichment_rules(spark):
+    schema = "record_key string, name string, city string, website string, contact string, social_links array<string>"
+    rows = [("a", "N", "C", None, "", []), ("b", "M", "C", "w", None, None), ("c", "O", "C", "", None, ["http://x"])]
+    assert [tuple(r) for r in enrich.research_queries(spark.createDataFrame(rows, schema)).collect()] == [("a", '"N" C')]
+    replies = [("a", 0, None, None, None, None, []), ("a", 1, "w1", None, None, None, []), ("a", 2, "w2", None, None, None, []), ("b", 2, "late", None, None, None, []), ("c", 0, None, None, "only@mail", None, [])]
+    frame = spark.createDataFrame(replies, "record_key string, candidate_rank int, website string, contact string, email string, phone string, social_links array<string>")
+    assert [(r["record_key"], r["website"]) for r in enrich.first_success(frame).collect()] == [("a", "w1")]
+
+
+def test_search_and_fetch(spark):
+    rows = spark.createDataFrame([("p", i, f"http://{'bad.org' if i == 1 else 'h'}/{i}") for i in range(7)], "pair string, n int, url string")
+
+    def client():
+        def call(url):
+            if url.endswith("2"):
+                raise OSError
+            return f"<p>{'text ' * 40}</p>" if not url.endswith("3") else "<p>short</p>"
+
+        return call
+
+    got = connectors.fetch_many(rows, client, ["bad.org"], ["pair"], "n")
+    assert sorted(r["n"] for r in got.collect()) == [0, 4] and got.columns == ["pair", "n", "url", "text"]
+    reply = json.dumps({"web": {"results": [{"url": "u", "title": "t", "description": "d"}, {"title": None}]}})
+    frame = spark.createDataFrame([(1, reply), (2, "no"), (3, None)], "k int, reply string")
+    found = connectors.search_results(frame, "$.web.results", "description")
+    assert [tuple(r) for r in found.collect()] == [(1, 0, "u", "t", "d"), (1, 1, "", "", "")]
+
+
+def test_rate_limit_opens_again(spark):
+    def client():
+        calls = []
+
+        def call(value):
+            calls.append(value)
+            if len(calls) == 1:
+                raise connectors.RateLimited(0.2)
+            return f"{value}{len(calls)}"
+
+        return call
+
+    rows = spark.createDataFrame([(i,) for i in range(400)], "v int").coalesce(1)
+    got = sorted((r["v"], r["status"]) for r in connectors.call_service(rows, "v", client, gap=0.002).collect())
+    states = [s for _, s in got]
+    assert states[0] == "limited" and set(states) == {"limited"} or "ok" in states
+    import time
+
+    began = time.monotonic()
+    connectors.call_service(spark.createDataFrame([(i,) for i in range(10)], "v int").coalesce(1), "v", lambda: str, gap=0.05).count()
+    assert time.monotonic() - began >= 0.45
+
+
+def test_more_file_sources(spark, tmp_path):
+    place = f"file://{tmp_path}"
+    (tmp_path / "settings.yaml").write_text("fetch:\n  timeout_seconds: 15\npipeline:\n  test_mode: true\n  test_cities: [B]\n")
+    config = files.settings(spark, f"{place}/settings.yaml", {"FETCH__TIMEOUT_SECONDS": "9", "HOME": "x"})
+    assert config["fetch"] == {"blocked_domains": [], "timeout_seconds": "9"} and config["cache"]["skip_scraped"] == "true"
+    assert files.allowed_cities(config) == ["B"] and files.allowed_cities(files.DEFAULTS) is None
+    (tmp_path / "cities.yaml").write_text("cities:\n  - name: A\n    locale: de\n  - name: B\n    locale: de\n")
+    assert [r["name"] for r in files.cities(spark, f"{place}/cities.yaml", only=files.allowed_cities(config)).collect()] == ["B"]
+    for name in ("a/x", "b/y"):
+        (tmp_path / "data" / name).mkdir(parents=True)
+    (tmp_path / "data/a/x/communities.json").write_text('[{"name": "N", "confidence": 0.5}, {"name": "M"}]')
+    (tmp_path / "data/b/y/communities.json").write_text("broken")
+    rows = files.json_records(spark, f"{place}/data/*/*/communities.json").cache()
+    assert sorted(r["name"] for r in rows.where("_corrupt_record IS NULL").collect()) == ["M", "N"] and rows.where("_corrupt_record IS NOT NULL").count() == 1
+    (tmp_path / "fps.json").write_text('[{"name": "n", "city": "c", "topic": "t"}, {"name": "m", "city": "c", "topic": "t", "reason": "r", "fp_type": "enrichment"}]')
+    got = sorted((r["name"], r["reason"], r["source_url"], r["fp_type"]) for r in files.negatives(spark, f"{place}/fps.json").collect())
+    assert got == [("m", "r", "", "enrichment"), ("n", "", "", "extraction")]
+    (tmp_path / "prompt_history_extraction.json").write_text('[{"version": 1, "content": "p", "timestamp": "2024-01-01T00:00:00Z"}, {"version": 2, "content": "q", "fp_count": 3}]')
+    history = files.prompt_history(spark, place)
+    assert sorted((r["version"], r["fp_type"], r["fp_count"]) for r in history.collect()) == [(1, "extraction", 0), (2, "extraction", 3)]
+    stored = spark.createDataFrame([(1, None, "old", "extraction", 0)], schemas.PROMPT_HISTORY)
+    whole = merging.insert_absent(stored, history, ["fp_type", "version"])
+    assert sorted((r["version"], r["content"]) for r in whole.collect()) == [(1, "old"), (2, "q")]
+    (tmp_path / "coordinates.csv").write_text("city,lat,lng\nA,1.5,2\n")
+    assert tuple(files.coordinates(spark, f"{place}/coordinates.csv").first()) == ("A", 1.5, 2.0)
+
+
+def test_languages_and_direction(spark):
+    known = spark.createDataFrame([("he", "עברית"), ("de", "Deutsch"), ("en", "English")], "code string, name string")
+    assert [(r["code"], r["direction"]) for r in serving.languages(known).collect()] == [("de", "ltr"), ("en", "ltr"), ("he", "rtl")]
+    rows = [("de", "fr,en"), ("xx", "fr;q=0.1, de"), (None, "zz"), (None, None)]
+    got = values(spark, rows, "cookie string, header string", T.accepted_language(F.col("header"), ["en", "de", "fr"], chosen=F.col("cookie")))
+    assert [g[0] for g in got] == ["de", "fr", "en", "en"]
+    token = values(spark, [(1,), (2,)], "x int", T.short_token())
+    assert all(re.fullmatch("[0-9a-f]{8}", t) for (t,) in token) and token[0] != token[1]
+
+
+def test_runs_are_recorded(spark, tmp_path):
+    path = f"file://{tmp_path}/runs"
+    schema = "id bigint, finished_at timestamp, success int, pairs array<struct<city string, urls_found int, fetch_failed int>>"
+    runs.record(path, spark.createDataFrame([(1, None, 0, [("A", 3, None), ("B", 2, 1)])], schema))
+    runs.record(path, spark.createDataFrame([(2, None, 1, None), (3, None, 0, [])], schema))
+    stored = spark.read.parquet(path)
+    assert [r["id"] for r in runs.recent(stored, 2).collect()] == [3, 2] and runs.last_success(stored).first()["id"] == 2
+    assert sorted(map(tuple, runs.totals(stored).collect())) == [(1, 2, 5, 1), (2, 0, 0, 0), (3, 0, 0, 0)]
+    assert sorted((r["id"], r["place"], r["city"]) for r in runs.pair_rows(stored).collect()) == [(1, 0, "A"), (1, 1, "B")]
+
+
+def test_index_order(spark):
+    day = lambda d: f"2024-01-{d:02d}"
+    rows = [("a", day(1), day(1)), ("b", day(2), None), ("c", None, None), ("d", day(3), day(3)), ("e", day(2), None)]
+    frame = spark.createDataFrame(rows, "url_hash string, scraped_at string, extracted_at string")
+    assert [r["url_hash"] for r in cache.ordered(cache.index(frame)).collect()] == ["b", "e", "c", "d", "a"]
+    assert cache.index(frame).columns == cache.INDEX and len(cache.INDEX) == 18
+
+
+def test_stream_of_pages_and_queue(spark, tmp_path):
+    source = tmp_path / "pages"
+    source.mkdir()
+    for part in range(3):
+        (source / f"{part}.json").write_text("\n".join(json.dumps({"url_hash": f"h{i}", "n": part}) for i in range(part, part + 3)))
+    stream = spark.readStream.schema("url_hash string, n int").option("maxFilesPerTrigger", 1).json(f"file://{source}")
+    seen = []
+    logs.merge_batches(logs.unseen_pages(stream), lambda batch, n: seen.extend(r["url_hash"] for r in batch.collect()), f"file://{tmp_path}/c1").awaitTermination()
+    assert sorted(seen) == ["h0", "h1", "h2", "h3", "h4"]
+    source = tmp_path / "queue"
+    source.mkdir()
+    changes = [(f"i{i}", s, 10 * i + k) for i in range(5) for k, s in enumerate(["pending", "running", "done" if i < 4 else "running"])]
+    for part in range(3):
+        lines = [json.dumps({"id": i, "status": s, "at": at, "seq": at}) for i, s, at in changes if at % 10 == part]
+        (source / f"{part}.json").write_text("\n".join(lines))
+        os.utime(source / f"{part}.json", (1_700_000_000 + part,) * 2)
+    events = spark.readStream.schema("id string, status string, at bigint, seq bigint").option("maxFilesPerTrigger", 1).json(f"file://{source}")
+    logs.queue_stream(events, f"file://{tmp_path}/states", 2).option("checkpointLocation", f"file://{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination()
+    last = sorted(os.listdir(tmp_path / "states"))[-1]
+    states = spark.read.parquet(f"file://{tmp_path}/states/{last}")
+    assert sorted((r["id"], r["status"]) for r in states.collect()) == [("i2", "done"), ("i3", "done"), ("i4", "running")]
+    idle = spark.createDataFrame([(None, None, 2, 2), ("scrape", "u", 1, 1)], "phase string, url string, at int, seq int")
+    assert tuple(logs.progress(idle).first()) == (None, None, None)
+
+
+def test_event_counts_close_with_the_watermark(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for part, times in enumerate([["2024-01-01T00:05:00", "2024-01-01T00:50:00"], ["2024-01-01T03:00:00"], ["2024-01-01T00:10:00", "2024-01-01T03:01:00"]]):
+        (source / f"{part}.json").write_text("\n".join(json.dumps({"ts": t, "event_type": "x"}) for t in times))
+        os.utime(source / f"{part}.json", (1_700_000_000 + part,) * 2)  # read in this order
+    events = spark.readStream.schema("ts timestamp, event_type string").option("maxFilesPerTrigger", 1).json(f"file://{source}")
+    run = logs.event_counts(events).writeStream.outputMode("append").format("parquet").option("path", f"file://{tmp_path}/out")
+    run.option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert [r["n"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == [2]  # the late line is dropped
+
+
 def test_entry_without_llm(tmp_path):
     for name in ("__spark_entry__.py", "millrace"):
         os.symlink(os.path.join(ROOT, name), tmp_path / name) if name.endswith(".py") else None
