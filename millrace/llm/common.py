@@ -1,37 +1,12 @@
-"""What the operators of this subpackage share: intermediate tables and word hashes."""
+"""What the operators of this subpackage share: intermediate tables (from the library) and word hashes."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's spark.checkpoint.dir, which all executors see.
-
-    Where the session names none, one within the warehouse, which all executors see as well.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-        base = base if ":" in base else f"file://{base}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again.
 
-    Cuts the lineage: a lost executor costs the tasks that it ran, not the
-    plan behind them, and Spark knows the size of what it reads next.
-    """
-    spark = df.sparkSession
-    path = path or shared_folder(spark)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from millrace.storage import shared_folder, written
 
+__all__ = ["mix", "shared_folder", "shingle_hashes", "word_hashes", "written"]
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
