@@ -389,7 +389,7 @@ def test_stream_of_pages_and_queue(spark, tmp_path):
 def test_event_counts_close_with_the_watermark(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
-    for part, times in enumerate([["2024-01-01T00:05:00", "2024-01-01T00:50:00"], ["2024-01-01T03:00:00"], ["2024-01-01T00:10:00", "2024-01-01T03:01:00"]]):
+    for part, times in enumerate([["2024-01-01T00:05:00", "2024-01-01T00:50:00"], ["2024-01-01T03:00:00"], ["2024-01-01T03:00:30"], ["2024-01-01T00:10:00", "2024-01-01T03:01:00"]]):
         (source / f"{part}.json").write_text("\n".join(json.dumps({"ts": t, "event_type": "x"}) for t in times))
         os.utime(source / f"{part}.json", (1_700_000_000 + part,) * 2)  # read in this order
     events = spark.readStream.schema("ts timestamp, event_type string").option("maxFilesPerTrigger", 1).json(f"file://{source}")
