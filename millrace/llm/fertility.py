@@ -1,13 +1,14 @@
 """Quality rules: fixed text rules, and tokeniser fertility with bands per language.
 
-A public vocabulary with byte fallback is applied to every word of a text.
-Characters per token, the share of byte-fallback tokens and token entropy (over
+Two public vocabularies are applied to every word of a text: one with byte fallback, one of bytes for
+many languages. Characters per token of both, the share of byte-fallback tokens and token entropy (over
 windows of like length) are compared with bands that all documents of the same
 language give.
 """
 
 from __future__ import annotations
 
+import base64
 from collections import Counter
 from itertools import chain
 
@@ -23,20 +24,23 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
 #: Base rules.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: A band reaches so many interquartile ranges (each at least this share of the median) beyond the quartiles.
-WIDTH, LEAST_RANGE = 3.0, 0.0
+#: A band reaches so many interquartile ranges beyond the quartiles.
+WIDTH = 3.0
 #: Tokens over which entropy is taken: entropy grows with length, so only windows of like length compare.
 WINDOW = 64
-#: A reading of fewer tokens is too noisy to reject by; up to STEADY tokens bands are wider, as readings of short texts scatter more.
-LEAST_TOKENS, STEADY = 30, 400
-VOCABULARY = "piece_bpe_32k.model"
+#: Up to so many tokens bands are wider, as readings of short texts scatter more.
+STEADY = 400
+#: Decimals of a reading in the histogram that quartiles are taken from: exact, whatever the partitions, and bounded.
+DECIMALS = 5
+VOCABULARY, BYTES = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 #: Words remembered by each worker process, in each of two generations.
 REMEMBERED = 300_000
 
-MEASURES = ["chars_per_token", "byte_share", "entropy"]
+MEASURES = ["chars_per_token", "byte_share", "entropy", "chars_per_byte_token"]
 _FIELDS = [
     ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
     ("n_repeat_words", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("entropy", pa.float64()),
+    ("n_byte_tokens", pa.int64()),
 ]
 _KIND = pa.struct(_FIELDS)
 READINGS = "struct<" + ",".join(f"{n}:{'double' if t == pa.float64() else 'bigint'}" for n, t in _FIELDS) + ">"
@@ -59,15 +63,19 @@ def repeated_words(words: list) -> int:
 
 
 class WordPieces:
-    """Token ids of single words, remembered while they fit."""
+    """Token ids of single words, and how many tokens they are in the vocabulary of bytes, remembered while they fit."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, bytes_path: str):
         import sentencepiece
+        import tiktoken
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.new: dict[bytes, list[int]] = {}
-        self.old: dict[bytes, list[int]] = {}
+        with open(bytes_path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+        self.bytes_model = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.new: dict[bytes, tuple[list[int], int]] = {}
+        self.old: dict[bytes, tuple[list[int], int]] = {}
 
     def learn(self, words: set[bytes]) -> None:
         """Makes ids ready for words; those of the last two generations are kept."""
@@ -82,14 +90,19 @@ class WordPieces:
                     missing.append(w)
         if missing:
             texts = [w.decode("utf-8", "replace") for w in missing]
-            self.new.update(zip(missing, self.model.encode(texts, num_threads=1)))
+            ids = self.model.encode(texts, num_threads=1)
+            # As they stand in a text, behind a space.
+            sizes = [len(self.bytes_model.encode_ordinary(" " + t)) for t in texts]
+            self.new.update(zip(missing, zip(ids, sizes)))
 
-    def ids(self, words: list[bytes]) -> list[int]:
+    def ids(self, words: list[bytes]) -> tuple[list[int], int]:
+        """The ids of all words, and how many tokens of bytes they are."""
         self.learn(set(words))
-        return list(chain.from_iterable(map(self.new.__getitem__, words)))
+        found = [self.new[w] for w in words]
+        return list(chain.from_iterable([x[0] for x in found])), sum([x[1] for x in found])
 
 
-_pieces: dict[str, WordPieces] = {}
+_pieces: dict[tuple[str, str], WordPieces] = {}
 
 
 def windowed_entropy(ids: np.ndarray) -> float:
@@ -115,7 +128,8 @@ def reading(text: str, pieces: WordPieces) -> dict:
     """The base counts of a text and its tokens under a vocabulary."""
     words = text.encode("utf-8", "surrogatepass").split()
     lines = [x for x in text.split("\n") if x.strip(BLANKS)]
-    ids = np.array(pieces.ids(words), dtype=np.int64)
+    ids, byte_tokens = pieces.ids(words)
+    ids = np.array(ids, dtype=np.int64)
     return {
         "n_words": len(words),
         "word_chars": len(text) - sum(map(text.count, BLANKS)),
@@ -125,18 +139,19 @@ def reading(text: str, pieces: WordPieces) -> dict:
         "n_tokens": len(ids),
         "n_bytes": int(pieces.is_byte[ids].sum()),
         "entropy": windowed_entropy(ids),
+        "n_byte_tokens": byte_tokens,
     }
 
 
-def readings(text: Column, vocabulary: str | None = None) -> Column:
+def readings(text: Column, vocabulary: str | None = None, bytes_vocabulary: str | None = None) -> Column:
     """The counts of `reading` for each text, as a struct; null counts as empty."""
-    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    paths = vocabulary or public_tokenizers.path(VOCABULARY), bytes_vocabulary or public_tokenizers.path(BYTES)
 
     @F.arrow_udf(READINGS)
     def read(texts: pa.Array) -> pa.Array:
-        if path not in _pieces:
-            _pieces[path] = WordPieces(path)
-        return pa.array([reading(t.as_py() or "", _pieces[path]) for t in texts], type=_KIND)
+        if paths not in _pieces:
+            _pieces[paths] = WordPieces(*paths)
+        return pa.array([reading(t.as_py() or "", _pieces[paths]) for t in texts], type=_KIND)
 
     return read(text)
 
@@ -149,18 +164,13 @@ def base_failed() -> Column:
 def bands(measured: DataFrame) -> DataFrame:
     """Quartiles of each measure by language and how far a band reaches, from all documents that pass the base rules.
 
-    One partial aggregation; a language with most of the rows is summed up
-    within each task before anything is shuffled.
+    Quartiles are exact for readings of DECIMALS decimals: each task sums up a histogram of bounded size, so
+    a language with most of the rows is no burden, and the order of rows changes nothing.
     """
     good = measured.where(~F.col("base_failed"))
-    out = good.groupBy("band").agg(
-        *[F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(m) for m in MEASURES]
-    )
-    for m in MEASURES:
-        q = F.col(m)
-        wide = WIDTH * F.greatest(q[2] - q[0], LEAST_RANGE * F.abs(q[1]), F.lit(1e-3))
-        out = out.withColumns({f"{m}_low": q[0], f"{m}_high": q[2], f"{m}_wide": wide})
-    return out.drop(*MEASURES)
+    quartile = lambda m, q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY round({m}, {DECIMALS}))")
+    out = good.groupBy("band").agg(*[quartile(m, q).alias(f"{m}_{name}") for m in MEASURES for q, name in ((0.25, "low"), (0.75, "high"))])
+    return out.withColumns({f"{m}_wide": WIDTH * F.greatest(F.col(f"{m}_high") - F.col(f"{m}_low"), F.lit(1e-3)) for m in MEASURES})
 
 
 def quality(documents: DataFrame, vocabulary: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -169,9 +179,9 @@ def quality(documents: DataFrame, vocabulary: str | None = None, carry: tuple[st
     Columns in `carry` stay with their row in a struct `carried`.
 
     Null text counts as empty (no words: base_failed). Documents without lang
-    share the band of the empty language. Texts with few tokens are judged by the
-    base rules alone. Repeated rows give repeated results; a document outside
-    any band of its language is not kept.
+    share the band of the empty language. Bands are wider for texts of few tokens. Repeated rows give
+    repeated results; a document outside any band of its language is not kept. An empty table gives no rows;
+    columns of other names are not read.
     """
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in documents.columns else F.lit("")
     also = [F.struct(*carry).alias("carried")] if carry else []
@@ -181,6 +191,7 @@ def quality(documents: DataFrame, vocabulary: str | None = None, carry: tuple[st
         "*",
         F.try_divide(F.col("word_chars"), F.col("n_tokens")).alias("chars_per_token"),
         F.try_divide(F.col("n_bytes"), F.col("n_tokens")).alias("byte_share"),
+        F.try_divide(F.col("word_chars"), F.col("n_byte_tokens")).alias("chars_per_byte_token"),
         base_failed().alias("base_failed"),
     )
     measured = written(measured)
@@ -190,7 +201,7 @@ def quality(documents: DataFrame, vocabulary: str | None = None, carry: tuple[st
     for m in MEASURES:
         reach = F.col(f"{m}_wide") * scatter
         within &= F.col(m).between(F.col(f"{m}_low") - reach, F.col(f"{m}_high") + reach)
-    verdict = F.coalesce(within, F.lit(True)) | (F.col("n_tokens") < LEAST_TOKENS)
+    verdict = F.coalesce(within, F.lit(True))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", (~F.col("base_failed") & verdict).alias("kept"),
