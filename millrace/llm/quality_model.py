@@ -3,7 +3,8 @@
 A logistic model on text statistics gives each document's evidence. Grouped
 sums of it give every host and every path of a host a posterior mean: a path is
 drawn to its host, a host to the whole corpus, the more the fewer documents it
-has; how strongly is estimated from the spread between hosts and between paths.
+has; how strongly is estimated from the spread between hosts and between paths. A document's own
+evidence is taken out of its path and host before they speak about it, so that none counts twice.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ TRAIN_ROWS = 20_000
 RIDGE, STEPS = 1.0, 25
 #: Documents are kept from this posterior on.
 THRESHOLD = 0.5
-#: Bounds of a prior's weight in documents.
-WEIGHTS = (2.0, 1000.0)
 FEATURES = [
     "symbols", "marks", "bars", "capitals", "digits", "stops", "foreign", "word_length", "repeated", "distinct",
     "same_lines", "words",
@@ -90,11 +89,12 @@ def fit(x: np.ndarray, y: np.ndarray) -> list[float]:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> list[float]:
-    """Coefficients from at most TRAIN_ROWS labelled documents."""
+    """Coefficients from at most TRAIN_ROWS rows of labelled documents, ids repeated or not."""
     chosen = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = rows.select("doc_id", "quality", features(F.col("text")).alias("x")).toPandas().sort_values("doc_id")
+    rows = rows.select("doc_id", "quality", features(F.col("text")).alias("x"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(TRAIN_ROWS).toPandas()
     if rows.empty:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     return fit(np.stack(rows["x"].to_numpy()), (rows["quality"] > 0).to_numpy(dtype=float))
@@ -106,7 +106,10 @@ def _logit(p: Column) -> Column:
 
 
 def _weight(groups: DataFrame, mean: Column) -> DataFrame:
-    """One row: the prior's weight, from the spread of group means beyond what their sizes explain."""
+    """One row: the prior's weight in documents, from the spread of group means beyond what their sizes explain.
+
+    Without such spread the weight is huge: groups are then as good as one.
+    """
     sums = groups.where("n > 1").select("n", (F.col("e") / F.col("n") - mean).alias("off"), mean.alias("m"))
     row = sums.agg(
         F.sum(F.col("n") * F.col("off") ** 2).alias("spread"),
@@ -116,24 +119,31 @@ def _weight(groups: DataFrame, mean: Column) -> DataFrame:
     )
     between = F.greatest(F.try_divide(F.col("spread") - F.col("within"), F.col("n")), F.lit(1e-9))
     weight = F.try_divide(F.try_divide(F.col("whole"), F.col("n")), between)
-    low, high = map(F.lit, WEIGHTS)
-    return row.select(F.least(F.greatest(F.coalesce(weight, high), low), high).alias("weight"))
+    return row.select(F.coalesce(weight, F.lit(1e9)).alias("weight"))
 
 
 def posteriors(scored: DataFrame) -> DataFrame:
-    """(host, path, site): the posterior mean of each path; `scored` has host, path and evidence."""
+    """(host, path, prior, host_mean, site) and the sums behind them; `scored` has host, path and evidence.
+
+    host_mean and site are the posterior means of a host and a path with all their documents.
+    """
     paths = written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("e")))
     hosts = written(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("e").alias("e")))
     # Single rows: sums over the groups.
     total = hosts.agg((F.sum("e") / F.sum("n")).alias("prior")).first()["prior"]
     prior = F.lit(float(total if total is not None else 0.5))
     host_weight = F.lit(float(_weight(hosts, prior).first()["weight"]))
-    host_mean = (host_weight * prior + F.col("e")) / (host_weight + F.col("n"))
-    means = written(hosts.select("host", host_mean.alias("host_mean"), prior.alias("prior")))
+    means = hosts.select("host", F.col("n").alias("host_n"), F.col("e").alias("host_e"), prior.alias("prior"), host_weight.alias("host_weight"))
+    means = written(means.withColumn("host_mean", _shrunk("host_weight", F.col("prior"), F.col("host_e"), F.col("host_n"))))
     nested = paths.join(means, paths["host"].eqNullSafe(means["host"])).drop(means["host"])
     path_weight = F.lit(float(_weight(nested, F.col("host_mean")).first()["weight"]))
-    site = (path_weight * F.col("host_mean") + F.col("e")) / (path_weight + F.col("n"))
-    return nested.select("host", "path", "prior", "host_mean", site.alias("site"))
+    nested = nested.withColumn("path_weight", path_weight)
+    return nested.withColumn("site", _shrunk("path_weight", F.col("host_mean"), F.col("e"), F.col("n")))
+
+
+def _shrunk(weight: str, towards: Column, total: Column, n: Column) -> Column:
+    """The posterior mean of a group whose evidence sums up to `total`."""
+    return (F.col(weight) * towards + total) / (F.col(weight) + n)
 
 
 def classify(
@@ -143,7 +153,8 @@ def classify(
 
     Columns in `carry` stay with their row in a struct `carried`.
 
-    The host is by default `source`, the path `lang`, empty where null or missing.
+    The host is by default `source`, the path `lang`, empty where null or missing. host_mean and site are
+    what the other documents of the host and path say. Rows of one id are judged each by its own text.
     Null text counts as empty. Without labels the evidence is 0.5 everywhere and
     all documents are kept. Repeated rows repeat; an empty table gives no rows.
     """
@@ -164,6 +175,10 @@ def classify(
     sites = written(posteriors(scored))
     # Spark broadcasts the sites while they are few; else it splits the side of a hot site.
     joined = scored.join(sites, ["host", "path"], "left")
+    own = F.col("evidence")
+    host = _shrunk("host_weight", F.col("prior"), F.col("host_e") - own, F.col("host_n") - 1)
+    site = _shrunk("path_weight", host, F.col("e") - own, F.col("n") - 1)
+    joined = joined.withColumn("host_mean", host).withColumn("site", site)
     shifted = F.col("logit") + _logit(F.col("site")) - _logit(F.col("prior"))
     posterior = F.coalesce(1 / (1 + F.exp(-shifted)), F.col("evidence"))
     return joined.withColumn("posterior", posterior).select(
