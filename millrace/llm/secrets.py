@@ -1,15 +1,26 @@
 """Secret scans: fixed patterns, and novelty under dictionary-primed zstandard.
 
-A candidate is a long run of token characters, letters and digits mixed, that
-closely follows a sensitive word. Its novelty is what it adds to the compressed
-size of the text around it, the compressor being primed with a dictionary of
-common identifiers: names that the dictionary or the surroundings hold cost few
-bytes, random strings cost nearly their length.
+A candidate is a long run of token characters near a sensitive word. Its novelty is what it
+adds to the compressed size of the text around it, the compressor being primed with dictionaries of
+code and identifiers: names that the dictionaries or the surroundings hold cost few
+bytes, random strings cost nearly their length. Words that no dictionary holds cost as much, so a candidate
+of letters alone must also change between small and capital letters as no name does.
 """
 
 from __future__ import annotations
 
+import builtins
+import http
+import json
+import keyword
+import logging
+import os
 import re
+import socket
+import string
+import sys
+import threading
+import urllib.parse
 
 import pyarrow as pa
 import zstandard
@@ -40,10 +51,14 @@ your-api-key-here your_access_token_here YOUR_SECRET_KEY_HERE xxxxxxxxxxxxxxxxxx
 1234567890 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ changeme example.com https://www.example.com/
 """
 
-#: Characters of context before and after a candidate, and how far the sensitive word may be.
-AROUND, REACH = 200, 48
-#: Added compressed bytes for each byte, from which a candidate is reported.
-NOVELTY = 0.8
+#: Characters of context before and after a candidate, and how far before and after it the sensitive word may be.
+AROUND, REACH, BEHIND = 400, 80, 24
+#: Letters alone are a candidate if they change between small and capital letters at least once in so many.
+CHANGES = 3.0
+#: Added compressed bytes for each byte, from which a candidate is reported; of letters of one case with digits, which need fewer bits, the second.
+NOVELTY, NOVELTY_ONE_CASE = 0.8, 0.7
+#: Digits and letters that a candidate of both has at least.
+LEAST_OF_EACH = 2, 4
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _NEAR = re.compile("(?ai:" + "|".join(SENSITIVE) + ")")
 _SPANS = pa.list_(
@@ -53,10 +68,21 @@ SPANS = "array<struct<kind:string,start:int,end:int,novelty:double>>"
 _packer: zstandard.ZstdCompressor | None = None
 
 
+def code_names() -> list[str]:
+    """Identifiers of public code: names of the language's library, of its exceptions and types, of headers and states of the web."""
+    names = {*keyword.kwlist, *dir(builtins), *sys.stdlib_module_names, *(s.name for s in http.HTTPStatus), *(s.phrase for s in http.HTTPStatus)}
+    for module in (os, re, http, json, logging, socket, string, threading, urllib.parse):
+        names |= {n for n in dir(module) if len(n) > 5}
+    return sorted(n for n in names if not n.startswith("__"))
+
+
 def _packed(text: str) -> int:
     global _packer
     if _packer is None:
-        words = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        # What lies last is nearest for the compressor.
+        known = "\n".join(code_names()) + IDENTIFIERS
+        words = zstandard.ZstdCompressionDict(known.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        words.precompute_compress(level=9)
         _packer = zstandard.ZstdCompressor(
             level=9, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False
         )
@@ -83,6 +109,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def _odd(token: str) -> bool:
+    """Letters with digits, or letters that change case as names don't. Numbers alone are none, nor are words in capitals or joined by signs."""
+    letters = [c for c in token if c.isalpha()]
+    if not letters:
+        return False
+    digits = sum(c.isdigit() for c in token)
+    if digits >= LEAST_OF_EACH[0]:
+        return len(letters) >= LEAST_OF_EACH[1]
+    changes = sum(a.isupper() != b.isupper() for a, b in zip(letters, letters[1:]))
+    return changes * CHANGES >= len(letters)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
     """Incompressible strings in sensitive context that no base span touches."""
     lower = text.lower()
@@ -97,14 +135,15 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     found, k = [], 0
     for m in _TOKEN.finditer(text):
         start, end = m.span()
-        token = m[0]
-        if token.isalpha() or not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
+        if not _odd(m[0]):
             continue
         while k < len(taken) and taken[k][1] <= start:
             k += 1
         if k < len(taken) and taken[k][0] < end:
             continue
-        if _NEAR.search(text, max(0, start - REACH), start) and (score := novelty(text, start, end)) >= NOVELTY:
+        near = _NEAR.search(text, max(0, start - REACH), start) or _NEAR.search(text, end, end + BEHIND)
+        least = NOVELTY_ONE_CASE if m[0].lower() == m[0] or m[0].upper() == m[0] else NOVELTY
+        if near and (score := novelty(text, start, end)) >= least:
             found.append((start, 3, end, score))
     return found
 
@@ -144,8 +183,8 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def scan_secrets(documents: DataFrame) -> DataFrame:
     """doc_id, counts by kind, digest of the base spans and all spans as text, for every document.
 
-    Null or empty text has no span. Rows are taken one by one, so repeated rows
-    repeat in the result; extra columns are not read.
+    Null or empty text has no span. Rows are taken one by one, whole texts however long, so repeated rows
+    repeat in the result; extra columns are not read; an empty table gives no rows.
     """
     found = documents.select("doc_id", secret_spans(F.col("text")).alias("found"))
 
