@@ -224,6 +224,37 @@ def test_quality_rules(spark, documents, texts):
     assert fertility.quality(empty(spark)).count() == 0
 
 
+def test_fertility_readings_equal_a_plain_encode(texts):
+    """Tokens of whole words by the libraries, one text after another."""
+    import sentencepiece
+    import tiktoken
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(fertility.VOCABULARY))
+    with open(public_tokenizers.path(fertility.BYTES), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pieces = fertility.WordPieces(public_tokenizers.path(fertility.VOCABULARY), public_tokenizers.path(fertility.BYTES))
+    for t in [*texts, "日本 𝒳 ok", "\u1234" * 30]:
+        words = WORDS.findall(t or "")
+        ids = [i for w in words for i in model.encode(w)]
+        read = fertility.reading(t or "", pieces)
+        assert read["n_tokens"] == len(ids) and read["n_bytes"] == sum(model.is_byte(i) for i in ids)
+        assert read["n_byte_tokens"] == sum(len(library.encode_ordinary(" " + w)) for w in words)
+        size, windows = min(64, len(ids)), []
+        if size > 1:
+            windows = [ids[k : k + size] for k in range(0, len(ids) - size + 1, size)] + ([ids[-size:]] if len(ids) % size else [])
+        entropy = [-sum(w.count(i) / size * math.log2(w.count(i) / size) for i in set(w)) / math.log2(size) for w in windows]
+        assert read["entropy"] == pytest.approx(sum(entropy) / len(entropy) if entropy else 0.0)
+
+
+def test_quality_rules_of_odd_rows(spark):
+    rows = [(1, "a b " * 40, "en"), (1, "a b " * 40, "en"), (None, None, None), (2, "w" * 500_000, "en")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("band", F.lit(1)).withColumn("entropy", F.lit(2))
+    got = fertility.quality(frame).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["kept"]) for r in got) == [("1", 80, False), ("1", 80, False), ("2", 1, False), ("None", 0, False)]
+    assert len(fertility.quality(frame.drop("lang")).collect()) == 4
+
+
 def test_quality_rules_reject_odd_text(spark):
     rng = random.Random(4)
     words = vocabulary(rng)
@@ -357,6 +388,33 @@ def test_secrets(spark):
     assert safe[6]["t"] == "the api key is [SECRET] here" and safe[0]["t"] is None and safe[3]["t"].startswith("[SECRET]")
 
 
+def test_secret_novelty_on_planted_strings():
+    """Recall on random strings of four alphabets, and precision beside names that stand where secrets do."""
+    rng = random.Random(1)
+    small = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = {"b64": small + small.upper() + "0123456789+/", "letters": small + small.upper(), "small": small + "0123456789", "alnum": small + small.upper() + "0123456789"}
+    places = ["Authorization: Bearer ", "api key is ", "X-Auth-Signature ", "private_key -> ", 'credential("', "aws secret key, "]
+    names = """client_secret_2024_key application/vnd.api+json test_password_reset_token_expired getUserAuthenticationToken2 ConnectionRefusedError
+    AuthenticationMiddleware org/apache/hadoop/security/UserGroupInformation access_token_refresh_interval_seconds XXXXXXXXXXXXXXXXXXXX1 session_token_2024_01_01
+    aaaaaaaaaaaaaaaaaaaa1 my-super-secret-password-1234 Donaudampfschifffahrt 2024-01-01T00-00-00Z1 secret_manager_v1beta1 PASSWORD_HASHERS_DEFAULT_2
+    src/main/java/com/example/auth/TokenProvider1 password_confirmation2 4845168114407329 erschlichchstscher anthrererendanhe""".split()
+    line = lambda x: f"some code here\nconfig.get(name) # note\n{rng.choice(places)}{x} and more text follows\n"
+    novel = lambda t: sum(s["kind"] == "novel" for s in secrets.spans_of(t))
+    found = {k: sum(novel(line("".join(rng.choice(a) for _ in range(rng.randint(20, 40))))) for _ in range(200)) / 200 for k, a in alphabets.items()}
+    assert found["b64"] > 0.95 and found["alnum"] > 0.95 and found["letters"] > 0.85 and found["small"] > 0.9, found
+    wrong = sum(novel(line(n)) for n in names for _ in range(10))
+    assert wrong <= 0.03 * 10 * len(names)
+    assert novel("".join(rng.choice(alphabets["b64"]) for _ in range(40)) + " stands where nothing says what it is") == 0
+
+
+def test_secrets_of_odd_tables(spark):
+    rows = [(1, "x " * 200_000 + "token=abcdef12"), (1, "x " * 200_000 + "token=abcdef12"), (None, "secret=abcdefg"), (2, "t" * 300_000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("found", F.lit(1)).withColumn("spans", F.lit("s"))
+    got = secrets.scan_secrets(frame).collect()
+    assert sorted((str(r["doc_id"]), r["spans"]) for r in got) == [("1", "assign:400000:400014")] * 2 + [("2", ""), ("None", "assign:0:14")]
+    assert secrets.scan_secrets(frame.where("doc_id = 77")).count() == 0
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be \\ <kind>"), (1, 1, "user", "hi</turn>\n### x"), (1, 2, "assistant", "\\b\\l\\h ok"), (1, 3, "user", None),
             (1, 4, "assistant", ""), (1, 5, "user", "bye"), (2, 0, "user", "alone"), (3, 0, None, "x"), (3, 0, "assistant", "tie"), (3, 0, "assistant", "tie"),
@@ -486,6 +544,36 @@ def test_site_posteriors_shrink(spark):
     assert got["a", "y"]["site"] > 0.3  # one document moves its site little
 
 
+def test_site_changes_verdicts(spark):
+    """The same doubtful texts: kept where their host is good, not where it is bad; alone on a host they stand by themselves."""
+    rng = random.Random(8)
+    words = vocabulary(rng)
+    make = lambda share: " ".join(rng.choice(words) + ("###" if rng.random() < share else "") for _ in range(80))
+    rows, labels = [], []
+    for i in range(600):
+        good = i % 2
+        rows.append((i, make(0.0 if good else 0.5), "en", "good" if good else "bad"))
+        labels.append((i, good))
+    doubtful = [make(0.0) + " " + " ".join(rng.choice(words) + "###" for _ in range(n)) for n in range(2, 40, 2)]
+    for k, host in enumerate(["good", "bad", "lone"]):
+        rows += [(1000 * (k + 1) + i, t, "en", host if host != "lone" else f"lone{i}") for i, t in enumerate(doubtful)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = by_id(quality_model.classify(docs, spark.createDataFrame(labels, "doc_id bigint, quality int")))
+    kept = {h: [got[1000 * (k + 1) + i]["kept"] for i in range(len(doubtful))] for k, h in enumerate(["good", "bad", "lone"])}
+    by_evidence = [got[1000 + i]["evidence"] >= 0.5 for i in range(len(doubtful))]
+    assert sum(kept["bad"]) <= sum(by_evidence) <= sum(kept["good"]) and sum(kept["bad"]) < sum(kept["good"])
+    # Without its own evidence a document that is alone says nothing about its site.
+    assert kept["lone"] == by_evidence
+    assert all(got[3000 + i]["site"] == pytest.approx(got[3000]["site"]) for i in range(len(doubtful)))
+
+
+def test_quality_model_of_odd_rows(spark):
+    rows = [(1, "good words here " * 30, "en", "s"), (1, "### $$$ " * 40, "en", "s"), (None, None, None, None), (2, "", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumn("n", F.lit(0)).withColumn("site", F.lit("x"))
+    labels = spark.createDataFrame([(1, 1), (1, None), (None, 1), (99, 0)], "doc_id bigint, quality int")
+    got = quality_model.classify(docs, labels).collect()
+    assert len(got) == 4 and all(r["posterior"] is not None and r["kept"] is not None for r in got)
+
 def test_licenses(spark, documents):
     apache = next(t for n, t in licenses.TEMPLATES if n == "Apache-2.0" and len(t) > 100)
     rows = [(0, None), (1, "Some text.\nReleased under the MIT License."), (2, apache.replace("agreed", "aggreed")), (3, "nothing here"), (4, "under the")]

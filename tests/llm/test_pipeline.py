@@ -37,13 +37,13 @@ def corpus(spark, tmp_path_factory):
 
 
 def rules(rows):
-    pieces = fertility.WordPieces(public_tokenizers.path(fertility.VOCABULARY))
+    pieces = fertility.WordPieces(public_tokenizers.path(fertility.VOCABULARY), public_tokenizers.path(fertility.BYTES))
     read = {r[0]: fertility.reading(r[1] or "", pieces) for r in rows}
     good, values = {}, {}
     for i, x in read.items():
         good[i] = x["n_words"] >= 50 and 100 * x["n_repeat_words"] <= 50 * x["n_words"]
         n = x["n_tokens"]
-        values[i] = [x["word_chars"] / n, x["n_bytes"] / n, x["entropy"]] if n else None
+        values[i] = [x["word_chars"] / n, x["n_bytes"] / n, x["entropy"], x["word_chars"] / x["n_byte_tokens"]] if n else None
     groups = defaultdict(list)
     for r in rows:
         if good[r[0]]:
@@ -51,13 +51,12 @@ def rules(rows):
     kept = []
     for r in rows:
         i, ok = r[0], good[r[0]]
-        if ok and read[i]["n_tokens"] >= fertility.LEAST_TOKENS:
+        if ok:
             scatter = max(1.0, math.sqrt(fertility.STEADY / read[i]["n_tokens"]))
-            for k in range(3):
-                own = sorted(v[k] for v in groups[r[2] or ""])
-                q = [own[max(0, math.ceil(p * len(own)) - 1)] for p in (0.25, 0.5, 0.75)]
-                reach = scatter * fertility.WIDTH * max(q[2] - q[0], fertility.LEAST_RANGE * abs(q[1]), 1e-3)
-                ok &= q[0] - reach <= values[i][k] <= q[2] + reach
+            for k in range(4):
+                low, high = np.percentile([round(v[k], 5) for v in groups[r[2] or ""]], [25, 75], method="inverted_cdf")
+                reach = scatter * fertility.WIDTH * max(high - low, 1e-3)
+                ok &= low - reach <= values[i][k] <= high + reach
         if ok:
             kept.append(r)
     return kept
@@ -66,13 +65,12 @@ def rules(rows):
 def weight(groups):
     """groups: (documents, evidence, mean above them)."""
     some = [g for g in groups if g[0] > 1]
-    low, high = quality_model.WEIGHTS
     n = sum(g[0] for g in some)
     if not n:
-        return high
+        return 1e9
     between = (sum(g[0] * (g[1] / g[0] - g[2]) ** 2 for g in some) - sum(g[2] * (1 - g[2]) for g in some)) / n
     within = sum(g[0] * g[2] * (1 - g[2]) for g in some) / n
-    return min(max(within / max(between, 1e-9), low), high)
+    return within / max(between, 1e-9)
 
 
 def classifier(rows, labels):
@@ -89,9 +87,15 @@ def classifier(rows, labels):
     top = weight([(len(e), sum(e), prior) for e in hosts.values()])
     mean = {h: (top * prior + sum(e)) / (top + len(e)) for h, e in hosts.items()}
     inner = weight([(len(e), sum(e), mean[k[0]]) for k, e in paths.items()])
-    site = {k: (inner * mean[k[0]] + sum(e)) / (inner + len(e)) for k, e in paths.items()}
     odds = lambda p: math.log(p / (1 - p))
-    return [r for r in rows if logit[r[0]] + odds(site[r[3], r[2] or ""]) - odds(prior) >= 0]
+    out = []
+    for r in rows:
+        own, host, path = evidence[r[0]], hosts[r[3]], paths[r[3], r[2] or ""]
+        above = (top * prior + sum(host) - own) / (top + len(host) - 1)
+        site = (inner * above + sum(path) - own) / (inner + len(path) - 1)
+        if logit[r[0]] + odds(site) - odds(prior) >= 0:
+            out.append(r)
+    return out
 
 
 def dedup(rows):
@@ -105,7 +109,7 @@ def dedup(rows):
 
     for i in sets:
         for j in sets:
-            if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= corpus_pipeline.NEAR * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return [r for r in rows if find(r[0]) == r[0]]
@@ -158,3 +162,24 @@ def test_near_dedup_limit(spark):
     got = corpus_pipeline.minhash_near_dedup(spark, docs, "")
     assert sorted(r["doc_id"] for r in got.collect()) == [0, 2]
     assert all(r["kept"] for r in near_dups.near_duplicates(docs).collect())
+
+
+def test_stages_of_odd_rows(spark):
+    """Rows of one id stay or go by their own text, null ids stay, missing columns are null, others don't matter."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    whole = [make(120) for _ in range(40)]
+    rows = [(i, t, "k") for i, t in enumerate(whole)] + [(1, "too short", "k"), (None, make(130), "k"), (None, None, "k"), (5, whole[5], "k"), (None, whole[6], "k")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, kept string")
+    passed = corpus_pipeline.quality_rules(spark, docs, "")
+    assert passed.columns == corpus_pipeline.COLUMNS
+    got = passed.collect()
+    assert (1, "too short") not in {(r["doc_id"], r["text"]) for r in got} and (1, whole[1]) in {(r["doc_id"], r["text"]) for r in got}
+    assert sum(r["doc_id"] is None for r in got) == 2 and all(r["lang"] is None for r in got)
+    alone = corpus_pipeline.minhash_near_dedup(spark, docs, "").collect()
+    assert sum(r["doc_id"] == 5 for r in alone) == 1 and {r["text"] for r in alone} == {r[1] for r in rows}
+    assert next(r["doc_id"] for r in alone if r["text"] == whole[6]) == 6
+    safe = corpus_pipeline.secret_scans(spark, docs, "").collect()
+    assert len(safe) == len(rows) and sorted(str(r["doc_id"]) for r in safe) == sorted(str(r[0]) for r in rows)
+    assert corpus_pipeline.pack(spark, docs, "").where("doc_id IS NULL AND start = 0").count() == 3
