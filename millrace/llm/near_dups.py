@@ -413,20 +413,23 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, carry: tuple[s
     one); kept says whether the row has that id, first is true for one row of each component.
     """
     also = [F.struct(*carry).alias("carried")] if carry else []
-    signed = documents.select("doc_id", "text", *also, signatures(F.col("text")).alias("x"))
+    # Texts are kept once, in what is carried or beside it.
+    own = [] if "text" in carry else ["text"]
+    text = F.col("text") if own else F.col("carried.text")
+    signed = documents.select("doc_id", *own, *also, signatures(F.col("text")).alias("x"))
     # Written with its rows numbered, so that the numbers stay.
-    signed = written(signed.select("doc_id", "text", *["carried"] * bool(carry), "x.*", F.monotonically_increasing_id().alias("row")))
+    signed = written(signed.select("doc_id", *own, *["carried"] * bool(carry), "x.*", F.monotonically_increasing_id().alias("row")))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("head")
     heads = written(signed.where("n > 0").groupBy("print").agg(least))
     of_class = signed.where("n > 0").join(heads.select("head.row").hint("merge"), "row", "left_semi").withColumnRenamed("row", "id")
     classes = written(of_class.select("id", "n", "labels", "sketch"))
-    parts = class_components(classes, signed.where("n > 0").select(F.col("row").alias("id"), "n", "text"), percent)
+    parts = class_components(classes, signed.where("n > 0").select(F.col("row").alias("id"), "n", text.alias("text")), percent)
     named = heads.withColumn("id", F.col("head.row")).join(parts.hint("merge"), "id", "left")
     named = written(named.select("print", "head", F.coalesce("component", "id").alias("component")))
     of_component = named.groupBy("component").agg(F.min("head").alias("top"))
     named = written(named.join(of_component.hint("merge"), "component").select("print", "top"))
     # A set with very many copies is one hot key; its rows' side can be split.
-    found = signed.drop("text", "labels", "sketch").join(named.hint("merge"), "print", "left")
+    found = signed.drop(*own, "labels", "sketch").join(named.hint("merge"), "print", "left")
     component = F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id"))
     return found.select(
         "doc_id",

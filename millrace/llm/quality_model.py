@@ -170,9 +170,12 @@ def classify(
         "doc_id", *also, named(host, "source").alias("host"), named(path, "lang").alias("path"), features(F.col("text")).alias("x")
     )
     logit = sum((F.col("x")[i] * w for i, w in enumerate(weights)), F.lit(constant))
-    scored = read.select("doc_id", *kept_with, "host", "path", logit.alias("logit"))
-    scored = written(scored.withColumn("evidence", 1 / (1 + F.exp(-F.col("logit")))))
+    read = read.select("doc_id", *kept_with, "host", "path", logit.alias("logit"))
+    read = read.withColumn("evidence", 1 / (1 + F.exp(-F.col("logit"))))
+    scored = written(read.drop(*kept_with))
     sites = written(posteriors(scored))
+    # What is carried may be whole texts: they are read twice rather than written in between.
+    scored = read if carry else scored
     # Spark broadcasts the sites while they are few; else it splits the side of a hot site.
     joined = scored.join(sites, ["host", "path"], "left")
     own = F.col("evidence")
