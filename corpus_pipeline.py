@@ -22,7 +22,7 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 
 def _kept(judged: DataFrame, verdict: str = "kept") -> DataFrame:
-    """The rows that their own verdict keeps, as they came. Rows carry their verdict, so repeated and null ids are no matter."""
+    """The rows that their own verdict keeps, as they came. Verdicts carry their rows, so repeated and null ids are no matter."""
     return judged.where(verdict).select("carried.*")
 
 
@@ -33,7 +33,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     one id stay or go each by itself, null ids are ids like others. Columns of `documents` that are missing are
     null, others are dropped. An empty table gives no rows.
     """
-    return _kept(fertility.quality(_whole(docs), carry=tuple(COLUMNS)))
+    # Readings are dear, so they are made once and written without texts. What they say depends on text and lang
+    # alone: rows are found again by their id and the hash of these. A merge join at every size.
+    keyed = _whole(docs).withColumn("key", F.xxhash64("text", "lang"))
+    kept = fertility.quality(keyed, carry=("doc_id", "key")).where("kept").select("carried.*").distinct()
+    found = written(kept.select(F.col("doc_id").alias("id"), F.col("key").alias("kept_key")))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("kept_key"))
+    return keyed.join(found.hint("merge"), same, "left_semi").drop("key")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
