@@ -74,32 +74,30 @@ class WordPieces:
         with open(bytes_path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
         self.bytes_model = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.new: dict[bytes, tuple[list[int], int]] = {}
-        self.old: dict[bytes, tuple[list[int], int]] = {}
+        self.new: tuple[dict[bytes, list[int]], dict[bytes, int]] = {}, {}
+        self.old = self.new
 
     def learn(self, words: set[bytes]) -> None:
         """Makes ids ready for words; those of the last two generations are kept."""
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
+        if len(self.new[0]) > REMEMBERED:
+            self.old, self.new = self.new, ({}, {})
         missing = []
-        for w in words:
-            if w not in self.new:
-                if w in self.old:
-                    self.new[w] = self.old[w]
-                else:
-                    missing.append(w)
+        for w in words - self.new[0].keys():
+            if w in self.old[0]:
+                self.new[0][w], self.new[1][w] = self.old[0][w], self.old[1][w]
+            else:
+                missing.append(w)
         if missing:
             texts = [w.decode("utf-8", "replace") for w in missing]
-            ids = self.model.encode(texts, num_threads=1)
+            self.new[0].update(zip(missing, self.model.encode(texts, num_threads=1)))
             # As they stand in a text, behind a space.
-            sizes = [len(self.bytes_model.encode_ordinary(" " + t)) for t in texts]
-            self.new.update(zip(missing, zip(ids, sizes)))
+            self.new[1].update(zip(missing, map(len, map(self.bytes_model.encode_ordinary, [" " + t for t in texts]))))
 
     def ids(self, words: list[bytes]) -> tuple[list[int], int]:
         """The ids of all words, and how many tokens of bytes they are."""
         self.learn(set(words))
-        found = [self.new[w] for w in words]
-        return list(chain.from_iterable([x[0] for x in found])), sum([x[1] for x in found])
+        ids, sizes = self.new
+        return list(chain.from_iterable(map(ids.__getitem__, words))), sum(map(sizes.__getitem__, words))
 
 
 _pieces: dict[tuple[str, str], WordPieces] = {}
