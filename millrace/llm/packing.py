@@ -20,6 +20,7 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -67,7 +68,6 @@ class Tokens:
         self.model = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
-        self.breaks = regex.compile(r" \s")
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -78,30 +78,43 @@ class Tokens:
                 ids.byteswap()
         return [ids.tobytes() for ids in found]
 
+    def _parts(self, text: str) -> list[str]:
+        """The text between added tokens, and these."""
+        if any(map(text.__contains__, self.added)):
+            return [p for p in self.marks.split(text) if p]
+        return [text] if text else []
+
     def _spaced(self, text: str) -> list[str]:
-        if not text or text in self.added or self.breaks.search(text):
-            return [text] * bool(text)
         first, *rest = text.split(" ")
-        return [first] * bool(first) + [" " + w for w in rest]
+        words = [" " + w for w in rest]
+        return [first, *words] if first else words
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text.
 
         Byte-level pre-tokens never cross a space that stands before a visible
-        character, so such texts are put together from their spaced words.
+        character, so texts in which no space stands before white space or the end are put together from their spaced words.
         """
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
         self.new.update(self.added)
-        parted = [
-            [w for part in (self.marks.split(t) if any(m in t for m in self.added) else [t]) for w in self._spaced(part)] for t in texts
-        ]
+        parted = []
+        for t in texts:
+            parts = self._parts(t)
+            parted.append(self._spaced(t) if len(parts) == 1 and t not in self.added else [w for p in parts for w in ([p] if p in self.added else self._spaced(p))])
         needed = set().union(*parted)
         ready = {p: ids for p in needed if (ids := self.new.get(p) or self.old.get(p)) is not None}
         missing = [p for p in needed if p not in ready]
+        # A space before white space or the end: such words are never remembered.
+        odd = {p for p in missing if p[0] == " " and not p[1:2].strip()}
+        if odd:
+            for i, words in enumerate(parted):
+                if not odd.isdisjoint(words):
+                    parted[i] = self._parts(texts[i])
+            missing = [p for p in set().union(*parted) if p not in ready]
         if missing:
             ready.update(zip(missing, self._ids(missing)))
-        self.new.update((p, ids) for p, ids in ready.items() if len(p) < 64)
+        self.new.update((p, ids) for p, ids in ready.items() if len(p) < 64 and " " not in p[1:])
         return [b"".join([ready[p] for p in parts]) + b"\0\0\0\0" for parts in parted]
 
 
@@ -146,32 +159,47 @@ def cut(
             _tokens[paths] = Tokens(*paths)
         part, seen = TaskContext.get().partitionId(), Counter()
 
-        def ranked(n: int, way: str) -> tuple[int, int]:
-            kind = -(-n // GRAIN)
-            seen[way, kind] += 1
-            return kind, seen[way, kind] - 1
+        def ranked(way: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The class of each piece, and its rank among this task's pieces of its class."""
+            kinds = -(-lengths // GRAIN)
+            order = np.argsort(kinds, kind="stable")
+            own, first, times = np.unique(kinds[order], return_index=True, return_counts=True)
+            ranks = np.empty(len(kinds), dtype=np.int64)
+            ranks[order] = np.arange(len(kinds)) - np.repeat(first - [seen[way, k] for k in own.tolist()], times)
+            seen.update({(way, k): n for k, n in zip(own.tolist(), times.tolist())})
+            return kinds, ranks
 
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for own, some in _chunks(docs, texts):
-                rows = []
+                rows, small_crcs = [], []
                 for doc, ids in zip(own, _tokens[paths].encode(some)):
                     total = len(ids) // 4
                     for start in range(0, total, length):
-                        n = min(length, total - start)
-                        piece, small = ids[4 * start : 4 * (start + n)], None
-                        stays = n == length or n <= SMALL
-                        if not stays:
-                            small = []
-                            for at in range(0, n, SMALL):
-                                size = min(SMALL, n - at)
-                                kind, rank = ranked(size, "small")
-                                crc = zlib.crc32(piece[4 * at : 4 * (at + size)])
-                                small.append({"start": start + at, "length": size, "ids_crc32": crc, "class": kind, "rank": rank})
-                        rows.append((doc, start, n, zlib.crc32(piece), total, part, *ranked(n, "stays" if stays else "whole"), small, piece))
+                        piece = ids[4 * start : 4 * (start + length)]
+                        n = len(piece) // 4
+                        rows.append((doc, start, n, zlib.crc32(piece), total, piece))
+                        if SMALL < n < length:
+                            small_crcs += [zlib.crc32(piece[at : at + 4 * SMALL]) for at in range(0, 4 * n, 4 * SMALL)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, _, t) in zip(zip(*rows), fields)], names=[f[0] for f in fields])
+                    names, starts, sizes, crcs, totals, pieces = zip(*rows)
+                    starts, n = np.array(starts, dtype=np.int64), np.array(sizes, dtype=np.int64)
+                    parts = (n > SMALL) & (n < length)
+                    kinds, ranks = np.empty_like(n), np.empty_like(n)
+                    for way, chosen_rows in (("whole", parts), ("stays", ~parts)):
+                        kinds[chosen_rows], ranks[chosen_rows] = ranked(way, n[chosen_rows])
+                    times = np.where(parts, -(-n // SMALL), 0)
+                    ends = np.r_[0, np.cumsum(times)]
+                    at = (np.arange(ends[-1]) - np.repeat(ends[:-1], times)) * SMALL
+                    small_sizes = np.minimum(SMALL, np.repeat(n, times) - at)
+                    small_kinds, small_ranks = ranked("small", small_sizes)
+                    inner = [np.repeat(starts, times) + at, small_sizes, np.array(small_crcs, dtype=np.int64), small_kinds.astype(np.int32), small_ranks]
+                    small = pa.StructArray.from_arrays([pa.array(x) for x in inner], fields=list(_SMALL.value_type))
+                    small = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), small, type=_SMALL, mask=pa.array(~parts))
+                    columns = [names, starts, n, crcs, totals, np.full(len(n), part, dtype=np.int32), kinds.astype(np.int32), ranks, small, pieces]
+                    arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, _, t) in zip(columns, fields)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=[f[0] for f in fields])
 
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in fields))
