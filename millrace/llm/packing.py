@@ -102,20 +102,27 @@ class Tokens:
         for t in texts:
             parts = self._parts(t)
             parted.append(self._spaced(t) if len(parts) == 1 and t not in self.added else [w for p in parts for w in ([p] if p in self.added else self._spaced(p))])
-        needed = set().union(*parted)
-        ready = {p: ids for p in needed if (ids := self.new.get(p) or self.old.get(p)) is not None}
-        missing = [p for p in needed if p not in ready]
+        missing = []
+        for p in set().union(*parted) - self.new.keys():
+            if (ids := self.old.get(p)) is not None:
+                self.new[p] = ids
+            else:
+                missing.append(p)
         # A space before white space or the end: such words are never remembered.
         odd = {p for p in missing if p[0] == " " and not p[1:2].strip()}
         if odd:
+            whole: set[str] = set()
             for i, words in enumerate(parted):
                 if not odd.isdisjoint(words):
                     parted[i] = self._parts(texts[i])
-            missing = [p for p in set().union(*parted) if p not in ready]
-        if missing:
-            ready.update(zip(missing, self._ids(missing)))
-        self.new.update((p, ids) for p, ids in ready.items() if len(p) < 64 and " " not in p[1:])
-        return [b"".join([ready[p] for p in parts]) + b"\0\0\0\0" for parts in parted]
+                    whole.update(parted[i])
+            missing = [p for p in whole.union(set(missing) - odd) if p not in self.new]
+        self.new.update(zip(missing, self._ids(missing)))
+        out = [b"".join(map(self.new.__getitem__, parts)) + b"\0\0\0\0" for parts in parted]
+        for p in missing:
+            if len(p) >= 64 or " " in p[1:]:
+                del self.new[p]
+        return out
 
 
 _tokens: dict[tuple[str, str], Tokens] = {}
