@@ -1,9 +1,11 @@
 """License scans: normalised text against licence templates by Dice coefficient over word bigrams.
 
-The lines, the paragraphs and the whole of a text are units. A template can only
+The lines, the paragraphs and the whole of a text are units, and so are windows over
+its words, so that a notice is found wherever lines break and whatever stands around it. A template can only
 match a unit whose number of bigrams lies within bounds that follow from the
 threshold, and only if the unit holds one of a few anchor words (also derived:
-a match shares so many bigrams that some must hold one). Everything stays in the
+a match shares so many bigrams that some must hold one). Windows have a template's least,
+own and most bigrams, and are laid only where a text as a whole shares enough bigrams with it. Everything stays in the
 document's row, so nothing is shuffled.
 """
 
@@ -18,25 +20,38 @@ from pyspark.sql import functions as F
 #: Least Dice coefficient of a match.
 DICE = 0.8
 
-# Public licence notices and texts.
+# Public licence notices, and the bodies of short licences, as their authors publish them.
 TEMPLATES = [
+    ("0BSD", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 ]
 
 
@@ -46,6 +61,13 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def window_sizes(text: str, least: float = DICE) -> list[int]:
+    """Bigrams, repeated ones included, of the windows for a template: a match's fewest, the template's own, a match's most."""
+    size = len(re.sub(r"[\W_]+", " ", text.lower()).split()) - 1
+    low, high = bounds(size, least)
+    return [low, size, high]
+
+
 def bounds(size: int, least: float = DICE) -> tuple[int, int]:
     """Fewest and most bigrams of a unit that can reach the threshold with a template of `size`."""
     low = size * least / (2 - least)
@@ -73,44 +95,75 @@ def anchors(templates: list[tuple[str, str]], least: float = DICE) -> list[str]:
 
 
 def bigrams(unit: Column) -> Column:
-    """Distinct word bigrams of a normalised unit."""
+    """Word bigrams of a normalised unit in order."""
     words = F.split(F.trim(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " ")), " ")
-    pairs = F.zip_with(
+    return F.zip_with(
         F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
         lambda a, b: F.concat(a, F.lit(" "), b),
     )
-    return F.array_distinct(pairs)
+
+
+#: A match; the least one is the best: of equally good ones that with most bigrams, then the first by name.
+MATCH = "array<struct<minus_dice:double,minus_size:int,license:string>>"
+
+
+def _match(unit: Column, template: Column) -> Column:
+    shared, size = F.size(F.array_intersect(unit, template.grams)), F.size(template.grams)
+    dice = shared * -2 / (F.size(F.array_distinct(unit)) + size)
+    return F.struct(dice.alias("minus_dice"), (-size).alias("minus_size"), template.license.alias("license"))
+
+
+def window_matches(grams: Column, templates: Column, least: float = DICE) -> Column:
+    """MATCH: the best template of every window that has one.
+
+    Windows begin at bigrams of templates of which the text holds as many bigrams as a match needs, and have their
+    window_sizes.
+    """
+    near = F.filter(templates, lambda t: F.size(F.array_intersect(grams, t.grams)) >= t.low)
+
+    def found(near: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: F.exists(near, lambda t: F.array_contains(t.grams, F.get(grams, i - 1))))
+        scores = lambda i: F.transform(near, lambda t: F.array_min(F.transform(t.sizes, lambda n: _match(F.slice(grams, i, n), t))))
+        return F.array_distinct(F.filter(F.transform(starts, lambda i: F.array_min(scores(i))), lambda m: m.minus_dice <= -least))
+
+    # An element of an array is made once, whatever names it; an expression would be made for each position.
+    return F.flatten(F.transform(F.filter(F.array(near), lambda n: F.size(n) > 0), found))
 
 
 def matches(text: Column, templates: list[tuple[str, str]] = TEMPLATES, least: float = DICE) -> Column:
-    """array<struct<minus_dice, license>>: the best match of every unit that has one."""
+    """MATCH: the best match of every unit that has one."""
     known = "(?i)(?<![\\p{L}\\p{N}])(?:" + "|".join(anchors(templates, least)) + ")(?![\\p{L}\\p{N}])"
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n\s*\n"), F.array(text)))
     some = F.filter(units, lambda u: F.rlike(u, F.lit(known)))
+    rows = []
+    for name, template in templates:
+        grams = template_bigrams(template)
+        low, high = bounds(len(grams), least)
+        rows.append(
+            F.struct(
+                F.lit(name).alias("license"), F.array(*map(F.lit, grams)).alias("grams"),
+                F.lit(low).alias("low"), F.lit(high).alias("high"), F.array(*map(F.lit, window_sizes(template, least))).alias("sizes"),
+            )
+        )
+    listed = F.array(*rows)
 
     def best(own: Column) -> Column:
-        scores = []
-        for name, template in templates:
-            grams = template_bigrams(template)
-            low, high = bounds(len(grams), least)
-            shared = F.size(F.array_intersect(own, F.array(*map(F.lit, grams))))
-            score = F.when(F.size(own).between(low, high), shared * -2 / (F.size(own) + len(grams)))
-            scores.append(F.struct(F.coalesce(score, F.lit(0.0)).alias("minus_dice"), F.lit(name).alias("license")))
-        # Of equally good ones the first by name.
-        return F.array_min(F.array(*scores))
-
-    found = F.transform(F.transform(some, bigrams), best)
-    found = F.filter(found, lambda m: m.minus_dice <= -least)
-    nothing = F.array().cast("array<struct<minus_dice:double,license:string>>")
-    return F.when(F.rlike(text, F.lit(known)), found).otherwise(nothing)
+        fits = F.filter(listed, lambda t: F.size(own).between(t.low, t.high))
+        return F.array_min(F.transform(fits, lambda t: _match(own, t)))
+
+    whole = F.transform(F.transform(some, lambda u: F.array_distinct(bigrams(u))), best)
+    whole = F.filter(whole, lambda m: F.coalesce(m.minus_dice <= -least, F.lit(False)))
+    # The whole text's bigrams are made once, as the only element of an array.
+    windows = F.flatten(F.transform(F.array(bigrams(text)), lambda g: window_matches(g, listed, least)))
+    return F.when(F.rlike(text, F.lit(known)), F.concat(whole, windows)).otherwise(F.array().cast(MATCH))
 
 
 def scan_licenses(documents: DataFrame) -> DataFrame:
     """doc_id, license and dice of the best match, all licences found, for every document.
 
     No match: license null, dice 0, licenses empty. Null text counts as empty.
-    Equal coefficients are settled by the licence's name. Repeated rows repeat;
-    extra columns are not read.
+    Of equal coefficients the larger template's is taken, then the licence first by name. Repeated rows repeat;
+    extra columns are not read; an empty table gives no rows. Texts may be of any length.
     """
     found = documents.select("doc_id", matches(F.coalesce("text", F.lit(""))).alias("m"))
     first = F.array_min("m")
@@ -125,25 +178,43 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
 def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES, least: float = DICE) -> str:
     """The same result in DuckDB's SQL, comparing all units with all templates."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, template_bigrams(t)))}])" for name, t in templates)
+    rows = []
+    for name, template in templates:
+        grams = template_bigrams(template)
+        low, high = bounds(len(grams), least)
+        rows.append(f"({quoted(name)}, [{', '.join(map(quoted, grams))}], {low}, {high}, {window_sizes(template, least)})")
+    normal = lambda s: rf"string_split(trim(regexp_replace(lower({s}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
+    dice = lambda g: f"2.0 * len(list_intersect({g}, grams)) / (len(list_distinct({g})) + len(grams))"
     return rf"""
-WITH templates(license, grams) AS (VALUES {rows}),
+WITH templates(license, grams, low, high, sizes) AS (VALUES {", ".join(rows)}),
 docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 units AS (
     SELECT doc_id, unnest(list_distinct(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '\n\s*\n'), [t]))) AS u
     FROM docs
 ), words AS (
-    SELECT doc_id, string_split(trim(regexp_replace(lower(u), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units
+    SELECT doc_id, {normal("u")} AS w FROM units
 ), own AS (
-    SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM words
+    SELECT DISTINCT doc_id, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM words
 ), scored AS (
-    SELECT doc_id, license, 2.0 * len(list_intersect(own.grams, templates.grams)) / (len(own.grams) + len(templates.grams)) AS dice
-    FROM own JOIN templates ON len(own.grams) > 0
+    SELECT doc_id, g, license, {dice("g")} AS dice, -len(grams) AS size FROM own JOIN templates ON len(g) BETWEEN low AND high
+), texts AS (
+    SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS all_grams FROM (SELECT doc_id, {normal("t")} AS w FROM docs)
+), near AS (
+    SELECT texts.*, templates.* FROM texts JOIN templates ON len(list_intersect(all_grams, grams)) >= low
+), starts AS (
+    SELECT DISTINCT doc_id, i FROM (SELECT doc_id, grams, unnest(all_grams) AS gram, unnest(range(1, len(all_grams) + 1)) AS i FROM near)
+    WHERE list_contains(grams, gram)
+), windows AS (
+    SELECT doc_id, i, license, grams, all_grams[i:i + size - 1] AS g
+    FROM (SELECT *, unnest(sizes) AS size FROM near) JOIN starts USING (doc_id)
 ), best AS (
-    SELECT doc_id, license, dice FROM scored WHERE dice >= {least}
+    SELECT doc_id, arg_min(license, (-dice, size, license)) AS license, max(dice) AS dice, arg_min(size, (-dice, size, license)) AS size FROM (
+        SELECT doc_id, g, 0 AS i, license, dice, size FROM scored
+        UNION ALL SELECT doc_id, [], i, license, {dice("g")}, -len(grams) FROM windows
+    ) GROUP BY doc_id, g, i
 )
-SELECT doc_id, arg_min(license, (-dice, license)) AS license,
+SELECT doc_id, arg_min(license, (-dice, size, license)) AS license,
     round(coalesce(max(dice), 0)::DOUBLE, 6) AS dice,
     coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses
-FROM docs LEFT JOIN best USING (doc_id) GROUP BY doc_id
+FROM docs LEFT JOIN (SELECT * FROM best WHERE dice >= {least}) USING (doc_id) GROUP BY doc_id
 """

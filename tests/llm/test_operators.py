@@ -574,6 +574,7 @@ def test_quality_model_of_odd_rows(spark):
     got = quality_model.classify(docs, labels).collect()
     assert len(got) == 4 and all(r["posterior"] is not None and r["kept"] is not None for r in got)
 
+
 def test_licenses(spark, documents):
     apache = next(t for n, t in licenses.TEMPLATES if n == "Apache-2.0" and len(t) > 100)
     rows = [(0, None), (1, "Some text.\nReleased under the MIT License."), (2, apache.replace("agreed", "aggreed")), (3, "nothing here"), (4, "under the")]
@@ -587,3 +588,52 @@ def test_licenses(spark, documents):
     base.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     assert sorted(base.execute(licenses.oracle_sql()).fetchall()) == sorted(tuple(got[i]) for i, _ in rows)
     assert licenses.scan_licenses(everything).count() == everything.count()
+
+
+def _dice_of_all_windows(text):
+    """The best coefficient of each licence over every run of words, lines and paragraphs aside."""
+    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    best = defaultdict(float)
+    for name, template in licenses.TEMPLATES:
+        own = set(licenses.template_bigrams(template))
+        # A window that begins with another bigram is no better than the same without it.
+        for i in (i for i, g in enumerate(grams) if g in own):
+            seen = set()
+            for g in grams[i : i + 2 * len(own)]:
+                seen.add(g)
+                best[name] = max(best[name], 2 * len(seen & own) / (len(seen) + len(own)))
+    return best
+
+
+def test_licenses_in_running_text(spark):
+    rng = random.Random(3)
+    words = vocabulary(rng)
+    around = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(0, around(400)), (1, ""), (2, None)]
+    for name, template in licenses.TEMPLATES:
+        broken = template.split(" ")
+        for at in range(7, len(broken), 11):
+            broken[at] = "\n * " + broken[at] if at % 2 else "\n\n" + broken[at]
+        rows.append((len(rows), f"{around(30)}. {' '.join(broken)} {around(30)}"))
+        if len(broken) > 30:
+            changed = list(broken)
+            for at in rng.sample(range(len(changed)), len(changed) // 25):
+                changed[at] = "changed"
+            rows.append((len(rows), f"{around(30)} {' '.join(changed)} {around(3000)}"))
+    plain = [t for t in rows if "changed" not in (t[1] or "") and t[0] > 2]
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows] + [(*rows[3], "x", "y")], "doc_id bigint, text string, license string, m string")
+    found = licenses.scan_licenses(frame).collect()
+    got = {r["doc_id"]: r for r in found}
+    assert len(found) == len(rows) + 1 and [got[i]["license"] for i in range(3)] == [None] * 3
+    assert [(got[i]["license"], got[i]["dice"]) for i, _ in plain] == [(name, 1.0) for name, _ in licenses.TEMPLATES]
+    for i, text in rows[3:]:
+        best = _dice_of_all_windows(text[:4000])
+        top = max(best.values())
+        assert top >= licenses.DICE and got[i]["dice"] > top - 0.05, (i, top, got[i])
+        assert best[got[i]["license"]] > top - 0.05
+    base = duckdb.connect()
+    base.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    base.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(base.execute(licenses.oracle_sql()).fetchall()) == sorted(tuple(got[i]) for i, _ in rows)
+    assert licenses.scan_licenses(empty(spark)).count() == 0
