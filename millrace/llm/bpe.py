@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens and spaced words remembered by each worker process, in each of two generations.
-REMEMBERED = 400_000
+#: Pre-tokens and spaced words remembered by each worker process, in each of two generations, and characters from which on none is.
+REMEMBERED, LONGEST = 400_000, 64
 
 
 class PerfectHash:
@@ -113,14 +113,15 @@ class Bpe:
             token = piece.encode("utf-8", "replace")
             whole = self.whole.find(token)
             ids = np.array([whole] if whole is not None else self.merge(token), dtype="<u4").tobytes()
-        self.new[piece] = ids
+        if len(piece) < LONGEST:
+            self.new[piece] = ids
         return ids
 
     def _part(self, part: str) -> bytes:
         """Ids of a part of a text that no pre-token overlaps."""
         if (ids := self.old.get(part)) is None:
             ids = b"".join([self._pretoken(p) for p in self.split.findall(part)])
-        if len(part) < 64:
+        if len(part) < LONGEST:
             self.new[part] = ids
         return ids
 

@@ -15,7 +15,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import written
@@ -33,8 +33,8 @@ STEADY = 400
 #: Decimals of a reading in the histogram that quartiles are taken from: exact, whatever the partitions, and bounded.
 DECIMALS = 5
 VOCABULARY, BYTES = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
-#: Words remembered by each worker process, in each of two generations.
-REMEMBERED = 300_000
+#: Words remembered by each worker process, in each of two generations, and bytes of the longest such word.
+REMEMBERED, LONGEST = 300_000, 64
 
 MEASURES = ["chars_per_token", "byte_share", "entropy", "chars_per_byte_token"]
 _FIELDS = [
@@ -77,27 +77,36 @@ class WordPieces:
         self.new: tuple[dict[bytes, list[int]], dict[bytes, int]] = {}, {}
         self.old = self.new
 
-    def learn(self, words: set[bytes]) -> None:
-        """Makes ids ready for words; those of the last two generations are kept."""
+    def learn(self, words: set[bytes]) -> list[bytes]:
+        """Makes ids ready for words; those of the last two generations are kept. Returns the words met first."""
         if len(self.new[0]) > REMEMBERED:
             self.old, self.new = self.new, ({}, {})
+        (ids, sizes), (old_ids, old_sizes) = self.new, self.old
         missing = []
-        for w in words - self.new[0].keys():
-            if w in self.old[0]:
-                self.new[0][w], self.new[1][w] = self.old[0][w], self.old[1][w]
+        # Word by word: a set less the keys of a dict walks through the dict.
+        for w in words:
+            if w in ids:
+                continue
+            if w in old_ids:
+                ids[w], sizes[w] = old_ids[w], old_sizes[w]
             else:
                 missing.append(w)
         if missing:
             texts = [w.decode("utf-8", "replace") for w in missing]
-            self.new[0].update(zip(missing, self.model.encode(texts, num_threads=1)))
+            ids.update(zip(missing, self.model.encode(texts, num_threads=1)))
             # As they stand in a text, behind a space.
-            self.new[1].update(zip(missing, map(len, map(self.bytes_model.encode_ordinary, [" " + t for t in texts]))))
+            sizes.update(zip(missing, map(len, map(self.bytes_model.encode_ordinary, [" " + t for t in texts]))))
+        return missing
 
     def ids(self, words: list[bytes]) -> tuple[list[int], int]:
-        """The ids of all words, and how many tokens of bytes they are."""
-        self.learn(set(words))
+        """The ids of all words, and how many tokens of bytes they are. Long words are not remembered."""
+        met = self.learn(set(words))
         ids, sizes = self.new
-        return list(chain.from_iterable(map(ids.__getitem__, words))), sum(map(sizes.__getitem__, words))
+        out = list(chain.from_iterable(map(ids.__getitem__, words))), sum(map(sizes.__getitem__, words))
+        for w in met:
+            if len(w) > LONGEST:
+                del ids[w], sizes[w]
+        return out
 
 
 _pieces: dict[tuple[str, str], WordPieces] = {}
@@ -162,12 +171,20 @@ def base_failed() -> Column:
 def bands(measured: DataFrame) -> DataFrame:
     """Quartiles of each measure by language and how far a band reaches, from all documents that pass the base rules.
 
-    Quartiles are exact for readings of DECIMALS decimals: each task sums up a histogram of bounded size, so
-    a language with most of the rows is no burden, and the order of rows changes nothing.
+    Quartiles are exact for readings of DECIMALS decimals. Equal readings are counted by (language, measure, reading),
+    summed up within tasks first; what meets for one language are its distinct readings, whose number DECIMALS
+    bounds, whatever the number of documents.
     """
-    good = measured.where(~F.col("base_failed"))
-    quartile = lambda m, q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY round({m}, {DECIMALS}))")
-    out = good.groupBy("band").agg(*[quartile(m, q).alias(f"{m}_{name}") for m in MEASURES for q, name in ((0.25, "low"), (0.75, "high"))])
+    each = F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(m, DECIMALS).alias("value")) for m in MEASURES]))
+    good = measured.where(~F.col("base_failed")).select("band", each).where("value IS NOT NULL")
+    counted = good.groupBy("band", "measure", "value").agg(F.count("*").alias("n"))
+    of = Window.partitionBy("band", "measure")
+    upto = counted.withColumns({"upto": F.sum("n").over(of.orderBy("value")), "all": F.sum("n").over(of)})
+    # The first reading that a quarter, or three quarters, do not exceed.
+    reached = lambda quarters: F.min(F.when(F.col("upto") * 4 >= F.col("all") * quarters, F.col("value")))
+    quartiles = upto.groupBy("band", "measure").agg(reached(1).alias("low"), reached(3).alias("high"))
+    sides = [F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in MEASURES for side in ("low", "high")]
+    out = quartiles.groupBy("band").agg(*sides)
     return out.withColumns({f"{m}_wide": WIDTH * F.greatest(F.col(f"{m}_high") - F.col(f"{m}_low"), F.lit(1e-3)) for m in MEASURES})
 
 

@@ -103,7 +103,9 @@ class Tokens:
             parts = self._parts(t)
             parted.append(self._spaced(t) if len(parts) == 1 and t not in self.added else [w for p in parts for w in ([p] if p in self.added else self._spaced(p))])
         missing = []
-        for p in set().union(*parted) - self.new.keys():
+        for p in set().union(*parted):
+            if p in self.new:
+                continue
             if (ids := self.old.get(p)) is not None:
                 self.new[p] = ids
             else:
