@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, decontamination, embeddings, fertility, licenses, manifest, near_dups, packing, quality_model, secrets, warc
+from millrace.llm import bpe, chat, decontamination, embeddings, fertility, licenses, manifest, near_dups, packing, quality_model, secrets, spelling, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +87,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -107,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_packing": op10_packing,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_decontamination": op12_decontamination,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -127,6 +132,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.oracle_sql(),
     "op5_warc": _OP5_SQL,
     "op6_chat_format": _OP6_SQL,
+    "op11_spelling_variants": spelling.oracle_sql(),
     "op12_decontamination": decontamination.oracle_sql(),
     "op13_merkle_manifest": manifest.oracle_sql(),
 }
