@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
@@ -77,7 +78,9 @@ def to_ascii(text: Column) -> Column:
     several = {k: v for k, v in found.items() if len(v) > 1}
     pairs = F.map_from_arrays(F.array(*map(F.lit, several)), F.array(*map(F.lit, several.values())))
     letters = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c))
-    some = F.rlike(text, F.lit("[" + "".join(several) + "]"))
+    # Only what is not ASCII is looked through for them.
+    beyond = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+    some = F.rlike(beyond, F.lit("[" + "".join(several) + "]"))
     spread = F.when(some, F.array_join(letters, "")).otherwise(text)
     plain = F.regexp_replace(F.translate(spread, "".join(single), "".join(single.values())), r"[^\x00-\x7F]", "")
     return F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), plain).otherwise(text)
@@ -280,11 +283,16 @@ def safe_redirect(target: Column) -> Column:
     return F.when(F.startswith(target, F.lit("/")), target).otherwise(F.lit("/"))
 
 
-def interpolated(template: Column, values: dict[str, Column]) -> Column:
-    """{name} filled in; names without a value stay as they are."""
-    for name, value in values.items():
-        template = F.replace(template, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
-    return template
+def interpolated(template: str, values: dict[str, Column]) -> Column:
+    """{name} filled in, in one pass, so that a value's own braces stay; names without a value stay as they are."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    shown = []
+    for i, piece in enumerate(pieces):
+        if i % 2 == 0:
+            shown.append(F.lit(piece))
+        else:
+            shown.append(F.coalesce(values[piece].cast("string"), F.lit("")) if piece in values else F.lit("{" + piece + "}"))
+    return F.concat(*shown)
 
 
 def log_text(event: Column, fields: Column) -> Column:

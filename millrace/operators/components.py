@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.storage import written
+from millrace.storage import removed, written
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Edges may repeat and point either way; loops are dropped. Each step is a grouped
     minimum and a join with it, whose hot side (a hub's edges) Spark can split, and is
-    written before the next. The number of steps grows with the logarithm of the
+    written before the next, and the tables before it are removed. The number of steps grows with the logarithm of the
     longest path. No edges: no rows.
     """
     low, high = F.least(a, b), F.greatest(a, b)
@@ -32,13 +32,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = _state(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_nearest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(large.where("u <> v").distinct())
-        joined = now.join(_nearest(now), "u")
+        nearest = _nearest(both)
+        large = both.join(nearest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars = written(large.where("u <> v").distinct())
+        removed(nearest, now)
+        nearest = _nearest(stars)
+        joined = stars.join(nearest, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             joined.select("u", F.col("m").alias("v"))
         )
         now = written(small.where("u <> v").distinct())
+        removed(nearest, stars)
         if (after := _state(now)) == before:
             break
         before = after

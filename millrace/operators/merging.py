@@ -18,9 +18,26 @@ def first_seen(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by(whole, F.struct(*order)).alias("row")).select(*keys, "row.*")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], merged: dict[str, Column] | None = None) -> DataFrame:
-    """Rows of both by key; on a match the new row stands, but for columns with an expression over old.c and new.c."""
-    a, b = old.alias("old"), new.alias("new")
+def stamped(rows: DataFrame, column: str = "updated_at") -> DataFrame:
+    """Rows with the time of the write; all rows of one write have the same."""
+    return rows.withColumn(column, F.current_timestamp())
+
+
+def upsert(
+    old: DataFrame, new: DataFrame, keys: list[str], merged: dict[str, Column] | None = None, order: list[str] | None = None, gathered: tuple[str, ...] = ()
+) -> DataFrame:
+    """Rows of both by key; on a match the new row stands, but for columns with an expression over old.c and new.c.
+
+    Of new rows with one key the last in `order` stands (default: by all other columns); lists named in `gathered` are those of all
+    these rows, the last one's items first, each once.
+    """
+    others = [c for c in new.columns if c not in keys]
+    by = F.struct(*(order or others))
+    lists = F.collect_list(F.struct(by.alias("by"), *[F.coalesce(c, F.array().cast(new.schema[c].dataType)).alias(c) for c in gathered]))
+    last_first = F.reverse(F.array_sort(lists))
+    all_of = [F.array_distinct(F.flatten(last_first.getField(c))).alias(c) for c in gathered]
+    last = new.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in others if c not in gathered]), by).alias("_row"), *all_of)
+    a, b = old.alias("old"), last.select(*keys, "_row.*", *gathered).alias("new")
     on = [F.col(f"old.{k}") == F.col(f"new.{k}") for k in keys]
     hit = F.col(f"new.{keys[0]}").isNotNull()
     columns = [F.coalesce(F.col(f"new.{k}"), F.col(f"old.{k}")).alias(k) for k in keys]

@@ -81,14 +81,15 @@ def pages_of_pairs(pairs: DataFrame, pages: DataFrame) -> DataFrame:
     return pairs.join(with_text(pages), ["city", "topic"], "left")
 
 
-def listed_by_pair(pages: DataFrame, most: int = 1000) -> DataFrame:
-    """The URLs of each pair in order as one list, the first `most`, and how many there are.
+def listed_by_pair(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """The URLs of each pair in order as one list, and how many there are; with `most` the list has the first so many.
 
-    The list is bounded, so that a pair with very many pages is no row without bound; `pages_of_pairs` has them all as rows.
+    A pair's list is one value; `pages_of_pairs` has the same as rows.
     """
     urls = pages.groupBy("city", "topic").agg(F.count("*").alias("n"), F.count_distinct("url").alias("urls"))
-    first = pages.select("city", "topic", "url").distinct()
-    by = first.selectExpr("*", "row_number() OVER (PARTITION BY city, topic ORDER BY url) AS place").where(F.col("place") <= most)
+    by = pages.select("city", "topic", "url").distinct()
+    if most is not None:
+        by = by.selectExpr("*", "row_number() OVER (PARTITION BY city, topic ORDER BY url) AS place").where(F.col("place") <= most)
     lists = by.groupBy("city", "topic").agg(F.array_sort(F.collect_list("url")).alias("listed"))
     return urls.join(lists, ["city", "topic"])
 
@@ -130,5 +131,5 @@ def detail(pages: DataFrame, url_hash: str, template: str, most: int = 6000) ->
     page = pages.where(F.col("url_hash") == url_hash)
     values = {"topic": F.col("topic"), "city": F.col("city"), "source_url": F.col("url"), "page_text": F.substr("raw_text", F.lit(1), F.lit(most))}
     known = (F.col("raw_text") != "") & (F.col("topic") != "") & (F.col("city") != "")
-    prompt = F.when(F.coalesce(known, F.lit(False)), T.interpolated(F.lit(template), values)).otherwise("")
+    prompt = F.when(F.coalesce(known, F.lit(False)), T.interpolated(template, values)).otherwise("")
     return page.withColumn("extract_prompt", prompt)

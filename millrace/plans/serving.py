@@ -102,10 +102,12 @@ def jsonld(record: dict[str, Column]) -> Column:
     return F.when(of("name").isNotNull(), F.to_json(whole))
 
 
-def jsonld_graph(documents: DataFrame, column: str, by: str, most: int = 1000) -> DataFrame:
-    """One document for each group, its objects in a graph, the first `most` in order, as a page shows them; without objects no document."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(column))
-    shown = documents.where(F.col(column).isNotNull()).select(by, column).withColumn("_place", place).where(F.col("_place") <= most)
+def jsonld_graph(documents: DataFrame, column: str, by: str, most: int | None = None) -> DataFrame:
+    """One document for each group, all its objects in order in a graph, with `most` the first so many; without objects no document."""
+    shown = documents.where(F.col(column).isNotNull()).select(by, column)
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy(by).orderBy(column))
+        shown = shown.withColumn("_place", place).where(F.col("_place") <= most)
     objects = F.array_join(F.array_sort(F.collect_list(column)), ",")
     graph = F.concat(F.lit('{"@context":"https://schema.org","@graph":['), objects, F.lit("]}"))
     return shown.groupBy(by).agg(graph.alias("document"))

@@ -213,6 +213,38 @@ def keyed_upsert(t: Tables) -> DataFrame:
     return merging.upsert(old, new, ["o_orderkey"], {"status": F.concat_ws("<", "new.status", "old.status")})
 
 
+@query("""WITH new AS (SELECT o_custkey, max(o_orderkey) AS k, arg_max(o_orderstatus, o_orderkey) AS status FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey),
+listed AS (SELECT o_custkey, string_agg(p, ',' ORDER BY side, k DESC) AS sources FROM (SELECT o_custkey, o_orderpriority AS p, min(side) AS side, arg_min(k, side) AS k FROM
+ (SELECT o_custkey, o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS side, max(o_orderkey) AS k FROM orders
+  WHERE o_orderstatus <> 'F' OR o_orderkey IN (SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) GROUP BY ALL) GROUP BY ALL) GROUP BY o_custkey)
+SELECT o_custkey, coalesce(new.k, old.k) AS o_orderkey, coalesce(new.status, 'F') AS status, sources
+FROM listed LEFT JOIN new USING (o_custkey) LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS k FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) old USING (o_custkey)""")
+def upsert_of_repeated_keys(t: Tables) -> DataFrame:
+    """Each customer's last finished order is stored; all others come new, of which the last stands and the priorities of all are kept."""
+    rows = t.orders.select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status"), F.array("o_orderpriority").alias("sources"))
+    old = merging.last_write(rows.where("status = 'F'"), ["o_custkey"], "o_orderkey")
+    both = {"sources": T.merged_distinct(F.col("new.sources"), F.col("old.sources"))}
+    done = merging.upsert(old, rows.where("status <> 'F'"), ["o_custkey"], both, ["o_orderkey"], ("sources",))
+    return done.withColumn("sources", F.array_join("sources", ","))
+
+
+@query("SELECT o_orderkey, true AS now, 1 AS times FROM orders WHERE o_orderstatus = 'P'")
+def stamped_rows(t: Tables) -> DataFrame:
+    """Rows with the time of their write: all the same, and that of now."""
+    rows = merging.stamped(t.orders.where("o_orderstatus = 'P'").select("o_orderkey"))
+    times = rows.agg(F.count_distinct("updated_at").cast("int").alias("times"), F.max("updated_at").alias("last"))
+    near = F.abs(F.unix_timestamp("updated_at") - F.unix_timestamp(F.current_timestamp())) < 3600
+    return rows.join(times, F.col("updated_at") == F.col("last")).select("o_orderkey", near.alias("now"), "times")
+
+
+@query("SELECT p.doc_id, p.lang, p.source, p.n_chars FROM documents p WHERE NOT EXISTS (SELECT 1 FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1 AND d.doc_id = p.doc_id AND d.lang = p.lang AND d.source = p.source AND d.n_chars = p.n_chars)")
+def delete_by_four_columns(t: Tables) -> DataFrame:
+    """Rows that a list names by four columns together are gone."""
+    rows = t.documents.select("doc_id", "lang", "source", "n_chars")
+    gone = rows.join(t.labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    return merging.delete_keys(rows, gone)
+
+
 @query("SELECT o_orderkey, o_orderpriority AS topic, 'old' AS side FROM orders WHERE o_orderpriority NOT IN (SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority < '3') UNION ALL SELECT o_orderkey, o_orderpriority, 'new' FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority < '3'")
 def replace_partition(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("topic"), "o_orderstatus")
@@ -359,10 +391,11 @@ def city_topic_rollup(t: Tables) -> DataFrame:
     return serving.rollup(records(t))
 
 
-@query("SELECT conv_id, turn, 'Page for ' || role || chr(10) || substr(text, 1, 120) AS prompt, CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '…' ELSE text END AS short FROM conversations")
+@query("SELECT conv_id, turn, 'Page for {text} ' || role || chr(10) || substr(text, 1, 120) || ' {none}' AS prompt, CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '…' ELSE text END AS short FROM conversations")
 def prompt_render(t: Tables) -> DataFrame:
-    template = F.lit("Page for {role}\n{text}")
-    prompt = T.interpolated(template, {"role": F.col("role"), "text": F.substr("text", F.lit(1), F.lit(120))})
+    """A value that holds a name in braces is not filled in again."""
+    role = F.concat(F.lit("{text} "), "role")
+    prompt = T.interpolated("Page for {role}\n{text} {none}", {"role": role, "text": F.substr("text", F.lit(1), F.lit(120))})
     return t.conversations.select("conv_id", "turn", prompt.alias("prompt"), T.clipped(F.col("text"), 40).alias("short"))
 
 

@@ -7,8 +7,10 @@ that reads fixtures. Failures are rows with a status, never silent gaps.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,39 +36,71 @@ class QuotaSpent(Exception):
     """The service takes no more calls."""
 
 
-def call_service(rows: DataFrame, column: str, client: Callable[[], Callable[[str], str | None]], gap: float = 0.0, partitions: int | None = None) -> DataFrame:
+class Clock:
+    """The time that pace and pauses go by."""
+
+    def now(self) -> float:
+        return time.monotonic()
+
+    def sleep(self, seconds: float) -> None:
+        time.sleep(seconds)
+
+
+class Caller:
+    """Calls of one task: starts are `gap` apart, a limit closes the service for a time, a spent quota for good."""
+
+    def __init__(self, call: Callable[[str], str | None], gap: float, clock: Clock):
+        self.call, self.gap, self.clock = call, gap, clock
+        self.next_start = self.open_again = float("-inf")
+        self.spent = False
+        self.lock = threading.Lock()
+
+    def _closed(self) -> str | None:
+        """Waits for the next start; the status of a service that takes no calls."""
+        with self.lock:
+            if self.spent:
+                return "quota"
+            if self.clock.now() < self.open_again:
+                return "limited"
+            self.clock.sleep(max(0.0, self.next_start - self.clock.now()))
+            self.next_start = self.clock.now() + self.gap
+            return None
+
+    def __call__(self, value: str) -> tuple[str | None, str]:
+        if state := self._closed():
+            return None, state
+        try:
+            reply = self.call(value)
+            return reply, "ok" if reply else "empty"
+        except QuotaSpent:
+            self.spent = True
+            return None, "quota"
+        except RateLimited as limit:
+            with self.lock:
+                self.open_again = max(self.open_again, self.clock.now() + limit.seconds)
+            return None, "limited"
+        except Exception:  # a service's own failure is a row's status
+            return None, "failed"
+
+
+def call_service(
+    rows: DataFrame, column: str, client: Callable[[], Callable[[str], str | None]], gap: float = 0.0, partitions: int | None = None,
+    at_once: int = 1, clock: Callable[[], Clock] = Clock,
+) -> DataFrame:
     """Adds `reply` and `status` (ok, empty, limited, quota, failed) of a call with each row's column.
 
-    `gap` is the least time between the starts of two calls of a task; one partition
-    keeps one pace for a whole service. After a spent quota no more calls are made.
+    `gap` is the least time between the starts of two calls of a task, `at_once` how many of them are open at most; rows keep their
+    order, and a batch is answered before the next is read. One partition keeps one pace for a whole service (`plans.gate`
+    keeps it over partitions). After a spent quota no more calls are made. A client that is called at once must bear it.
     """
     fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call, last, open_again, spent = client(), 0.0, 0.0, False
-        for batch in batches:
-            replies, states = [], []
-            for value in batch[column]:
-                reply = None
-                if spent:
-                    state = "quota"
-                elif time.monotonic() < open_again:
-                    state = "limited"
-                else:
-                    time.sleep(max(0.0, last + gap - time.monotonic()))
-                    last = time.monotonic()
-                    try:
-                        reply = call(value)
-                        state = "ok" if reply else "empty"
-                    except QuotaSpent:
-                        spent, state = True, "quota"
-                    except RateLimited as limit:
-                        open_again, state = time.monotonic() + limit.seconds, "limited"
-                    except Exception:  # a service's own failure is a row's status
-                        state = "failed"
-                replies.append(reply)
-                states.append(state)
-            yield batch.assign(reply=replies, status=states)
+        caller = Caller(client(), gap, clock())
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                answers = list(pool.map(caller, batch[column]))
+                yield batch.assign(reply=[a[0] for a in answers], status=[a[1] for a in answers])
 
     spread = rows.repartition(partitions) if partitions else rows
     return spread.mapInPandas(run, f"{fields}, reply string, status string")

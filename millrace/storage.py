@@ -10,16 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the cluster's spark.checkpoint.dir, which all executors see.
 
-    Where the session names none, one within the warehouse, which all executors see as well.
+    Where the session names none, a single machine uses its warehouse; on a cluster that is an error, as
+    a folder of one machine is not seen by the others.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         base = base if ":" in base else f"file://{base}"
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
 
 
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once nothing reads them any more."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            if "/millrace-" in folder:
+                place = jvm.org.apache.hadoop.fs.Path(folder)
+                place.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again.
 

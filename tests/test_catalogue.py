@@ -9,6 +9,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 
 from millrace import schemas
@@ -18,6 +19,7 @@ from millrace.plans import acquire, cache, enrich, extract, runs, serving
 from millrace.sources import connectors, files
 from millrace.streaming import logs
 
+register_pickle_by_value(sys.modules[__name__])  # workers don't see this module
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -282,27 +284,147 @@ def test_search_and_fetch(spark):
     assert [tuple(r) for r in found.collect()] == [(1, 0, "u", "t", "d"), (1, 1, "", "", "")]
 
 
-def test_rate_limit_opens_again(spark):
+class FakeClock(connectors.Clock):
+    """Time that passes only by sleeping, and one second with each look."""
+
+    def __init__(self):
+        self.time, self.slept = 0.0, []
+
+    def now(self):
+        self.time += 1.0
+        return self.time
+
+    def sleep(self, seconds):
+        self.slept.append(seconds)
+        self.time += seconds
+
+
+def limited_client():
+    calls = []
+
+    def call(value):
+        calls.append(value)
+        if value in ("l3", "l9"):
+            raise connectors.RateLimited(7.0)
+        if value == "q20":
+            raise connectors.QuotaSpent
+        return f"{value}:{len(calls)}"
+
+    return call
+
+
+def test_rate_limit_opens_again_and_quota_does_not():
+    """With a clock that ticks at each look, the rows that a limit costs are known."""
+    clock = FakeClock()
+    caller = connectors.Caller(limited_client(), 0.0, clock)
+    values = [("l" if i in (3, 9) else "q" if i == 20 else "v") + str(i) for i in range(30)]
+    states = []
+    for v in values:
+        states.append(caller(v)[1])
+    first = states.index("limited")
+    assert first == 3
+    closed = [i for i, s in enumerate(states[:20]) if s == "limited"]
+    # A look at the clock for each refused row: six rows pass before seven seconds have.
+    assert closed == [3, 4, 5, 6, 7, 8, 9] or closed[:6] == [3, 4, 5, 6, 7, 8]
+    after = closed[-1] + 1
+    assert states[after] == "ok" and set(states[20:]) == {"quota"}
+
+
+def test_breaker_in_a_task(spark):
+    rows = spark.createDataFrame([(i, ("l" if i in (3, 9) else "q" if i == 20 else "v") + str(i)) for i in range(30)], "i int, v string").coalesce(1)
+    got = {r["i"]: r["status"] for r in connectors.call_service(rows, "v", limited_client, clock=FakeClock).collect()}
+    caller = connectors.Caller(limited_client(), 0.0, FakeClock())
+    assert got == {i: caller(("l" if i in (3, 9) else "q" if i == 20 else "v") + str(i))[1] for i in range(30)}
+    assert list(got.values()).count("quota") == 10 and got[4] == "limited" and got[2] == "ok"
+
+
+def test_pace_of_starts():
+    clock = FakeClock()
+    caller = connectors.Caller(lambda v: v, 10.0, clock)
+    starts = []
+    for _ in range(5):
+        caller("x")
+        starts.append(caller.next_start - 10.0)
+    assert all(b - a >= 10.0 for a, b in zip(starts, starts[1:])) and len([s for s in clock.slept if s > 0]) == 4
+
+
+def test_several_calls_at_once(spark):
+    """Three calls are open at most, the rows keep their order, failures are rows."""
+
     def client():
-        calls = []
+        import threading
+        import time
+
+        lock, now = threading.Lock(), {"open": 0, "most": 0}
 
         def call(value):
-            calls.append(value)
-            if len(calls) == 1:
-                raise connectors.RateLimited(0.2)
-            return f"{value}{len(calls)}"
+            with lock:
+                now["open"] += 1
+                now["most"] = max(now["most"], now["open"])
+            time.sleep(0.03)
+            with lock:
+                now["open"] -= 1
+            if value.endswith("7"):
+                raise OSError
+            return f"{value} {now['most']}"
 
         return call
 
-    rows = spark.createDataFrame([(i,) for i in range(400)], "v int").coalesce(1)
-    got = sorted((r["v"], r["status"]) for r in connectors.call_service(rows, "v", client, gap=0.002).collect())
-    states = [s for _, s in got]
-    assert states[0] == "limited" and set(states) == {"limited"} or "ok" in states
-    import time
-
-    began = time.monotonic()
-    connectors.call_service(spark.createDataFrame([(i,) for i in range(10)], "v int").coalesce(1), "v", lambda: str, gap=0.05).count()
-    assert time.monotonic() - began >= 0.45
+    rows = spark.createDataFrame([(i, f"v{i}") for i in range(60)], "i int, v string").coalesce(1)
+    took = {}
+    for at_once in (1, 3):
+        import time
+
+        began = time.monotonic()
+        got = connectors.call_service(rows, "v", client, at_once=at_once).collect()
+        took[at_once] = time.monotonic() - began
+        assert [r["i"] for r in got] == list(range(60))
+        assert [r["status"] for r in got] == ["failed" if i % 10 == 7 else "ok" for i in range(60)]
+        assert max(int(r["reply"].split()[1]) for r in got if r["reply"]) == at_once
+    assert took[3] < 0.75 * took[1]
+
+
+def test_values_are_filled_in_once(spark):
+    rows = [("{b}", "x"), (None, "{a}{c}"), ("\\1$0", "")]
+    got = values(spark, rows, "a string, b string", T.interpolated("{a}|{b}|{c} {}", {"a": F.col("a"), "b": F.col("b")}))
+    assert [g[0] for g in got] == ["{b}|x|{c} {}", "|{a}{c}|{c} {}", "\\1$0||{c} {}"]
+
+
+def test_upsert_of_repeated_keys(spark):
+    schema = "k string, n int, s array<string>"
+    old = spark.createDataFrame([("a", 1, ["x"])], schema)
+    new = spark.createDataFrame([("a", 2, ["y", "x"]), ("a", 4, ["z"]), ("a", 3, None), ("b", 1, None), ("b", 1, None)], schema)
+    got = merging.upsert(old, new, ["k"], {"s": T.merged_distinct(F.col("new.s"), F.col("old.s"))}, ["n"], ("s",))
+    assert sorted(map(tuple, got.collect())) == [("a", 4, ["z", "y", "x"]), ("b", 1, [])]
+    plain = merging.upsert(old, new, ["k"])
+    assert sorted(map(tuple, plain.collect())) == [("a", 4, ["z"]), ("b", 1, None)]
+
+
+def test_graphs_hold_all_objects(spark):
+    rows = spark.createDataFrame([("c", json.dumps({"n": i})) for i in range(1500)] + [("d", None)], "by string, one string")
+    (only,) = serving.jsonld_graph(rows, "one", "by").collect()
+    assert len(json.loads(only["document"])["@graph"]) == 1500
+    assert len(json.loads(serving.jsonld_graph(rows, "one", "by", 7).first()["document"])["@graph"]) == 7
+    urls = rows.select(F.lit("c").alias("city"), F.lit("t").alias("topic"), F.col("one").alias("url"))
+    assert len(cache.listed_by_pair(urls.where("url IS NOT NULL")).first()["listed"]) == 1500
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from millrace import storage
+
+    conf = {"spark.sql.warehouse.dir": "/w"}
+    on = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_folder(on("spark://h:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_folder(on("local-cluster[2,1,1024]"))
+    assert storage.shared_folder(on("local[4]")).startswith("file:///w/checkpoints/millrace-")
+    table = storage.written(spark.range(5))
+    storage.removed(table)
+    place = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert not [f for f in table.inputFiles() if os.path.exists(f.removeprefix("file:"))] and os.path.isdir(place)
 
 
 def test_more_file_sources(spark, tmp_path):
