@@ -414,10 +414,27 @@ def snapshot_diff(t: Tables) -> DataFrame:
     return merging.snapshot_diff(*_halves(t), ["o_orderkey"])
 
 
-@query()
+_PARTS = ["p_partkey", "p_name", "p_brand", "p_size", "p_type"]
+
+
+@query(dedupe.oracle_sql("""SELECT *, p_brand || '|' || p_size AS block, p_name AS name, length(p_type) AS rich, p_partkey AS seq,
+    CASE WHEN p_partkey % 4 > 0 THEN 'http://' || lower(p_type) || CASE WHEN p_partkey % 4 = 1 THEN '/' ELSE '' END END AS site FROM part""", _PARTS))
 def fuzzy_dedupe(t: Tables) -> DataFrame:
-    rows = t.part.select("p_partkey", "p_name", "p_brand", "p_size", "p_type")
-    return dedupe.fuzzy_dedupe(rows, ["p_brand", "p_size"], F.col("p_name"), F.lit(None).cast("string"), F.length("p_type"), F.col("p_partkey"))
+    """Parts of one brand and size; three in four have a site, of which one is written with a closing slash."""
+    fourth = F.col("p_partkey") % 4
+    site = F.when(fourth > 0, F.concat(F.lit("http://"), F.lower("p_type"), F.when(fourth == 1, "/").otherwise("")))
+    return dedupe.fuzzy_dedupe(t.part.select(*_PARTS), ["p_brand", "p_size"], F.col("p_name"), site, F.length("p_type"), F.col("p_partkey"))
+
+
+@query(dedupe.oracle_sql("""SELECT *, r_name AS block, c_name AS name, length(c_mktsegment) AS rich, c_custkey AS seq, NULL::VARCHAR AS site
+    FROM (SELECT c_custkey, n_name || ' ' || c_custkey % 97 || ' ' || c_mktsegment AS c_name, c_mktsegment, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0) JOIN region ON n_regionkey = r_regionkey""", ["c_custkey", "c_name"]))
+def fuzzy_dedupe_of_names(t: Tables) -> DataFrame:
+    """Customers in debt by names of their nation, a number and their segment: blocks of a region, in which many names are close."""
+    debtors = t.customer.where("c_acctbal < 0").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    name = F.concat_ws(" ", "n_name", (F.col("c_custkey") % 97).cast("string"), "c_mktsegment")
+    rows = debtors.select("c_custkey", name.alias("c_name"), "c_mktsegment", "r_name")
+    done = dedupe.fuzzy_dedupe(rows, ["r_name"], F.col("c_name"), F.lit(None).cast("string"), F.length("c_mktsegment"), F.col("c_custkey"))
+    return done.select("c_custkey", "c_name")
 
 
 @query("SELECT user_id, time_bucket(INTERVAL 1 hour, ts) AS hour, count(*) AS n, max(value) AS top FROM events GROUP BY ALL")
