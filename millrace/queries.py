@@ -17,6 +17,7 @@ from millrace.plans import acquire, cache, enrich, extract, serving
 from millrace.sources import connectors
 from millrace.storage import shared_folder
 from millrace.streaming import logs
+from millrace.streaming import pages as page_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -562,3 +563,65 @@ def stream_event_counts(t: Tables) -> DataFrame:
     rows = t.spark.read.parquet(f"{place}/rows")
     latest = rows.groupBy("event_type", "w").agg(F.max_by("n", "batch").alias("n"))
     return latest.select("event_type", F.col("w.start").alias("start"), "n")
+
+
+def _observed(t: Tables) -> DataFrame:
+    """Pages as they were fetched in three rounds: texts differ by the round, half of the pages meet a new model in the second, all in the third."""
+    rows = t.pages.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    model = F.when((F.col("round") == 0) | ((F.col("round") == 1) & (F.col("page_id") % 2 == 1)), "m1").otherwise("m2")
+    topic = F.when((F.col("round") == 1) & (F.col("page_id") % 3 == 0), "again").otherwise(F.regexp_extract("url", "^https?://[^/]*/([^/]*)/", 1))
+    return rows.select(
+        T.url_hash(F.col("url")).alias("url_hash"), (F.col("round") * F.lit(1_000_000_000).cast("long") + F.col("page_id")).alias("seq"), "url", T.authority(F.col("url")).alias("city"), topic.alias("topic"),
+        F.concat(F.col("round").cast("string"), F.lit("|"), "html").alias("text"), model.alias("fingerprint"),
+    )
+
+
+def _titles(text: str, fingerprint: str) -> list[dict]:
+    """The heading of a page as its only record, with the round that it was read in; none without one."""
+    start, _, rest = text.partition("<h1>")
+    return [{"name": f"{fingerprint} {start[0]} {rest.partition('</h1>')[0]}"}] if rest else []
+
+
+_OBSERVED_SQL = r"""
+WITH seen AS (
+    SELECT sha256(url)[1:16] AS url_hash, round * 1000000000 + page_id AS seq, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS city,
+        CASE WHEN round = 1 AND page_id % 3 = 0 THEN 'again' ELSE regexp_extract(url, '^https?://[^/]*/([^/]*)/', 1) END AS topic, html, round,
+        CASE WHEN round = 0 OR (round = 1 AND page_id % 2 = 1) THEN 'm1' ELSE 'm2' END AS model
+    FROM pages, (SELECT unnest([0, 1, 2]) AS round)
+), changes AS (
+    SELECT *, model IS DISTINCT FROM lag(model) OVER (PARTITION BY url_hash ORDER BY seq) AS new FROM seen
+), versions AS (
+    SELECT *, sum(new::INT) OVER (PARTITION BY url_hash ORDER BY seq) AS version FROM changes
+), answered AS (
+    SELECT *, first_value(round) OVER (PARTITION BY url_hash, version ORDER BY seq) AS of_round, first_value(html) OVER (PARTITION BY url_hash, version ORDER BY seq) AS of_html FROM versions
+), shown AS (
+    SELECT city, topic, url_hash, seq, new, CASE WHEN contains(of_html, '<h1>') THEN model || ' ' || of_round || ' ' || split_part(split_part(of_html, '<h1>', 2), '</h1>', 1) END AS name FROM answered
+)
+"""
+
+
+def _streamed(t: Tables) -> str:
+    """The rounds as a stream of three batches into a catalogue, in two runs: the second starts where the first has stopped."""
+    place = shared_folder(t.spark)
+    observed = _observed(t).withColumn("round", F.floor(F.col("seq") / 1_000_000_000).cast("int"))
+    with page_stream.keyed_state(t.spark):
+        for rounds in ((0, 1), (2,)):
+            for number in rounds:
+                rows = observed.where(F.col("round") == number).drop("round")
+                rows.coalesce(1).write.parquet(f"{place}/in/{number}")  # one file, so one batch
+            source = t.spark.readStream.schema(page_stream.EVENT).option("maxFilesPerTrigger", 1).parquet(f"{place}/in/*")
+            page_stream.catalogue_sink(page_stream.memoised(source, _titles), f"{place}/out", f"{place}/state").awaitTermination()
+    return f"{place}/out"
+
+
+@query(_OBSERVED_SQL + "SELECT city, topic, url_hash, arg_max(name, seq) AS name FROM (SELECT city, topic, url_hash, coalesce(name, '') AS name, seq FROM shown) GROUP BY ALL")
+def incremental_catalogue(t: Tables) -> DataFrame:
+    """The catalogue that a stream with remembered pages leaves; each page is extracted only where its model changes."""
+    name = F.coalesce(F.get_json_object("records", "$[0].name"), F.lit(""))
+    return page_stream.catalogue(t.spark, _streamed(t)).select("city", "topic", "url_hash", name.alias("name"))
+
+
+@query(_OBSERVED_SQL + "SELECT city, topic, cast(count_if(new) AS BIGINT) AS extracted, cast(count_if(NOT new) AS BIGINT) AS cache_hits_extract, 0::BIGINT AS failed, count(name) AS records_extracted FROM shown GROUP BY ALL")
+def incremental_counts(t: Tables) -> DataFrame:
+    """What the same costs each pair, by the batch plan over all rows at once."""
+    return page_stream.pair_counts(page_stream.recomputed(_observed(t), _titles))

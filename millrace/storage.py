@@ -23,14 +23,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
 
 
+def removed_folder(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def removed(*tables: DataFrame) -> None:
     """Deletes tables that `written` made, once nothing reads them any more."""
     for table in tables:
-        jvm = table.sparkSession.sparkContext._jvm
         for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
             if "/millrace-" in folder:
-                place = jvm.org.apache.hadoop.fs.Path(folder)
-                place.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+                removed_folder(table.sparkSession, folder)
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
