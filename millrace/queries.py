@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import dedupe, merging
 from millrace.plans import acquire, cache, enrich, extract, serving
-from millrace.sources import connectors
+from millrace.sources import connectors, services
 from millrace.storage import shared_folder
 from millrace.streaming import logs
 from millrace.streaming import pages as page_stream
@@ -625,3 +625,26 @@ def incremental_catalogue(t: Tables) -> DataFrame:
 def incremental_counts(t: Tables) -> DataFrame:
     """What the same costs each pair, by the batch plan over all rows at once."""
     return page_stream.pair_counts(page_stream.recomputed(_observed(t), _titles))
+
+
+def _served(t: Tables, reader):
+    options = {"client": "millrace.sources.services:Recorded", "path": f"{t.sf_dir}/pages.parquet", "order": "page_id", "columns": "page_id bigint, url string, html string", "size": "50"}
+    return reader.format(services.NAME).options(**options).option("partitions", 4)
+
+
+@query("SELECT page_id, sha256(url)[1:16] AS url_hash, length(html) AS n_chars FROM pages")
+def service_pages(t: Tables) -> DataFrame:
+    """All pages from a service that lists them by number, in four partitions of calls of fifty."""
+    pages = _served(t, services.registered(t.spark).read).load()
+    return pages.select("page_id", T.url_hash(F.col("url")).alias("url_hash"), F.length("html").alias("n_chars"))
+
+
+@query(r"SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS domain, count(*) AS n, min(page_id) AS first FROM pages GROUP BY 1")
+def service_stream(t: Tables) -> DataFrame:
+    """The same service as a stream: each item comes once, whatever batches it takes."""
+    place = shared_folder(t.spark)
+    pages = _served(t, services.registered(t.spark).readStream).load().select("page_id", T.authority(F.col("url")).alias("domain"))
+    run = pages.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state")
+    run.trigger(availableNow=True).start().awaitTermination()
+    rows = t.spark.read.schema(pages.schema).parquet(f"{place}/rows")
+    return rows.groupBy("domain").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 
+from millrace.sources import services
 from millrace.streaming import pages
 
 register_pickle_by_value(sys.modules[__name__])  # workers don't see this module
@@ -107,3 +108,58 @@ def test_nothing_new_extracts_nothing(spark, tmp_path):
     assert sorted((r["city"], r["seq"]) for r in pages.catalogue(spark, f"file://{tmp_path}/out").collect()) == [("A", 1), ("B", 2)]
     counts = pages.pair_counts(early.where(F.col("city") == "A")).first()
     assert tuple(counts) == ("A", "t", 1, 1, 0, 4)
+
+
+def shaky(tmp_path, reader, **options):
+    folder = tmp_path / "service"
+    folder.mkdir(exist_ok=True)
+    given = {"client": "tests.clients:Shaky", "folder": str(folder), "columns": "n bigint, url string", "size": "10", "pause": "0.01", **options}
+    return reader.format(services.NAME).options(**given), folder
+
+
+def test_service_partitions_and_retries(spark, tmp_path):
+    reader, folder = shaky(tmp_path, services.registered(spark).read, fails="2", retries="2", partitions="3")
+    (folder / "count").write_text("95")
+    frame = reader.load()
+    assert frame.rdd.getNumPartitions() == 3
+    assert sorted(map(tuple, frame.collect())) == [(i, f"u{i}") for i in range(95)]
+    assert sorted(p.name for p in folder.glob("tried-*")) == sorted(f"tried-{10 * i}" for i in range(10))
+
+
+@pytest.mark.parametrize(("kind", "retries", "well"), [("limit", "1", True), ("error", "0", False), ("quota", "9", False)])
+def test_service_that_refuses(spark, tmp_path, kind, retries, well):
+    reader, folder = shaky(tmp_path, services.registered(spark).read, fails="1", kind=kind, retries=retries, partitions="1")
+    (folder / "count").write_text("7")
+    if well:
+        assert reader.load().count() == 7
+    else:
+        with pytest.raises(Exception, match="QuotaSpent|OSError"):
+            reader.load().collect()
+        # A spent quota is not asked again.
+        assert os.path.getsize(folder / "tried-0") == 1
+
+
+def test_service_without_items(spark, tmp_path):
+    reader, folder = shaky(tmp_path, services.registered(spark).read)
+    (folder / "count").write_text("0")
+    assert reader.load().count() == 0
+
+
+def test_service_as_a_stream_goes_on_where_it_was(spark, tmp_path):
+    reader, folder = shaky(tmp_path, services.registered(spark).readStream, fails="1", partitions="2")
+    seen = []
+    for there in (25, 25, 60):
+        (folder / "count").write_text(str(there))
+        stream = reader.load().writeStream.format("parquet").option("path", f"file://{tmp_path}/rows").option("checkpointLocation", f"file://{tmp_path}/state")
+        stream.trigger(availableNow=True).start().awaitTermination()
+        seen.append(spark.read.schema("n bigint, url string").parquet(f"file://{tmp_path}/rows").count())
+    assert seen == [25, 25, 60]
+    assert sorted(r["n"] for r in spark.read.parquet(f"file://{tmp_path}/rows").collect()) == list(range(60))
+
+
+def test_ranges_are_whole_calls():
+    for first, last, most, size in [(0, 95, 3, 10), (0, 0, 4, 10), (7, 8, 4, 10), (3, 1003, 7, 100), (0, 5, 9, 1)]:
+        found = services.ranges(first, last, most, size)
+        covered = [i for r in found for i in range(r.first, r.last)]
+        assert covered == list(range(first, last)) and len(found) <= most
+        assert all((r.first - first) % size == 0 for r in found)
