@@ -16,7 +16,7 @@ from millrace.operators import dedupe, merging
 from millrace.plans import acquire, cache, enrich, extract, serving
 from millrace.sources import connectors, services
 from millrace.storage import shared_folder
-from millrace.streaming import logs
+from millrace.streaming import gate, logs
 from millrace.streaming import pages as page_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -648,3 +648,38 @@ def service_stream(t: Tables) -> DataFrame:
     run.trigger(availableNow=True).start().awaitTermination()
     rows = t.spark.read.schema(pages.schema).parquet(f"{place}/rows")
     return rows.groupBy("domain").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
+
+
+def _answers():
+    """A service that takes no more calls once a value says so, and has no answer to some."""
+
+    def call(value: str) -> str | None:
+        if '"k": 77' in value:
+            raise connectors.QuotaSpent
+        return value[::-1] if "3" in value else None
+
+    return call
+
+
+@query("""WITH asked AS (
+    SELECT event_type AS service, event_id, coalesce(props, '') AS value, epoch_us(ts) // 1000 AS came, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000, event_id::VARCHAR) AS i FROM events
+), paced AS (
+    SELECT *, max(came - i * 40000) OVER (PARTITION BY service ORDER BY i) + i * 40000 AS begun, coalesce(min(CASE WHEN contains(value, '"k": 77') THEN i END) OVER (PARTITION BY service), 1 << 40) AS halt FROM asked
+)
+SELECT service, event_id, CASE WHEN i <= halt THEN begun - (SELECT epoch_us(min(ts)) // 1000 FROM events) END AS waited_ms, least(i, halt) AS nth,
+    CASE WHEN i >= halt THEN 'quota' WHEN contains(value, '3') THEN 'ok' ELSE 'empty' END AS status
+FROM paced p WHERE (i <= halt AND begun <= (SELECT epoch_us(max(ts)) // 1000 FROM events)) OR (i > halt AND EXISTS (SELECT 1 FROM paced q WHERE q.service = p.service AND q.i = q.halt AND q.begun <= (SELECT epoch_us(max(ts)) // 1000 FROM events)))""")
+def service_gate(t: Tables) -> DataFrame:
+    """Requests to one service for each kind of event, forty seconds between the starts of its calls; a spent quota stops it for good."""
+    place = shared_folder(t.spark)
+    t.events.select(F.col("event_type").alias("service"), F.col("event_id").alias("id"), F.coalesce("props", F.lit("")).alias("value"), F.col("ts").cast("timestamp").alias("at")).write.parquet(f"{place}/in")
+    source = t.spark.readStream.schema("service string, id bigint, value string, at timestamp").parquet(f"{place}/in")
+    with page_stream.keyed_state(t.spark):
+        run = gate.through_gate(source, _answers, 40_000).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state")
+        run.trigger(availableNow=True).start().awaitTermination()
+    rows = t.spark.read.schema(gate.ANSWER).parquet(f"{place}/out")
+    first = t.events.agg(F.unix_millis(F.min("ts").cast("timestamp")).alias("first"))
+    since = F.when((F.col("status") != "quota") | (F.col("nth_of") == 1), F.col("started_ms") - F.col("first"))
+    # The call that spent the quota is the first of its number.
+    ranked = rows.withColumn("nth_of", F.row_number().over(Window.partitionBy("service", "nth").orderBy("started_ms", "id")))
+    return ranked.join(F.broadcast(first)).select("service", F.col("id").cast("long").alias("event_id"), since.alias("waited_ms"), "nth", "status")

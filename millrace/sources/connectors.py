@@ -90,7 +90,7 @@ def call_service(
     """Adds `reply` and `status` (ok, empty, limited, quota, failed) of a call with each row's column.
 
     `gap` is the least time between the starts of two calls of a task, `at_once` how many of them are open at most; rows keep their
-    order, and a batch is answered before the next is read. One partition keeps one pace for a whole service (`plans.gate`
+    order, and a batch is answered before the next is read. One partition keeps one pace for a whole service (`streaming.gate`
     keeps it over partitions). After a spent quota no more calls are made. A client that is called at once must bear it.
     """
     fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)

@@ -9,8 +9,8 @@ import pytest
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 
-from millrace.sources import services
-from millrace.streaming import pages
+from millrace.sources import connectors, services
+from millrace.streaming import gate, pages
 
 register_pickle_by_value(sys.modules[__name__])  # workers don't see this module
 
@@ -163,3 +163,82 @@ def test_ranges_are_whole_calls():
         covered = [i for r in found for i in range(r.first, r.last)]
         assert covered == list(range(first, last)) and len(found) <= most
         assert all((r.first - first) % size == 0 for r in found)
+
+
+def answering(folder):
+    """Limits by the values: `limit` asks for a pause the first time that it is called, as a folder remembers."""
+
+    def client():
+        def call(value):
+            if value == "quota":
+                raise connectors.QuotaSpent
+            if value == "bad":
+                raise OSError
+            if value.startswith("limit") and not os.path.exists(f"{folder}/{value}"):
+                open(f"{folder}/{value}", "w").close()
+                raise connectors.RateLimited(30)
+            return value.upper() if value != "none" else None
+
+        return call
+
+    return client
+
+
+def answered(rows, gap, folder):
+    """The same in one loop for each service."""
+    out = []
+    for service in sorted({r[0] for r in rows}):
+        call, start_at, open_at, spent, calls = answering(folder)(), 0, 0, False, 0
+        for _, ident, value, at in sorted((r for r in rows if r[0] == service), key=lambda r: (r[3], str(r[1]))):
+            while True:
+                start = max(at, start_at, open_at)
+                reply, status = None, "quota"
+                if not spent:
+                    calls, start_at = calls + 1, start + gap
+                    try:
+                        reply = call(value)
+                        status = "ok" if reply else "empty"
+                    except connectors.QuotaSpent:
+                        spent = True
+                    except connectors.RateLimited as limit:
+                        open_at = start + int(limit.seconds * 1000)
+                        continue
+                    except OSError:
+                        status = "failed"
+                break
+            out.append((service, str(ident), value, calls, start, reply, status))
+    return sorted(map(repr, out))
+
+
+def test_a_gate_for_a_whole_service(spark, tmp_path):
+    """Requests of three batches in several files: one pace, a pause that a timer ends, a quota that stops for good."""
+    rng = random.Random(4)
+    begin = 1_700_000_000_000
+    rows = []
+    for i in range(60):
+        service = rng.choice(["a", "b", "c"])
+        value = rng.choice(["x", "y", "none", "bad", f"limit{i}" if service != "c" else "z"])
+        rows.append((service, i, "quota" if service == "b" and i > 40 else value, begin + i * 4000))
+    for name in ("in", "one", "two"):
+        (tmp_path / name).mkdir()
+    source = spark.readStream.schema("service string, id int, value string, at timestamp").option("maxFilesPerTrigger", 1)
+    for number in range(3):
+        part = rows[number * 20 : number * 20 + 20]
+        frame = spark.createDataFrame(part, "service string, id int, value string, ms bigint").selectExpr("service", "id", "value", "timestamp_millis(ms) AS at")
+        frame.coalesce(1).write.parquet(f"file://{tmp_path}/in/{number}")
+        if number == 2:  # the time that passes afterwards
+            late = spark.createDataFrame([("clock", 999, "x", begin + 10_000_000)], "service string, id int, value string, ms bigint")
+            late.selectExpr("service", "id", "value", "timestamp_millis(ms) AS at").coalesce(1).write.parquet(f"file://{tmp_path}/in/3")
+        with pages.keyed_state(spark):
+            found = gate.through_gate(source.parquet(f"file://{tmp_path}/in/*"), answering(str(tmp_path / "one")), 5000)
+            run = found.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/state")
+            run.trigger(availableNow=True).start().awaitTermination()
+        got = [r for r in spark.read.schema(gate.ANSWER).parquet(f"file://{tmp_path}/out").collect() if r["service"] != "clock"]
+        if number == 0:
+            assert len(got) < 20  # some wait
+    want = answered(rows, 5000, tmp_path / "two")
+    assert sorted(map(repr, map(tuple, got))) == want
+    starts = sorted(r["started_ms"] for r in got if r["service"] == "a")
+    assert all(b - a >= 5000 for a, b in zip(starts, starts[1:]))
+    assert {r["status"] for r in got if r["service"] == "b" and int(r["id"]) > 41} == {"quota"}
+    assert {r["status"] for r in got} == {"ok", "empty", "failed", "quota"}
