@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -334,17 +335,68 @@ HIDDEN, AROUND = ["script", "style", "noscript", "template"], ["nav", "header",
 
 
 def html_text(html: Column, without: list[str] = HIDDEN + AROUND) -> Column:
-    """The text of a page without comments, tags and the elements named; one that is never closed reaches to the end."""
-    text = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", " ")
-    for name in without:
-        text = F.regexp_replace(text, rf"(?is)<{name}(?:\s[^>]*)?>.*?(?:</{name}\s*>|\z)", " ")
-    text = decode_entities(F.regexp_replace(text, r"(?s)<[^>]*>", " "))
+    """The text of a page without comments, tags and the elements named, in one pass over it; one that is never closed reaches to the end."""
+    hidden = rf"<!--.*?(?:-->|\z)|<({'|'.join(without)})(?:\s[^>]*)?>.*?(?:</\1\s*>|\z)|<[^>]*>|[ \t\n\r\f\x{{A0}}]"
+    text = decode_entities(F.regexp_replace(html, rf"(?is)(?:{hidden})+", " "))
     return F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x{A0}]+", " "))
 
 
+#: Elements that begin and end a block of text.
+BLOCKS = [
+    "address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3",
+    "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "th", "thead", "tr", "ul",
+]
+#: What a block of text costs, so that short ones between others count against a run, and how often a character of a link counts against its block.
+COST, LINKED = 25, 3
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _best_run(scores: Column) -> Column:
+    """From and to (inclusive) of the run of scores with the largest sum, the first of equal ones; to is -1 where no score is above 0."""
+    zero, none = F.lit(0).cast("long"), F.lit(-1).cast("long")
+    start = F.struct(zero.alias("at"), zero.alias("sum"), zero.alias("first"), zero.alias("best"), zero.alias("from"), none.alias("to"))
+
+    def step(x: Column, score: Column) -> Column:
+        anew = x["sum"] <= 0
+        total = F.when(anew, score).otherwise(x["sum"] + score)
+        first = F.when(anew, x["at"]).otherwise(x["first"])
+        better = total > x["best"]
+        kept = lambda new, old: F.when(better, new).otherwise(old)
+        return F.struct((x["at"] + 1).alias("at"), total.alias("sum"), first.alias("first"), kept(total, x["best"]).alias("best"), kept(first, x["from"]).alias("from"), kept(x["at"], x["to"]).alias("to"))
+
+    return F.aggregate(scores, start, step)
+
+
+def dense_text(html: Column) -> Column:
+    """The text of the densest run of blocks of a page: each counts its characters, less COST and less LINKED times its links' characters.
+
+    Comments, hidden elements and those around the main text are left out first; a page without such a run gives
+    an empty text. The page is read twice, whatever its blocks: once for what is left out, once for the blocks.
+    """
+    left_out = "|".join([*HIDDEN, *AROUND, "head"])
+    body = F.regexp_replace(html, rf"(?is)<!--.*?(?:-->|\z)|<({left_out})(?:\s[^>]*)?>.*?(?:</\1\s*>|\z)", " ")
+    pieces = F.split(F.regexp_replace(body, rf"(?i)</?(?:{'|'.join(BLOCKS)})(?:\s[^>]*)?/?>", "\x01"), "\x01")
+    bare = lambda x: F.trim(F.regexp_replace(x, r"(?:<[^>]*>|[ \t\n\r\f\x{A0}])+", " "))
+    linked = lambda x: F.length(bare(F.array_join(F.regexp_extract_all(x, F.lit(r"(?is)<a(?:\s[^>]*)?>(.*?)(?:</a\s*>|\z)"), F.lit(1)), " ")))
+    links = lambda x: F.when(F.rlike(x, F.lit(r"(?i)<a[\s>]")), linked(x)).otherwise(0)
+    blocks = F.filter(F.transform(pieces, lambda x: F.struct(bare(x).alias("text"), links(x).alias("links"))), lambda b: b["text"] != "")
+
+    def best(known: Column) -> Column:
+        scores = F.transform(known, lambda b: (F.length(b["text"]) - LINKED * b["links"] - COST).cast("long"))
+        run = lambda r: F.slice(known, (r["from"] + 1).cast("int"), (r["to"] - r["from"] + 1).cast("int"))
+        return F.array_join(F.transform(_let(_best_run(scores), run), lambda b: b["text"]), " ")
+
+    return F.trim(decode_entities(_let(blocks, best)))
+
+
 def main_text(html: Column, least: int = 100) -> Column:
-    """The text of the page's article where it has `least` characters, else that of the page without what
-    stands around the main text, else all its text; null where none of them is so long."""
+    """The text of the page's article where it has `least` characters, else the densest run of its blocks, else
+    all its text; null where none of them is so long."""
     article = F.regexp_extract(html, r"(?is)<(article|main)(?:\s[^>]*)?>(.*?)(?:</\1\s*>|\z)", 2)
-    tries = [html_text(article), html_text(html), html_text(html, HIDDEN)]
-    return F.coalesce(*[F.when(F.length(text) >= least, text) for text in tries])
+    tries = [html_text(article), dense_text(html), html_text(html, HIDDEN)]
+    # Each try is made only where the ones before fail, and once.
+    return F.coalesce(*[F.get(F.filter(F.array(text), lambda t: F.length(t) >= least), F.lit(0)) for text in tries])

@@ -196,8 +196,43 @@ def _without(names: list[str]) -> str:
     return html
 
 
+def _dense_sql() -> str:
+    r"""Blocks as rows, the best run by sums from the start: the largest difference of a sum and the least before it."""
+    left_out = "'(?is)<!--.*?-->'"
+    html = f"regexp_replace(html, {left_out}, ' ', 'g')"
+    for name in [*T.HIDDEN, *T.AROUND, "head"]:
+        html = f"regexp_replace({html}, '(?is)<{name}(?:\\s[^>]*)?>.*?</{name}\\s*>', ' ', 'g')"
+    blank = "(?:<[^>]*>|[ \\t\\n\\r\\f\\x{A0}])+"
+    bare = lambda x: f"trim(regexp_replace({x}, '{blank}', ' ', 'g'))"
+    text = "string_agg(text, ' ' ORDER BY i)"
+    for entity, char in T.ENTITIES.items():
+        text = f"replace({text}, '{entity}', chr({ord(char)}))"
+    return f"""
+WITH pieces AS (
+    SELECT page_id, unnest(x) AS piece, unnest(range(1, len(x) + 1)) AS p
+    FROM (SELECT page_id, string_split_regex({html}, '(?i)</?(?:{"|".join(T.BLOCKS)})(?:\\s[^>]*)?/?>') AS x FROM pages)
+), blocks AS (
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY p) AS i, text, length(text) - {T.LINKED} * links - {T.COST} AS score FROM (
+        SELECT page_id, p, {bare("piece")} AS text, length({bare("array_to_string(regexp_extract_all(piece, '(?is)<a(?:\\s[^>]*)?>(.*?)</a\\s*>', 1), ' ')")}) AS links FROM pieces) WHERE text <> ''
+), sums AS (
+    SELECT *, sum(score) OVER (PARTITION BY page_id ORDER BY i) AS total, coalesce(sum(score) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM blocks
+), least AS (
+    SELECT *, min({{'v': before, 'i': -i}}) OVER (PARTITION BY page_id ORDER BY i) AS low FROM sums
+), best AS (
+    SELECT page_id, max({{'v': total - low.v, 'i': -i}}) AS b FROM least GROUP BY page_id
+), runs AS (
+    SELECT l.page_id, -low.i AS a, l.i AS z FROM least l JOIN best ON best.page_id = l.page_id AND l.i = -b.i AND b.v > 0
+)
+SELECT p.page_id, coalesce(text, '') AS text FROM pages p LEFT JOIN (SELECT k.page_id, trim({text}) AS text FROM blocks k JOIN runs r ON r.page_id = k.page_id AND i BETWEEN a AND z GROUP BY k.page_id) USING (page_id)"""
+
+
+@query(_dense_sql())
+def dense_text(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", T.dense_text(F.col("html")).alias("text"))
+
+
 @query(f"""SELECT page_id, text FROM (SELECT page_id, CASE WHEN length(a) >= 100 THEN a WHEN length(b) >= 100 THEN b WHEN length(c) >= 100 THEN c END AS text FROM (SELECT page_id,
- {_text_nodes("regexp_extract(html, '(?is)<article>(.*?)</article>', 1)")} AS a, {_text_nodes(_without(["script", "style", "nav", "footer"]))} AS b, {_text_nodes(_without(["script", "style"]))} AS c FROM pages)) WHERE text IS NOT NULL""")
+ {_text_nodes("regexp_extract(html, '(?is)<article>(.*?)</article>', 1)")} AS a, d.text AS b, {_text_nodes(_without(["script", "style"]))} AS c FROM pages JOIN ({_dense_sql()}) d USING (page_id))) WHERE text IS NOT NULL""")
 def html_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.main_text(F.col("html")).alias("text")).where("text IS NOT NULL")
 

@@ -200,6 +200,52 @@ def test_main_text_equals_a_parser(spark):
         assert len(text) < 100 or r["t"] == text
 
 
+def dense(page):
+    """The densest run of blocks in plain Python: all runs are compared."""
+    if page is None:
+        return None
+    left_out = "|".join([*T.HIDDEN, *T.AROUND, "head"])
+    body = re.sub(rf"(?is)<!--.*?(?:-->|\Z)|<({left_out})(?:\s[^>]*)?>.*?(?:</\1\s*>|\Z)", " ", page)
+    tidy = lambda x: re.sub(r"(?:<[^>]*>|[ \t\n\r\f\xa0])+", " ", x).strip(" ")
+    blocks = []
+    for piece in re.split(rf"(?i)</?(?:{'|'.join(T.BLOCKS)})(?:\s[^>]*)?/?>", body):
+        links = re.findall(r"(?is)<a(?:\s[^>]*)?>(.*?)(?:</a\s*>|\Z)", piece)
+        if tidy(piece):
+            blocks.append((tidy(piece), len(tidy(piece)) - T.LINKED * len(tidy(" ".join(links))) - T.COST))
+    runs = [(sum(b[1] for b in blocks[i:j]), -i, i, j) for i in range(len(blocks)) for j in range(i + 1, len(blocks) + 1)]
+    # Of equal sums the run that ends first; from there the one that starts last.
+    best = min(((-s, j, -i) for s, _, i, j in runs if s > 0), default=None)
+    text = " ".join(b[0] for b in blocks[-best[2] : best[1]]) if best else ""
+    import html
+
+    return html.unescape(text)
+
+
+def test_dense_text_equals_all_runs(spark):
+    rng = random.Random(9)
+    sentence = lambda n: " ".join(rng.choice(["word", "and", "été", "x", "longer", "&amp;", "<b>bold</b>", "<i>it"]) for _ in range(n))
+    pages = [None, "", "plain text without any tag that is long enough to be kept as it is", "<p>short</p>", "<p>" + "a" * 40, "<div><a href='x'>" + "link " * 20 + "</a></div><p>" + "text " * 20]
+    for _ in range(120):
+        out = [rng.choice(["<html><head><title>t</title></head><body>", "", "<head><title>unclosed"])] if rng.random() < 0.3 else []
+        for _ in range(rng.randint(0, 12)):
+            tag = rng.choice(["p", "div", "li", "H2", "td", "span", "nav", "footer", "script"])
+            inner = sentence(rng.choice([1, 3, 10, 30]))
+            if rng.random() < 0.4:
+                inner += f"<a href='/{rng.randint(0, 9)}'>{sentence(rng.choice([1, 4, 12]))}" + rng.choice(["</a>", "</A >", ""])
+            out.append(f"<{tag} class='c'>{inner}" + rng.choice([f"</{tag}>", f"</{tag} >", "", "<!-- x -->", "<br/>"]))
+        pages.append("\n".join(out))
+    got = values(spark, [(p,) for p in pages], "x string", "x", T.dense_text(F.col("x")))
+    assert [g[1] for g in got] == [dense(p) for p in pages]
+
+
+def test_main_text_takes_the_dense_run(spark):
+    menu = "".join(f"<li><a href='/{i}'>Menu entry number {i}</a></li>" for i in range(20))
+    text = "<h1>Title</h1>" + "<p>A paragraph of the main text, long enough to count.</p>" * 4
+    page = f"<ul>{menu}</ul><div>Ad</div>{text}<div>Share</div><ul>{menu}</ul>"
+    (only,) = values(spark, [(page,)], "x string", T.main_text(F.col("x")))[0]
+    assert only == " ".join(["A paragraph of the main text, long enough to count."] * 4)
+
+
 def test_fuzzy_dedupe_of_a_large_block(spark):
     """One block of thousands of names equals one fold; nothing depends on its size."""
     rng = random.Random(12)
