@@ -1,8 +1,8 @@
 """A Merkle manifest of a dataset: what it holds, one digest for all, and short proofs for each row.
 
 Rows are leaves of a 16-ary tree for each source, the sources' roots are leaves of one more tree. A block of
-65,536 neighbouring leaves is four levels of a tree and is built by one task in memory; the blocks' tops
-are the leaves of the next round, so every table after the first is 65,536 times smaller and no
+4,096 neighbouring leaves is three levels of a tree and is built by one task in memory; the blocks' tops
+are the leaves of the next round, so every table after the first is 4,096 times smaller and no
 source, however large, meets in one task.
 
 A parent keeps a copy of the hash's state before each of its children. To fold a changed leaf, the state before its
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import positions, written
 
 #: Children of a node, as a power of two, and levels that one task builds of a block.
-BITS, LEVELS = 4, 4
+BITS, LEVELS = 4, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
