@@ -4,15 +4,16 @@ The lines, the paragraphs and the whole of a text are units, and so are windows
 its words, so that a notice is found wherever lines break and whatever stands around it. A template can only
 match a unit whose number of bigrams lies within bounds that follow from the
 threshold, and only if the unit holds one of a few anchor words (also derived:
-a match shares so many bigrams that some must hold one). Windows have a template's least,
-own and most bigrams, and are laid only where a text as a whole shares enough bigrams with it. Everything stays in the
-document's row, so nothing is shuffled.
+a match shares so many bigrams that some must hold one). Windows are all runs of words that a template could match: each grows bigram by
+bigram with running counts, so the best one is found. They are laid only where a text as a whole shares enough bigrams
+with a template. Everything stays in the document's row, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,11 +62,9 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def window_sizes(text: str, least: float = DICE) -> list[int]:
-    """Bigrams, repeated ones included, of the windows for a template: a match's fewest, the template's own, a match's most."""
-    size = len(re.sub(r"[\W_]+", " ", text.lower()).split()) - 1
-    low, high = bounds(size, least)
-    return [low, size, high]
+def longest_window(text: str, least: float = DICE) -> int:
+    """Bigrams, repeated ones included, of the longest window for a template: as many as a match has at most."""
+    return bounds(len(re.sub(r"[\W_]+", " ", text.lower()).split()) - 1, least)[1]
 
 
 def bounds(size: int, least: float = DICE) -> tuple[int, int]:
@@ -113,20 +112,51 @@ def _match(unit: Column, template: Column) -> Column:
     return F.struct(dice.alias("minus_dice"), (-size).alias("minus_size"), template.license.alias("license"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of an array that is made once: an element of an array is, whatever names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _met_before(grams: Column, span: Column) -> Column:
+    """For each bigram, numbered from 1, the last place before it of an equal one less than `span` away; 0 without one."""
+
+    def last(gram: Column, at: Column) -> Column:
+        back = F.reverse(F.slice(grams, F.greatest(at + 2 - span, F.lit(1)), F.least(at, span - 1)))
+        return _once(F.array_position(back, gram).cast("int"), lambda p: F.when(p > 0, at + 1 - p).otherwise(0))
+
+    return F.transform(grams, last)
+
+
 def window_matches(grams: Column, templates: Column, least: float = DICE) -> Column:
-    """MATCH: the best template of every window that has one.
+    """MATCH: of every bigram that begins a match of a window the best template.
 
-    Windows begin at bigrams of templates of which the text holds as many bigrams as a match needs, and have their
-    window_sizes.
+    A window begins with a bigram of its template, as without another one it is no worse, and has at most its template's
+    longest_window. Templates of which the text holds fewer bigrams than a match needs are passed over.
     """
     near = F.filter(templates, lambda t: F.size(F.array_intersect(grams, t.grams)) >= t.low)
+    whole = F.size(grams)
 
     def found(near: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: F.exists(near, lambda t: F.array_contains(t.grams, F.get(grams, i - 1))))
-        scores = lambda i: F.transform(near, lambda t: F.array_min(F.transform(t.sizes, lambda n: _match(F.slice(grams, i, n), t))))
-        return F.array_distinct(F.filter(F.transform(starts, lambda i: F.array_min(scores(i))), lambda m: m.minus_dice <= -least))
+        span = F.array_max(F.transform(near, lambda t: t.span))
+        marked = F.transform(near, lambda t: F.struct(t.license.alias("license"), t.span.alias("span"), F.size(t.grams).alias("size"), F.transform(grams, lambda g: F.array_contains(t.grams, g)).alias("own")))
+
+        def scored(before: Column, marked: Column) -> Column:
+            def best(t: Column, i: Column) -> Column:
+                def grow(x: Column, k: Column) -> Column:
+                    new = F.get(before, k - 1) < i
+                    distinct = x["distinct"] + F.when(new, 1).otherwise(0)
+                    shared = x["shared"] + F.when(new & F.get(t.own, k - 1), 1).otherwise(0)
+                    return F.struct(distinct.alias("distinct"), shared.alias("shared"), F.least(x["best"], shared * -2 / (distinct + t.size)).alias("best"))
+
+                none = F.struct(F.lit(0).alias("distinct"), F.lit(0).alias("shared"), F.lit(0.0).alias("best"))
+                dice = F.aggregate(F.sequence(i, F.least(whole, i + t.span - 1)), none, grow, lambda x: x["best"])
+                return F.when(F.get(t.own, i - 1), F.struct(dice.alias("minus_dice"), (-t.size).alias("minus_size"), t.license.alias("license")))
+
+            of = F.transform(F.sequence(F.lit(1), whole), lambda i: F.array_min(F.transform(marked, lambda t: best(t, i))))
+            return F.array_distinct(F.filter(of, lambda m: F.coalesce(m.minus_dice <= -least, F.lit(False))))
+
+        return _once(_met_before(grams, span), lambda before: _once(marked, lambda m: scored(before, m)))
 
-    # An element of an array is made once, whatever names it; an expression would be made for each position.
     return F.flatten(F.transform(F.filter(F.array(near), lambda n: F.size(n) > 0), found))
 
 
@@ -142,7 +172,7 @@ def matches(text: Column, templates: list[tuple[str, str]] = TEMPLATES, least: f
         rows.append(
             F.struct(
                 F.lit(name).alias("license"), F.array(*map(F.lit, grams)).alias("grams"),
-                F.lit(low).alias("low"), F.lit(high).alias("high"), F.array(*map(F.lit, window_sizes(template, least))).alias("sizes"),
+                F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(longest_window(template, least)).alias("span"),
             )
         )
     listed = F.array(*rows)
@@ -182,11 +212,11 @@ def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES, least: float = DICE
     for name, template in templates:
         grams = template_bigrams(template)
         low, high = bounds(len(grams), least)
-        rows.append(f"({quoted(name)}, [{', '.join(map(quoted, grams))}], {low}, {high}, {window_sizes(template, least)})")
+        rows.append(f"({quoted(name)}, [{', '.join(map(quoted, grams))}], {low}, {high}, {longest_window(template, least)})")
     normal = lambda s: rf"string_split(trim(regexp_replace(lower({s}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
     dice = lambda g: f"2.0 * len(list_intersect({g}, grams)) / (len(list_distinct({g})) + len(grams))"
     return rf"""
-WITH templates(license, grams, low, high, sizes) AS (VALUES {", ".join(rows)}),
+WITH templates(license, grams, low, high, span) AS (VALUES {", ".join(rows)}),
 docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 units AS (
     SELECT doc_id, unnest(list_distinct(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '\n\s*\n'), [t]))) AS u
@@ -201,16 +231,25 @@ units AS (
     SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS all_grams FROM (SELECT doc_id, {normal("t")} AS w FROM docs)
 ), near AS (
     SELECT texts.*, templates.* FROM texts JOIN templates ON len(list_intersect(all_grams, grams)) >= low
+), placed AS (
+    SELECT doc_id, gram, k, coalesce(lag(k) OVER (PARTITION BY doc_id, gram ORDER BY k), 0) AS before
+    FROM (SELECT doc_id, unnest(all_grams) AS gram, unnest(range(1, len(all_grams) + 1)) AS k FROM (SELECT DISTINCT doc_id, all_grams FROM near))
+), own_grams AS (
+    SELECT license, -len(grams) AS size, span, unnest(grams) AS gram FROM templates
 ), starts AS (
-    SELECT DISTINCT doc_id, i FROM (SELECT doc_id, grams, unnest(all_grams) AS gram, unnest(range(1, len(all_grams) + 1)) AS i FROM near)
-    WHERE list_contains(grams, gram)
+    SELECT doc_id, k AS i, near.license, -len(near.grams) AS size, near.span
+    FROM near JOIN placed USING (doc_id) JOIN own_grams o ON o.gram = placed.gram AND o.license = near.license AND o.size = -len(near.grams)
+), grown AS (
+    SELECT s.doc_id, s.i, s.license, s.size, sum((p.before < s.i)::INT) OVER w AS n, sum((p.before < s.i AND o.gram IS NOT NULL)::INT) OVER w AS shared
+    FROM starts s JOIN placed p ON p.doc_id = s.doc_id AND p.k BETWEEN s.i AND s.i + s.span - 1
+    LEFT JOIN own_grams o ON o.gram = p.gram AND o.license = s.license AND o.size = s.size
+    WINDOW w AS (PARTITION BY s.doc_id, s.license, s.size, s.i ORDER BY p.k)
 ), windows AS (
-    SELECT doc_id, i, license, grams, all_grams[i:i + size - 1] AS g
-    FROM (SELECT *, unnest(sizes) AS size FROM near) JOIN starts USING (doc_id)
+    SELECT doc_id, i, license, size, max(2.0 * shared / (n - size)) AS dice FROM grown GROUP BY ALL
 ), best AS (
     SELECT doc_id, arg_min(license, (-dice, size, license)) AS license, max(dice) AS dice, arg_min(size, (-dice, size, license)) AS size FROM (
         SELECT doc_id, g, 0 AS i, license, dice, size FROM scored
-        UNION ALL SELECT doc_id, [], i, license, {dice("g")}, -len(grams) FROM windows
+        UNION ALL SELECT doc_id, [], i, license, dice, size FROM windows
     ) GROUP BY doc_id, g, i
 )
 SELECT doc_id, arg_min(license, (-dice, size, license)) AS license,
