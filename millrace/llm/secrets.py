@@ -9,18 +9,7 @@ of letters alone must also change between small and capital letters as no name d
 
 from __future__ import annotations
 
-import builtins
-import http
-import json
-import keyword
-import logging
-import os
 import re
-import socket
-import string
-import sys
-import threading
-import urllib.parse
 
 import pyarrow as pa
 import zstandard
@@ -40,6 +29,30 @@ SENSITIVE = [
     "api", "auth", "bearer", "credential", "key", "passphrase", "passwd", "password", "private", "secret", "signature",
     "token",
 ]
+CODE_NAMES = """
+AbstractFactory AccessDenied ArgumentParser AssertionError AttributeError Authentication Authorization BadRequest BaseException
+BlockingIOError BrokenPipeError BufferedReader ByteArrayOutputStream CertificateError ConfigParser ConnectionError ConnectionRefusedError
+ConnectionResetError ContextManager DataFrame DateTimeFormatter DefaultHandler Deprecated DeprecationWarning EnvironmentError Exception
+FileHandler FileNotFoundError Formatter Forbidden GatewayTimeout HTTPConnection HTTPSHandler HashMap HttpServletRequest IllegalArgumentException
+ImportError IndexError InputStream Interceptor InternalServerError InterruptedError Iterator JSONDecodeError JSONEncoder KeyError
+KeyboardInterrupt LinkedHashMap Listener LoggerAdapter LookupError ManagerFactory MemoryError Middleware ModuleNotFoundError NameError
+NotFoundError NotImplementedError NullPointerException ObjectMapper OverflowError PASSWORD_HASHERS PermissionError PreparedStatement
+ProcessLookupError Properties Provider RecursionError ReferenceError RepositoryImpl RequestHandler ResponseEntity Runnable RuntimeException
+SECRET_KEY SecurityConfiguration SecurityContext Serializable ServiceUnavailable SessionFactory SimpleNamespace StackTraceElement
+StringBuilder SubprocessError SyntaxError SystemExit TemporaryDirectory ThreadPoolExecutor TimeoutError TokenProvider TooManyRequests
+TransactionManager TypeError UnicodeDecodeError Unauthorized UserDetailsService UserGroupInformation ValueError WebApplicationContext
+__init__ abstractmethod acquire addEventListener appendChild application arguments asynchronous attribute authenticate backward_compatible
+basename callback certificate checksum classmethod collections component configuration connection constructor container controller
+createElement credentials dataclass datetime decorator default_factory delete dependencies description deserialize dictionary directory
+document.getElementById encode endpoint environment_variables exception expired expression extension filename finally function generator
+getAttribute getLogger getUserName github.com handler hashlib hostname identifier implements import include inheritance initialize
+instance interface interval_seconds javascript keyword_arguments lambda library localhost manager maximum message metadata middleware
+module namespace notification org/apache/hadoop/security package parameter permission placeholder postgresql production protected
+provider public static void readonly reference refresh_interval_seconds repository requests.get response return reset_token schema
+serialize service session setTimeout setattr signature src/main/java/com/example src/test/java staticmethod subprocess synchronized
+temporary threading timestamp transaction translation undefined update urllib.parse username validator variable version virtual
+websocket window.location v1beta1 vnd.api+json 2024-01-01T00:00:00Z 2024_01_01 -----BEGIN PUBLIC KEY-----
+"""
 IDENTIFIERS = """
 access_key access_token accessToken api_key apikey api_secret application/json application/x-www-form-urlencoded
 auth_token authorization Authorization: Bearer base64 client_id client_secret config.get("password") connection_string
@@ -68,19 +81,11 @@ SPANS = "array<struct<kind:string,start:int,end:int,novelty:double>>"
 _packer: zstandard.ZstdCompressor | None = None
 
 
-def code_names() -> list[str]:
-    """Identifiers of public code: names of the language's library, of its exceptions and types, of headers and states of the web."""
-    names = {*keyword.kwlist, *dir(builtins), *sys.stdlib_module_names, *(s.name for s in http.HTTPStatus), *(s.phrase for s in http.HTTPStatus)}
-    for module in (os, re, http, json, logging, socket, string, threading, urllib.parse):
-        names |= {n for n in dir(module) if len(n) > 5}
-    return sorted(n for n in names if not n.startswith("__"))
-
-
 def _packed(text: str) -> int:
     global _packer
     if _packer is None:
         # What lies last is nearest for the compressor.
-        known = "\n".join(code_names()) + IDENTIFIERS
+        known = CODE_NAMES + IDENTIFIERS
         words = zstandard.ZstdCompressionDict(known.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         words.precompute_compress(level=9)
         _packer = zstandard.ZstdCompressor(

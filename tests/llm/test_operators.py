@@ -407,6 +407,41 @@ def test_secret_novelty_on_planted_strings():
     assert novel("".join(rng.choice(alphabets["b64"]) for _ in range(40)) + " stands where nothing says what it is") == 0
 
 
+def test_novelty_is_the_margin_by_brute_force():
+    """Every long run of token characters near a sensitive word, its margin by compressing anew with the same dictionary."""
+    import zstandard
+
+    rng = random.Random(31)
+    known = (secrets.CODE_NAMES + secrets.IDENTIFIERS).encode()
+
+    def size(text):
+        words = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packer = zstandard.ZstdCompressor(level=9, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False)
+        return len(packer.compress(text.encode()))
+
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    names = ["getUserAuthenticationToken2", "application/vnd.api+json", "refresh_interval_seconds_12", "Donaudampfschifffahrtsgesellschaft"]
+    seen = 0
+    for k in range(60):
+        token = "".join(rng.choice(alphabet) for _ in range(rng.randint(16, 44))) if k % 2 else rng.choice(names)
+        text = f"some lines of text {'and more ' * rng.randrange(90)} bearer {token} end {'of it ' * rng.randrange(90)}"
+        at = text.index(token)
+        before, after = text[max(0, at - secrets.AROUND) : at], text[at + len(token) : at + len(token) + secrets.AROUND]
+        margin = (size(before + token + after) - size(before + after)) / len(token)
+        assert secrets.novelty(text, at, at + len(token)) == margin
+        one_case = not (any(c.islower() for c in token) and any(c.isupper() for c in token))
+        wanted = margin >= (secrets.NOVELTY_ONE_CASE if one_case else secrets.NOVELTY) and secrets._odd(token)
+        assert [(s["start"], s["end"]) for s in secrets.spans_of(text) if s["kind"] == "novel"] == ([(at, at + len(token))] if wanted else []), (text, margin)
+        seen += wanted
+    assert 20 < seen < 40
+
+
+def test_the_dictionary_is_fixed():
+    """The same names whatever runs it: nothing of the interpreter is read."""
+    assert not {"sys", "os", "builtins", "keyword"} & set(vars(secrets))
+    assert all(secrets.SENSITIVE) and "SECRET_KEY" in secrets.CODE_NAMES
+
+
 def test_secrets_of_odd_tables(spark):
     rows = [(1, "x " * 200_000 + "token=abcdef12"), (1, "x " * 200_000 + "token=abcdef12"), (None, "secret=abcdefg"), (2, "t" * 300_000)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("found", F.lit(1)).withColumn("spans", F.lit("s"))
