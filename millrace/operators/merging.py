@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.files import table_or_empty
+
 
 def last_write(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row with the highest `order` of each key; partial aggregation, so hot keys are no burden."""
@@ -114,3 +118,54 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataF
     change = F.when(F.col("h_before").isNull(), "added").when(F.col("h_after").isNull(), "removed").otherwise("changed")
     joined = a.join(b, keys, "full_outer").where(~F.col("h_before").eqNullSafe(F.col("h_after")))
     return joined.select(*keys, change.alias("change"))
+
+
+def field_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, change, fields): rows added, removed or changed between two snapshots, each with its fields that differ as (field, old, new) in text.
+
+    Added rows have all their fields as new, removed ones as old; fields that are null on both sides are left out.
+    """
+    fields = [c for c in before.columns if c not in keys]
+    a = before.select(*keys, F.struct(*fields, F.lit(True).alias("_there")).alias("_a"))
+    b = after.select(*keys, F.struct(*fields, F.lit(True).alias("_there")).alias("_b"))
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").otherwise("changed")
+    old, new = (lambda c: F.col("_a").getField(c).cast("string")), (lambda c: F.col("_b").getField(c).cast("string"))
+    each = [F.when(~old(c).eqNullSafe(new(c)), F.struct(F.lit(c).alias("field"), old(c).alias("old"), new(c).alias("new"))) for c in fields]
+    joined = a.join(b, keys, "full_outer").select(*keys, change.alias("change"), F.array_compact(F.array(*each)).alias("fields"))
+    return joined.where((F.size("fields") > 0) | (F.col("change") != "changed"))
+
+
+def content(rows: DataFrame) -> str:
+    """A name for what a table holds, whatever the order of its rows and its partitions; repeated rows count."""
+    columns = sorted(rows.columns)
+    typed = [F.lit(f"{c}:{rows.schema[c].dataType.simpleString()}") for c in columns]
+    sums = [F.sum(F.xxhash64(F.lit(seed), *typed, *[x for c in columns for x in (F.col(c), F.col(c).isNull())]).cast("decimal(38,0)")) for seed in (1, 2)]
+    n, x, y = rows.agg(F.count("*"), *sums).first()
+    return hashlib.sha256(f"{'|'.join(columns)}|{n}|{x}|{y}".encode()).hexdigest()[:32]
+
+
+def snapshot(rows: DataFrame, path: str) -> tuple[str, bool]:
+    """The name of a snapshot of `rows` under `path`, and whether it was written: what is already the newest is not written again."""
+    spark, name = rows.sparkSession, content(rows)
+    taken = snapshots(spark, path)
+    if taken and taken[-1][1] == name:
+        return name, False
+    folder = f"{path}/content={name}"
+    if all(name != n for _, n in taken):
+        rows.write.mode("overwrite").parquet(folder)
+    # The entry makes the snapshot valid, so it comes last.
+    spark.createDataFrame([(len(taken) + 1, name)], "number int, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/log/{len(taken) + 1}")
+    return name, True
+
+
+def snapshots(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, name) of all snapshots under `path`, the oldest first."""
+    found = table_or_empty(spark, f"{path}/log", "number int, name string", "*")
+    return [tuple(r) for r in found.orderBy("number").collect()]  # one row for each snapshot
+
+
+def between(spark: SparkSession, path: str, keys: list[str], old: int, new: int) -> DataFrame:
+    """The field_changes from one snapshot, by its number, to another."""
+    names = dict(snapshots(spark, path))
+    read = lambda number: spark.read.parquet(f"{path}/content={names[number]}")
+    return field_changes(read(old), read(new), keys)

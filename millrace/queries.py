@@ -450,6 +450,25 @@ def snapshot_diff(t: Tables) -> DataFrame:
     return merging.snapshot_diff(*_halves(t), ["o_orderkey"])
 
 
+@query("""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS change,
+    array_to_string(list_filter([CASE WHEN a.o_custkey IS DISTINCT FROM b.o_custkey THEN 'o_custkey:' || coalesce(a.o_custkey::VARCHAR, '-') || '>' || coalesce(b.o_custkey::VARCHAR, '-') END,
+        CASE WHEN a.o_orderpriority IS DISTINCT FROM b.p THEN 'priority:' || coalesce(a.o_orderpriority, '-') || '>' || coalesce(b.p, '-') END,
+        CASE WHEN a.o_orderstatus IS DISTINCT FROM b.s THEN 'status:' || coalesce(a.o_orderstatus, '-') || '>' || coalesce(b.s, '-') END], lambda x: x IS NOT NULL), ' ') AS fields
+FROM (SELECT * FROM orders WHERE o_orderstatus <> 'O') a FULL JOIN (SELECT *, CASE WHEN o_custkey % 2 = 0 THEN o_orderpriority END AS p, CASE WHEN o_custkey % 3 = 0 THEN o_orderstatus ELSE 'N' END AS s FROM orders WHERE o_orderstatus <> 'F') b ON a.o_orderkey = b.o_orderkey
+WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderpriority IS DISTINCT FROM b.p OR a.o_orderstatus IS DISTINCT FROM b.s""")
+def field_changes(t: Tables) -> DataFrame:
+    """Which fields of an order changed, from what to what; of new orders some lose their priority and some get another status."""
+    rows = t.orders.select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+    new = rows.where("status <> 'F'").withColumns({"priority": F.when(F.col("o_custkey") % 2 == 0, F.col("priority")), "status": F.when(F.col("o_custkey") % 3 == 0, F.col("status")).otherwise("N")})
+    place = shared_folder(t.spark)
+    # As two snapshots; the second is taken again and not written.
+    for state in (rows.where("status <> 'O'"), new, new):
+        merging.snapshot(state, place)
+    found = merging.between(t.spark, place, ["o_orderkey"], 1, 2)
+    shown = F.transform("fields", lambda x: F.concat(x["field"], F.lit(":"), F.coalesce(x["old"], F.lit("-")), F.lit(">"), F.coalesce(x["new"], F.lit("-"))))
+    return found.select("o_orderkey", "change", F.array_join(shown, " ").alias("fields"))
+
+
 _PARTS = ["p_partkey", "p_name", "p_brand", "p_size", "p_type"]
 
 

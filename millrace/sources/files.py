@@ -97,10 +97,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
-def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored table, or no rows where none has been written yet."""
+def table_or_empty(spark: SparkSession, path: str, schema: str, parts: str = "") -> DataFrame:
+    """A stored table, or no rows where none has been written yet; `parts` is the pattern of its folders if it has several."""
     if _exists(spark, path):
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(f"{path}/{parts}" if parts else path)
     return spark.createDataFrame([], schema)
 
 
@@ -117,6 +117,20 @@ def json_documents(spark: SparkSession, glob: str, schema: str = schemas.CACHE_P
     return rows.withColumn("url_hash", F.coalesce("url_hash", "_stem")).drop("_stem")
 
 
-def legacy_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A table of a relational database by JDBC."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def legacy_table(
+    spark: SparkSession, url: str, table: str, by: str | None = None, partitions: int = 8, parts: list[str] | None = None, **options: str
+) -> DataFrame:
+    """A table of a relational database by JDBC.
+
+    With `by`, a column of numbers, dates or times, ranges of it are read by `partitions` tasks, their bounds being
+    asked of the database; with `parts`, each condition is one task's. Filters and columns are left to the database.
+    """
+    reader = lambda **more: spark.read.format("jdbc").options(url=url, **options, **more)
+    if parts:
+        return spark.read.jdbc(url, table, predicates=parts, properties=options)
+    ranges = {}
+    if by:
+        low, high = reader(query=f"SELECT MIN({by}) AS low, MAX({by}) AS high FROM {table}").load().first()
+        if low is not None:
+            ranges = {"partitionColumn": by, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(partitions)}
+    return reader(dbtable=table, **ranges).load()

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from millrace import schemas
 from millrace.functions import text as T
 
+QUEUE_ROW = "op string, url string, status string, at bigint, error string, seq bigint"
+
 
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schemas.LOG_LINES).json(path)
@@ -77,6 +81,46 @@ def queue_stream(events: DataFrame, path: str, most: int = 30):
     return events.writeStream.foreachBatch(merge)
 
 
+class Queue(StatefulProcessor):
+    """A queue's live items and the newest of those that are done; the state is as large as these are."""
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.live = handle.getMapState("live", "id string", QUEUE_ROW)
+        self.done = handle.getMapState("done", "id string", QUEUE_ROW)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for r in sorted((r for part in rows for r in part.itertuples(index=False)), key=lambda r: (r.at, r.seq)):
+            ident, row = (r.id,), (r.op, r.url, r.status, r.at, r.error, r.seq)
+            before = self.live.getValue(ident) or self.done.getValue(ident)
+            if before and (before[3], before[5]) > (r.at, r.seq):
+                continue  # an older change that comes late
+            here, there = (self.done, self.live) if r.status in ("done", "error") else (self.live, self.done)
+            here.updateValue(ident, row)
+            if there.containsKey(ident):
+                there.removeKey(ident)
+        # Of those done the newest stay, of equal times the first by id.
+        ended = sorted(((k[0], v) for k, v in self.done.iterator()), key=lambda x: (-x[1][3], x[0]))
+        for ident, _ in ended[self.most :]:
+            self.done.removeKey((ident,))
+        held = [(k[0], v) for k, v in self.live.iterator()] + ended[: self.most]
+        yield pd.DataFrame([(key[0], ident, *v) for ident, v in held], columns=["queue", "id", "op", "url", "status", "at", "error", "seq"])
+
+    def close(self) -> None:
+        pass
+
+
+def queue_held(changes: DataFrame, most: int = 30) -> DataFrame:
+    """What each queue of a stream of changes (queue, id, op, url, status, at, error, seq) holds after each batch that touches it.
+
+    The same rows as `held` over all changes so far. Of an item that is done and forgotten a late change counts as a new item.
+    """
+    ready = changes.selectExpr("queue", "id", "op", "url", "status", "cast(at AS bigint) at", "error", "cast(seq AS bigint) seq")
+    return ready.groupBy("queue").transformWithStateInPandas(Queue(most), f"queue string, id string, {QUEUE_ROW}", "Update", "None")
+
+
 def finished(states: DataFrame, most: int = 30) -> DataFrame:
     return states.where("status IN ('done', 'error')").orderBy(F.desc("at"), "id").limit(most)
 

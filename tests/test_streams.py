@@ -9,8 +9,9 @@ import pytest
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 
-from millrace.sources import connectors, services
-from millrace.streaming import gate, pages
+from millrace.sources import connectors, files, services
+from millrace.operators import merging
+from millrace.streaming import gate, logs, pages
 
 register_pickle_by_value(sys.modules[__name__])  # workers don't see this module
 
@@ -242,3 +243,73 @@ def test_a_gate_for_a_whole_service(spark, tmp_path):
     assert all(b - a >= 5000 for a, b in zip(starts, starts[1:]))
     assert {r["status"] for r in got if r["service"] == "b" and int(r["id"]) > 41} == {"quota"}
     assert {r["status"] for r in got} == {"ok", "empty", "failed", "quota"}
+
+
+def test_a_queue_in_state_equals_a_replay(spark, tmp_path):
+    rng = random.Random(7)
+    changes = []
+    for i in range(40):
+        at = rng.randrange(1000)
+        for k, status in enumerate(["pending", "running", rng.choice(["done", "error", "running"])][: rng.randint(1, 3)]):
+            changes.append((rng.choice("qr") if k < 0 else "q" if i % 3 else "r", f"i{i}", "scrape", f"u{i}", status, at + 10 * k, "e" if status == "error" else None, at + 10 * k))
+    changes.sort(key=lambda c: c[5])
+    names = "queue string, id string, op string, url string, status string, at bigint, error string, seq bigint"
+    seen = []
+    for number in range(4):
+        part = changes[number * len(changes) // 4 : (number + 1) * len(changes) // 4]
+        spark.createDataFrame(part, names).coalesce(1).write.parquet(f"file://{tmp_path}/in/{number}")
+        source = spark.readStream.schema(names).parquet(f"file://{tmp_path}/in/*")
+        with pages.keyed_state(spark):
+            keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"file://{tmp_path}/out/batch={n}")
+            run = logs.queue_held(source, 5).writeStream.outputMode("update").foreachBatch(keep)
+            run.option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        seen += part
+        out = spark.read.parquet(f"file://{tmp_path}/out")
+        for queue in "qr":
+            so_far = spark.createDataFrame([c[1:] for c in seen if c[0] == queue], names.split(", ", 1)[1])
+            want = logs.held(logs.queue_state(so_far), 5).select("id", "op", "url", "status", "at", "error")
+            own = out.where(F.col("queue") == queue)
+            last = own.agg(F.max("batch")).first()[0]
+            got = own.where(F.col("batch") == last).select("id", "op", "url", "status", "at", "error")
+            assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_snapshots_are_written_once(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    schema = "k int, a string, b double"
+    one = spark.createDataFrame([(1, "x", None), (2, None, 0.5), (3, "z", 1.0)], schema)
+    two = spark.createDataFrame([(1, "x", 2.0), (2, "", 0.5), (4, None, None)], schema)
+    first, written = merging.snapshot(one, path)
+    assert written and merging.snapshot(one.orderBy(F.desc("k")).repartition(3), path) == (first, False)
+    files_before = sorted(str(p) for p in (tmp_path / "s").rglob("*"))
+    merging.snapshot(one, path)
+    assert sorted(str(p) for p in (tmp_path / "s").rglob("*")) == files_before
+    second, written = merging.snapshot(two, path)
+    assert written and second != first
+    assert merging.snapshot(one, path) == (first, True)  # back again: an entry, no new content
+    assert [n for n, _ in merging.snapshots(spark, path)] == [1, 2, 3] and len(list((tmp_path / "s").glob("content=*"))) == 2
+    got = {r["k"]: (r["change"], [tuple(f) for f in r["fields"]]) for r in merging.between(spark, path, ["k"], 1, 2).collect()}
+    assert got == {
+        1: ("changed", [("b", None, "2.0")]), 2: ("changed", [("a", None, "")]), 3: ("removed", [("a", "z", None), ("b", "1.0", None)]), 4: ("added", []),
+    }
+    assert merging.between(spark, path, ["k"], 1, 3).count() == 0
+    assert merging.content(one) != merging.content(one.unionByName(one)) and merging.content(one) != merging.content(one.withColumn("b", F.col("b").cast("float")))
+
+
+def test_a_database_is_read_in_parts(spark, tmp_path):
+    """The database that ships with Spark: ranges of a key, filters and columns left to it."""
+    url = f"jdbc:derby:{tmp_path}/base;create=true"
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.range(1000).selectExpr("cast(id AS int) AS K", "concat('v', id % 7) AS V", "id * 2 AS W")
+    rows.write.format("jdbc").options(url=url, dbtable="T", driver=driver, createTableColumnTypes="V VARCHAR(20)").save()
+    found = files.legacy_table(spark, url, "T", by="K", partitions=5, driver=driver)
+    assert found.rdd.getNumPartitions() == 5 and found.count() == 1000
+    some = found.where("K >= 990 AND V = 'v3'").select("K")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(K,990)" in plan and "EqualTo(V,v3)" in plan and "ReadSchema: struct<K:int>" in plan
+    assert sorted(r["K"] for r in some.collect()) == [k for k in range(990, 1000) if k % 7 == 3]
+    parts = files.legacy_table(spark, url, "T", parts=["K < 100", "K >= 100 AND K < 900", "K >= 900"], driver=driver)
+    assert parts.rdd.getNumPartitions() == 3 and parts.count() == 1000
+    spark.createDataFrame([], "K int").write.format("jdbc").options(url=url, dbtable="E", driver=driver).save()
+    assert files.legacy_table(spark, url, "E", by="K", driver=driver).count() == 0
+    assert files.legacy_table(spark, url, "T", driver=driver).rdd.getNumPartitions() == 1
