@@ -191,7 +191,7 @@ def round_trip(documents: DataFrame, vocabulary: str | None = None, pattern: str
     """doc_id, number of tokens, and digests of the ids and of what they decode to.
 
     Null and empty texts have no tokens. Texts of any length are encoded whole;
-    repeated rows repeat; extra columns are not read.
+    repeated rows repeat; extra columns are not read; an empty table gives no rows.
     """
     at = _source(vocabulary, pattern)
 

@@ -41,7 +41,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     turn come in one more row without a target, so no turn is lost.
     Null texts and roles count as empty; repeated turn numbers are put in order of
     role and text; rows without conv_id form one conversation. Other columns
-    are not read. An empty table gives no rows.
+    are not read. An empty table gives no rows. Texts of any length are taken whole; a conversation is one row.
     """
     one = F.struct(
         F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")

@@ -299,7 +299,8 @@ def pack(
     histogram of lengths decides, the number of documents doesn't matter.
 
     Null text is empty: one piece, the closing id 0. Repeated rows are packed
-    as often as they come. Extra columns are not read; an empty table gives no rows.
+    as often as they come. Extra columns are not read; an empty table gives no rows. Texts of any length are encoded
+    whole; their pieces are rows of their own.
     """
     spark = documents.sparkSession
     every = written(cut(documents, vocabulary, length, with_ids, added))

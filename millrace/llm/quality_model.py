@@ -156,7 +156,7 @@ def classify(
     The host is by default `source`, the path `lang`, empty where null or missing. host_mean and site are
     what the other documents of the host and path say. Rows of one id are judged each by its own text.
     Null text counts as empty. Without labels the evidence is 0.5 everywhere and
-    all documents are kept. Repeated rows repeat; an empty table gives no rows.
+    all documents are kept. Repeated rows repeat; an empty table gives no rows. Texts of any length are read whole.
     """
     def named(column: Column | None, name: str) -> Column:
         if column is None:

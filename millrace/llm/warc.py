@@ -193,6 +193,6 @@ def archive_and_read(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     Null html is an empty payload; null or blank urls give records without a target.
     Repeated and null page_ids give a record each and are read back as they were. Other columns are not read; an empty
-    table gives no archive and no rows.
+    table gives no archive and no rows. A page of any size is one record, whose payload a task holds at once.
     """
     return read_archives(write_archives(pages, folder))

@@ -299,6 +299,16 @@ def test_byte_bpe(spark, documents, texts):
     assert bpe.round_trip(empty(spark)).count() == 0
 
 
+def test_byte_bpe_of_odd_tables(spark):
+    rows = [(1, "twice the same", 1), (1, "twice the same", 1), (None, "null id", 2), (2, "x" * 300_000 + " é" * 1000, 3), (3, "", 4), (4, None, 5)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, d int").withColumn("n_tokens", F.lit("clash"))
+    got = bpe.round_trip(frame).collect()
+    assert len(got) == len(rows) and bpe.round_trip(frame.limit(0)).count() == 0
+    for doc_id, text, _ in rows:
+        want = hashlib.sha256((text or "").encode()).hexdigest()
+        assert sum(r["doc_id"] == doc_id and r["decoded_sha256"] == want for r in got) == sum(x[0] == doc_id and x[1] == text for x in rows)
+
+
 def test_perfect_hash():
     keys = {f"k{i}".encode(): i for i in range(2000)}
     found = bpe.PerfectHash(keys)
@@ -486,6 +496,25 @@ def test_warc(spark):
     assert shown == sorted([("None", 1600, "revisit", "4")] * 2 + [("4", 1600, "response", "None")] * 2 + [("5", 2000, "response", "None"), ("None", 0, "response", "None")] + [("None", 1500, "response", "None")] * 2)
 
 
+def test_warc_of_large_pages(spark):
+    """Pages of several megabytes, one of which comes twice."""
+    large = "".join(chr(33 + i * i % 9000) for i in range(1_500_000))
+    rows = [(1, "u", large), (2, "v", large), (3, "w", large[::-1]), (4, "x", "small")]
+    got = by_id(warc.archive_and_read(spark.createDataFrame(rows, "page_id bigint, url string, html string")), "page_id")
+    for page_id, _, html in rows:
+        data = html.encode()
+        assert (got[page_id]["payload_bytes"], got[page_id]["payload_digest"]) == (len(data), hashlib.sha1(data).hexdigest())
+    assert [(got[i]["record_type"], got[i]["refers_to"]) for i in (1, 2, 3, 4)] == [("revisit", 2), ("response", None), ("response", None), ("response", None)]
+
+
+def test_chat_of_long_turns(spark):
+    long = "\\### Assistant: </turn> é\n" * 40_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (1, 2, "user", "short")]
+    got = by_id(chat.conversation_digests(chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))), "conv_id")
+    assert got[1]["loss_chars"] == len(long) and got[1]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    assert got[1]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for *_, r, t in rows).encode()).hexdigest()
+
+
 def test_warc_reader_rejects_damage():
     import io
 
@@ -572,6 +601,92 @@ def test_quality_model(spark):
     assert all(r["kept"] for r in quality_model.classify(docs, known.where("doc_id < 0")).collect())
 
 
+def _plain_features(text):
+    """The same statistics by counting characters one by one."""
+    data = text.encode()
+    classes = [b"#*$%&<>@^~_=+{}[]\\", b"!?", b"|", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:", bytes(range(128, 256))]
+    shares = [math.sqrt(sum(c in k for c in data) / max(1, len(data))) for k in classes]
+    words = text.split()
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    inside = set()
+    for i, w in enumerate(windows):
+        if windows.count(w) > 1:
+            inside |= {i, i + 1, i + 2}
+    lines = [x for x in text.split("\n") if x.strip()]
+    n = max(1, len(words))
+    return [*shares, min(40, len(data) / n), len(inside) / n, len(set(words)) / n, 1 - len(set(lines)) / max(1, len(lines)), math.log(1 + len(words))]
+
+
+def _plain_fit(xs, ys):
+    """Ridge logistic regression by steepest descent with a shrinking step, on standardised features; the constant is hardly drawn."""
+    k = len(xs[0])
+    mean = [sum(x[j] for x in xs) / len(xs) for j in range(k)]
+    sd = [max(1e-6, math.sqrt(sum((x[j] - mean[j]) ** 2 for x in xs) / len(xs))) for j in range(k)]
+    z = np.array([[(x[j] - mean[j]) / sd[j] for j in range(k)] + [1.0] for x in xs])
+    y, w = np.array(ys, dtype=float), np.zeros(k + 1)
+    penalty = np.array([1.0] * k + [1e-3])
+    loss = lambda w: np.sum(np.logaddexp(0, z @ w) - y * (z @ w)) + 0.5 * np.sum(penalty * w * w)
+    rate = 1.0
+    for _ in range(60_000):
+        slope = z.T @ (1 / (1 + np.exp(-(z @ w))) - y) + penalty * w
+        if np.abs(slope).max() < 1e-7:
+            break
+        while loss(w - rate * slope) > loss(w) - 0.3 * rate * slope @ slope and rate > 1e-9:
+            rate /= 2
+        w = w - rate * slope
+        rate *= 1.5
+    return lambda x: float(sum((x[j] - mean[j]) / sd[j] * w[j] for j in range(k)) + w[k])
+
+
+def test_quality_model_equals_an_independent_version(spark):
+    """Features, fit, posteriors and verdicts written again from their definitions; nothing of the module is used."""
+    rng = random.Random(16)
+    words = vocabulary(rng, 120)
+    rows, labels = [], []
+    for i in range(240):
+        host = rng.choice(["good", "good", "good", "bad", "mixed", ""])
+        odd = rng.random() < {"good": 0.1, "bad": 0.8, "mixed": 0.5, "": 0.3}[host]
+        n = rng.choice([3, 20, 60])
+        text = rng.choice([" ", "\n"]).join(rng.choice(words).title() if rng.random() < 0.2 else rng.choice(words) + (rng.choice(["#", "!!", "|", "7"]) if odd and rng.random() < 0.4 else "") for _ in range(n))
+        rows.append((i, text + (" again and again" * 5 if rng.random() < 0.1 else ""), rng.choice(["en", "de", None]), host or None))
+        if i % 2 == 0:
+            labels.append((i, int(not odd if rng.random() < 0.85 else odd)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(3)
+    got = by_id(quality_model.classify(docs, spark.createDataFrame(labels, "doc_id bigint, quality int")))
+    known = dict(labels)
+    x = {r[0]: _plain_features(r[1]) for r in rows}
+    logit = _plain_fit([x[i] for i in known], [known[i] for i in known])
+    ev = {i: 1 / (1 + math.exp(-logit(x[i]))) for i in x}
+    site = {r[0]: (r[3] or "", r[2] or "") for r in rows}
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for i, (h, p) in site.items():
+        hosts[h].append(ev[i])
+        paths[h, p].append(ev[i])
+    prior = sum(ev.values()) / len(ev)
+
+    def weight(groups):  # of (values, mean they are drawn to)
+        some = [(len(v), sum(v) / len(v) - m, m) for v, m in groups if len(v) > 1]
+        n = sum(g[0] for g in some)
+        between = max((sum(k * off * off for k, off, _ in some) - sum(m * (1 - m) for *_, m in some)) / n, 1e-9)
+        return sum(m * (1 - m) * k for k, _, m in some) / n / between
+
+    hw = weight([(v, prior) for v in hosts.values()])
+    mean_of = {h: (hw * prior + sum(v)) / (hw + len(v)) for h, v in hosts.items()}
+    pw = weight([(v, mean_of[h]) for (h, _), v in paths.items()])
+    odds = lambda p: math.log(p / (1 - p))
+    differ = 0
+    for i, (h, p) in site.items():
+        own_host = (hw * prior + sum(hosts[h]) - ev[i]) / (hw + len(hosts[h]) - 1)
+        own_site = (pw * own_host + sum(paths[h, p]) - ev[i]) / (pw + len(paths[h, p]) - 1)
+        posterior = 1 / (1 + math.exp(-(logit(x[i]) + odds(own_site) - odds(prior))))
+        for name, value in (("evidence", ev[i]), ("host_mean", own_host), ("site", own_site), ("posterior", posterior)):
+            assert abs(got[i][name] - value) < 1e-4, (i, name, got[i][name], value)
+        if abs(posterior - 0.5) > 1e-4:
+            assert got[i]["kept"] == (posterior >= 0.5)
+        differ += (posterior >= 0.5) != (ev[i] >= 0.5)
+    assert differ > 0  # sites decide some
+
+
 def test_site_posteriors_shrink(spark):
     rows = [("a", "x", 0.9)] * 500 + [("a", "y", 0.1)] + [("b", "x", 0.3)] * 500
     got = {(r["host"], r["path"]): r for r in quality_model.posteriors(spark.createDataFrame(rows, "host string, path string, evidence double")).collect()}

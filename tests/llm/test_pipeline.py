@@ -28,6 +28,7 @@ def corpus(spark, tmp_path_factory):
     texts += [make(80, "###") for _ in range(30)]
     texts += ["same words again " * 30, "short text", "", None, "é" * 300]
     texts += [make(70) + ' token = "ad9b9ab81594e97f2d82ac69ac6544142c4f1d40" ' + make(20) for _ in range(4)]
+    texts.append(make(20_000))  # a very long one, which all stages take whole
     rows = [(i, t, None if i % 9 == 0 else "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
     labels = [(i, int("###" not in (texts[i] or "")), 0) for i in range(0, len(texts), 2)]
     folder = f"file://{tmp_path_factory.mktemp('corpus')}"
