@@ -27,7 +27,7 @@ def _kept(judged: DataFrame, verdict: str = "kept") -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that pass the base rules and the fertility bands of their language.
+    """Rows that pass the base rules and the fertility bands of their language; texts of any length are read whole.
 
     Each row is judged by its own text: null or empty text fails, repeated rows and rows of
     one id stay or go each by itself, null ids are ids like others. Columns of `documents` that are missing are
@@ -43,7 +43,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose posterior quality reaches the threshold; without labels all do.
+    """Rows whose posterior quality reaches the threshold; without labels all do. Texts of any length are read whole.
 
     Each row is judged by its own text and site (null: the empty one). Repeated rows, null ids, missing and
     additional columns and an empty table as in quality_rules. Labels of ids that don't occur, or
@@ -54,7 +54,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near-duplicates: that with the smallest id, null ids last.
+    """One row of each component of near-duplicates: that with the smallest id, null ids last. Texts of any length are compared whole.
 
     Of equal rows one stays. Rows of one id with different texts link each by its own
     text. Rows without words are no duplicates of each other and all stay. Missing and additional columns and an
@@ -64,7 +64,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, their secrets replaced by a mark; of overlapping ones one mark stands for all.
+    """All rows, their secrets replaced by a mark; of overlapping ones one mark stands for all. Texts of any length are scanned whole.
 
     n_chars is that of the new text. Null text stays null with n_chars 0. Repeated rows, null ids, missing and additional
     columns and an empty table as in quality_rules.
@@ -75,7 +75,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all rows, placed in sequences.
+    """The pieces of all rows, placed in sequences; a very long text is many pieces.
 
     Null text is one piece, the closing id. Repeated rows are packed as often as they
     come; a null id stays null on its pieces. Other columns are not read; an empty table gives no rows.
