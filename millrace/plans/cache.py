@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators.ranks import positions
 
 INDEX = [
     "url_hash", "url", "domain", "city", "topic", "scraped_at", "scrape_duration_s", "extracted_at", "extract_duration_s",
@@ -31,6 +32,11 @@ def ordered(entries: DataFrame) -> DataFrame:
     return entries.orderBy(*index_order())
 
 
+def placed(entries: DataFrame) -> DataFrame:
+    """Pages with their place in the index, from 1."""
+    return positions(entries, [], index_order()).withColumn("place", F.col("pos") + 1).drop("pos", "total")
+
+
 def index_order() -> list[Column]:
     done = F.col("scraped_at").isNotNull() & F.col("extracted_at").isNotNull()
     return [done.asc(), F.col("scraped_at").desc_nulls_last(), F.col("url_hash").asc()]

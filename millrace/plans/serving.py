@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators.ranks import positions
 
 
 def topic_counts(records: DataFrame) -> DataFrame:
@@ -33,16 +34,18 @@ def zero_filled(records: DataFrame, cities: DataFrame, topics: DataFrame) -> Dat
     return every.select("city", "topic", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def faceted(counts: DataFrame, cities: list[str] = (), topics: list[str] = (), bucket: str | None = None) -> DataFrame:
-    """Counts under any of the filters; an empty filter holds for all."""
+def count_bucket(n: Column) -> Column:
+    """The facet of a count: 0, 1 or 2+."""
+    return F.when(n >= 2, "2+").otherwise(n.cast("string"))
+
+
+def faceted(counts: DataFrame, cities: list[str] = (), topics: list[str] = (), bucket: str | None = None, countries: list[str] = ()) -> DataFrame:
+    """Counts under any of the filters; an empty filter holds for all. Countries need a column, as with_country gives it."""
     out = counts
-    if cities:
-        out = out.where(F.col("city").isin(list(cities)))
-    if topics:
-        out = out.where(F.col("topic").isin(list(topics)))
-    if bucket is not None:
-        out = out.where(F.when(F.col("n") >= 2, "2+").otherwise(F.col("n").cast("string")) == bucket)
-    return out
+    for column, wanted in (("city", cities), ("topic", topics), ("country", countries)):
+        if wanted:
+            out = out.where(F.col(column).isin(list(wanted)))
+    return out if bucket is None else out.where(count_bucket(F.col("n")) == bucket)
 
 
 def rollup(records: DataFrame) -> DataFrame:
@@ -263,4 +266,6 @@ def negative_rows(negatives: DataFrame) -> DataFrame:
 
 
 def subscription_list(subscriptions: DataFrame) -> DataFrame:
-    return subscriptions.orderBy(F.desc("id"))
+    """Subscriptions, the newest first, each with its place from 1 and how many there are."""
+    placed = positions(subscriptions, [], [F.desc("id")])
+    return placed.withColumn("place", F.col("pos") + 1).drop("pos").orderBy("place")

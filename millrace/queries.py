@@ -111,6 +111,21 @@ def faceted_results(t: Tables) -> DataFrame:
     return serving.faceted(serving.city_topic_counts(records(t)), topics=["BUILDING", "MACHINERY"], bucket="2+")
 
 
+@query(f"""WITH counts AS (SELECT n_name AS city, s.topic, coalesce(r_name, '') AS country, count(r.id) AS n FROM nation LEFT JOIN region ON n_regionkey = r_regionkey CROSS JOIN (SELECT DISTINCT c_mktsegment AS topic FROM customer) s
+    LEFT JOIN (SELECT * FROM {RECORDS} WHERE score < -800) r ON r.city = n_name AND r.topic = s.topic GROUP BY ALL)
+SELECT city, topic, country, n, CASE WHEN n >= 2 THEN '2+' ELSE n::VARCHAR END AS bucket FROM counts
+WHERE country IN ('ASIA', 'EUROPE', 'AFRICA') AND topic <> 'MACHINERY' AND n <= 1""")
+def facets_of_four(t: Tables) -> DataFrame:
+    """Pairs without records and with one, of three countries and some topics: all four facets together."""
+    cities = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("city"), F.col("r_name").alias("country"))
+    topics = t.customer.select(F.col("c_mktsegment").alias("topic")).distinct()
+    counts = serving.with_country(serving.zero_filled(records(t).where("score < -800"), cities.select("city"), topics), cities)
+    shown = counts.select("city", "topic", "country", "n", serving.count_bucket(F.col("n")).alias("bucket"))
+    wanted = [r["topic"] for r in topics.where("topic <> 'MACHINERY'").collect()]  # the facet's own values
+    some = lambda bucket: serving.faceted(shown, topics=wanted, bucket=bucket, countries=["ASIA", "EUROPE", "AFRICA"])
+    return some("0").unionByName(some("1"))
+
+
 @query("SELECT cast(count(*) AS BIGINT) AS total, cast(count_if(props IS NOT NULL) AS BIGINT) AS with_text, cast(count_if(event_type = 'purchase') AS BIGINT) AS with_extract, cast(count_if(value > 50) AS BIGINT) AS with_enrich FROM events")
 def cache_stats(t: Tables) -> DataFrame:
     return t.events.agg(
@@ -131,11 +146,11 @@ def facet_values(t: Tables) -> DataFrame:
     return t.events.agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("facet_values"))
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders")
+@query("SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderstatus = 'F', o_orderdate DESC, o_orderkey) AS place FROM orders")
 def cache_index_order(t: Tables) -> DataFrame:
-    """All pages in the order of the index: a sort by ranges, without a window over all of them; tests hold the order."""
+    """All pages with their places in the order of the index, by ranges, without a window over all of them."""
     entries = t.orders.select(F.col("o_orderkey").alias("url_hash"), F.col("o_orderdate").alias("scraped_at"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("extracted_at"))
-    return cache.ordered(entries).select(F.col("url_hash").alias("o_orderkey"), F.col("scraped_at").alias("o_orderdate"))
+    return cache.placed(entries).select(F.col("url_hash").alias("o_orderkey"), F.col("scraped_at").alias("o_orderdate"), "place")
 
 
 @query(r"SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS domain, sha256(url)[1:16] AS url_hash FROM pages")

@@ -443,7 +443,7 @@ def truncate(t: Tables) -> DataFrame:
     return merging.truncated(t.orders)[1]
 
 
-@query("SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders")
+@query("SELECT o_orderkey AS id, o_orderdate AS created_at, row_number() OVER (ORDER BY o_orderkey DESC) AS place, count(*) OVER () AS total FROM orders")
 def subscription_list(t: Tables) -> DataFrame:
     return serving.subscription_list(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at")))
 
