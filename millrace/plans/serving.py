@@ -222,10 +222,14 @@ def with_url(records: DataFrame) -> DataFrame:
     )
 
 
-def community_by_slug(records: DataFrame, city_slug: str, name_slug: str) -> DataFrame:
-    """At most one record: of those in the city and with the name that give these slugs, that with the smallest id."""
-    found = records.where((T.slug(F.col("city")) == city_slug) & (T.slug(F.col("name")) == name_slug))
-    return with_url(found.orderBy("id").limit(1))
+def community_by_slug(records: DataFrame, city_slug: str, name_slug: str, cities: DataFrame | None = None) -> DataFrame:
+    """At most one record: of those in the city and with the name that give these slugs, that with the smallest id.
+
+    The city is found among the cities (default: those of the records), so only its own records' names are made slugs of.
+    """
+    every = (records if cities is None else cities).select("city").distinct()
+    own = records.join(every.where(T.slug(F.col("city")) == city_slug), "city", "left_semi")
+    return with_url(own.where(T.slug(F.col("name")) == name_slug).orderBy("id").limit(1))
 
 
 def community_by_id(records: DataFrame, community_id: str) -> DataFrame:
@@ -240,8 +244,10 @@ def routes(requests: DataFrame, cities: DataFrame, topics: DataFrame, records: D
     """
     known = cities.select("city", T.slug(F.col("city")).alias("city_slug")).groupBy("city_slug").agg(F.min("city").alias("city"))
     named = topics.select("topic").distinct()
-    slugs = records.select("city", T.slug(F.col("name")).alias("segment"), "id").groupBy("city", "segment").agg(F.min("id").alias("record"))
     asked = requests.join(known, "city_slug", "left").withColumn("_as_topic", F.replace("segment", F.lit("-"), F.lit("_")))
+    # Slugs are made of names in cities that are asked for.
+    wanted = records.join(known.join(requests, "city_slug", "left_semi").select("city"), "city", "left_semi")
+    slugs = wanted.select("city", T.slug(F.col("name")).alias("segment"), "id").groupBy("city", "segment").agg(F.min("id").alias("record"))
     as_is = named.select(F.col("topic").alias("segment"), F.col("topic").alias("_topic_a"))
     changed = named.select(F.col("topic").alias("_as_topic"), F.col("topic").alias("_topic_b"))
     found = asked.join(as_is, "segment", "left").join(changed, "_as_topic", "left").join(slugs, ["city", "segment"], "left")
