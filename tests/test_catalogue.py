@@ -261,6 +261,22 @@ def test_fuzzy_dedupe_of_a_large_block(spark):
     assert sorted(r["i"] for r in got.collect()) == fold([(i, n or "", s or "", r) for i, n, s, r in rows])
 
 
+def test_fuzzy_dedupe_of_one_large_part(spark):
+    """Ten thousand records that all hang together, by names within names and by sites."""
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    hubs = [word(5) for _ in range(30)]
+    rows = [(i, h, None, 4) for i, h in enumerate(hubs)]
+    while len(rows) < 10_000:
+        own = rng.sample(hubs, rng.choice([1, 1, 2]))
+        site = f"http://{rng.randrange(300)}" if rng.random() < 0.05 else None
+        rows.append((len(rows), " ".join([*own, word(rng.randint(6, 9))]), site, 5 if len(rows) in (500, 7000) else rng.randint(0, 4)))
+    frame = spark.createDataFrame(rows, "i int, name string, site string, rich int").withColumn("block", F.lit("b"))
+    got = dedupe.fuzzy_dedupe(frame, ["block"], F.col("name"), F.col("site"), F.col("rich"), F.col("i"))
+    assert sorted(r["i"] for r in got.collect()) == fold([(i, n, s or "", r) for i, n, s, r in rows])
+
+
 def test_merging_of_odd_rows(spark):
     old = spark.createDataFrame([("a", 1)], "k string, v int")
     new = spark.createDataFrame([("a", 5), ("b", 7), ("b", 3)], "k string, v int")
