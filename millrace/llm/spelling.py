@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import positions, written
 
-#: Words of a shard, whose index takes about 4 kB a word.
-SHARD = 8192
+#: Words of a shard, whose index takes about 4 kB a word, and code points of the longest words that are searched in indexes.
+SHARD, LONGEST = 8192, 64
 #: The least code points and occurrences of a word, and of how many runs one is misspelt.
 LONG, OFTEN, MISSPELT = 5, 3, 97
 #: Words that a task counts before it hands its counts on.
@@ -225,7 +225,7 @@ def _halves(word: Column, left: bool) -> tuple[Column, Column]:
     return cut(of(length)), F.array_distinct(F.array(*[cut(of(length + d)) for d in (-1, 0, 1)]))
 
 
-def _searched(words: DataFrame, left: bool, shard: int) -> DataFrame:
+def _searched(words: DataFrame, left: bool, shard: int, longest: int) -> DataFrame:
     """(word, near, near_n) of pairs that share the left half of the first word, or else (not both) its right half."""
     order = F.col("word") if left else F.reverse("word")
     placed = positions(words.select("word", "n", F.lit(0).alias("all"), order.alias("order")), ["all"], ["order"])
@@ -233,7 +233,7 @@ def _searched(words: DataFrame, left: bool, shard: int) -> DataFrame:
     own, starts = _halves(F.col("word"), left)
     # Which shards hold a half at all.
     held = members.select(F.explode(starts).alias("half"), "shard").distinct()
-    asked = words.select("word", own.alias("half")).join(held, "half")
+    asked = words.where(F.length("word") <= longest).select("word", own.alias("half")).join(held, "half")
     rows = members.select("shard", F.lit(0).alias("kind"), "word", "n").unionByName(asked.select("shard", F.lit(1).alias("kind"), "word", F.lit(None).cast("long").alias("n")))
     count = (members.agg(F.max("shard")).first()[0] or 0) + 1
 
@@ -264,9 +264,29 @@ def _searched(words: DataFrame, left: bool, shard: int) -> DataFrame:
     return rows.repartition(count, "shard").sortWithinPartitions("shard", "kind").mapInArrow(search, "word string, near string, near_n bigint")
 
 
-def near_pairs(words: DataFrame, shard: int = SHARD) -> DataFrame:
+def _long(words: DataFrame, longest: int) -> DataFrame:
+    """The same for first words of more than `longest` code points, which would make indexes large: they meet by their
+    length and an exact half, and are then compared."""
+    asked, members = words.where(F.length("word") > longest), words.where(F.length("word") >= longest)
+    out = []
+    for left in (True, False):
+        own, _ = _halves(F.col("word"), left)
+        asking = asked.select("word", F.length("word").alias("size"), F.xxhash64(own).alias("half"))
+        of = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.length("word") + d)).alias("size")
+        known = members.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "word", of)
+        half = F.floor(F.col("size") / 2).cast("int")
+        start = F.substr("word", F.lit(1), half) if left else F.right("word", F.col("size") - half)
+        known = known.select("near", "near_n", "size", F.xxhash64(start).alias("half"))
+        out.append(asking.join(known, ["size", "half"]).where(F.col("word") != F.col("near")).select("word", "near", "near_n"))
+    met = out[0].unionByName(out[1]).distinct()
+    return met.where(F.levenshtein("word", "near", 1) == 1)
+
+
+def near_pairs(words: DataFrame, shard: int = SHARD, longest: int = LONGEST) -> DataFrame:
     """(word, near, near_n): each pair of distinct words that one inserted, deleted or replaced code point tells apart, both ways round."""
-    return _searched(words, True, shard).unionByName(_searched(words, False, shard))
+    short = words.where(F.length("word") <= longest + 1)
+    found = _searched(short, True, shard, longest).unionByName(_searched(short, False, shard, longest))
+    return found.unionByName(_long(words, longest))
 
 
 def _roots(forms: DataFrame) -> DataFrame:
@@ -280,15 +300,15 @@ def _roots(forms: DataFrame) -> DataFrame:
             return now
 
 
-def variants(documents: DataFrame, least: int = OFTEN, shard: int = SHARD) -> DataFrame:
+def variants(documents: DataFrame, least: int = OFTEN, shard: int = SHARD, longest: int = LONGEST) -> DataFrame:
     """The frequent words of all documents with the near word that each is a variant of, and where such steps lead.
 
-    Null and empty texts have no words; texts of any length are read whole; a null doc_id counts as an empty one. Repeated documents count as often as they
+    Null and empty texts have no words; texts and words of any length are taken whole; a null doc_id counts as an empty one. Repeated documents count as often as they
     come. Of near words with equal counts the first in code-point order is the form. A form is at least twice as
     frequent as its word, so steps never come back. An empty table gives no rows; columns of other names are not read.
     """
     words = written(vocabulary(documents, least))
-    near = near_pairs(words, shard)
+    near = near_pairs(words, shard, longest)
     best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min_by(F.struct("near", "near_n"), F.struct(-F.col("near_n"), "near")).alias("b"))
     joined = words.join(best, "word", "left")
     stands = F.col("b.near_n") >= 2 * F.col("n")

@@ -65,14 +65,16 @@ def corpus():
         text = rng.choice([" ", ", ", "1", "\n", "Ā"]).join(rng.choices(words, weights, k=80))
         rows.append((None if k % 20 == 7 else k, text.upper() if k % 5 == 0 else text))
     rows += [(900, None), (901, ""), (902, "12 34 ..."), (903, "longword" * 5000), (904, "longword" * 5000), (905, "longword" * 5000 + "x")]
+    long = "abcdefgh" * 20
+    rows += [(910 + k, t) for k, t in enumerate([long] * 7 + [long + "x"] * 3 + [long[:3] + long[4:]] * 3 + [long[:150] + "é" + long[151:]] * 4 + ["x" + long[1:] + "y"] * 3)]
     rows += [(906, "spelling spelling spelling " * 40_000)] + rows[:5] + [(None, "tied words tiedx tiedy tied tiedx tiedy tiedx tiedy tiedz tiedz tiedz")]
     return [(*r, "w", 1, "s", "k", "n") for r in rows]
 
 
-@pytest.mark.parametrize("shard", [8192, 40, 3])
-def test_equals_brute_force(spark, shard):
+@pytest.mark.parametrize(("shard", "longest"), [(8192, 64), (40, 6), (3, 64), (40, 5)])
+def test_equals_brute_force(spark, shard, longest):
     rows = corpus()
-    frame = spelling.variants(spark.createDataFrame(rows, SCHEMA).repartition(3), shard=shard)
+    frame = spelling.variants(spark.createDataFrame(rows, SCHEMA).repartition(3), shard=shard, longest=longest)
     assert frame.columns == ["word", "form", "root", "n", "n_near", "form_n"]
     got = sorted(map(repr, map(tuple, frame.collect())))
     assert got == brute(rows) and sum(", None, " not in g for g in got) > 20
