@@ -90,13 +90,14 @@ def _holders(state: DataFrame) -> DataFrame:
     """(slot, at, until): who holds a place from its own turn on, until the turn of the next (null: to the end).
 
     Only the first record of each richness can take a place over, so what meets for a place are as many rows as
-    it has richnesses, however many records.
+    it has richnesses, however many records. A place goes by the first record in it: where the one that it was named after
+    turns out to stand elsewhere, the others follow at once, not one after another.
     """
     first = state.groupBy("slot", "_rich").agg(F.min("_at").alias("at"))
     turns = Window.partitionBy("slot").orderBy("at")
     best = F.max("_rich").over(turns.rowsBetween(Window.unboundedPreceding, -1))
     taken = first.withColumn("best", best).where(F.col("best").isNull() | (F.col("_rich") > F.col("best")))
-    return taken.select("slot", "at", F.lead("at").over(turns).alias("until"))
+    return taken.select(F.first("at").over(turns).alias("slot"), "at", F.lead("at").over(turns).alias("until"))
 
 
 def _nodes(records: DataFrame) -> DataFrame:

@@ -277,6 +277,18 @@ def test_fuzzy_dedupe_of_one_large_part(spark):
     assert sorted(r["i"] for r in got.collect()) == fold([(i, n, s or "", r) for i, n, s, r in rows])
 
 
+def test_fuzzy_dedupe_of_many_copies_takes_few_rounds(spark, monkeypatch):
+    """A site pulls the first of equal names into another place; the copies of the others follow together, however many there are."""
+    kinds = [("aa", "http://s", 1), ("zz", "http://s", 0), ("zz", "http://t/", 0)]
+    rows = [(3 * copy + i, *kind) for copy in range(16) for i, kind in enumerate(kinds)]
+    rounds, real = [], dedupe._round
+    monkeypatch.setattr(dedupe, "_round", lambda *tables: rounds.append(1) or real(*tables))
+    frame = spark.createDataFrame(rows, "i int, name string, site string, rich int").withColumn("block", F.lit("b"))
+    got = dedupe.fuzzy_dedupe(frame, ["block"], F.col("name"), F.col("site"), F.col("rich"), F.col("i"))
+    assert sorted(r["i"] for r in got.collect()) == fold(rows)
+    assert len(rounds) <= 5
+
+
 def test_merging_of_odd_rows(spark):
     old = spark.createDataFrame([("a", 1)], "k string, v int")
     new = spark.createDataFrame([("a", 5), ("b", 7), ("b", 3)], "k string, v int")
