@@ -26,11 +26,15 @@ from millrace.storage import removed, written
 RATIO = 0.88
 
 
-def _close(a: str, b: str) -> bool:
-    if 2 * min(len(a), len(b)) <= RATIO * (len(a) + len(b)):
-        return False
-    match = SequenceMatcher(None, a, b)
-    return match.quick_ratio() > RATIO and match.ratio() > RATIO
+def _close(a: str, b: str) -> list[bool]:
+    """Whether the ratio from the first to the second exceeds RATIO, and that from the second to the first.
+
+    What both hold of each letter bounds either ratio; it is counted once for both.
+    """
+    length = len(a) + len(b)
+    if 2 * min(len(a), len(b)) <= RATIO * length or 2.0 * sum(min(a.count(c), b.count(c)) for c in set(a)) / length <= RATIO:
+        return [False, False]
+    return [SequenceMatcher(None, x, y).ratio() > RATIO for x, y in ((a, b), (b, a))]
 
 
 def _grams(name: Column, size: int) -> Column:
@@ -78,8 +82,7 @@ def close_names(names: DataFrame) -> DataFrame:
 
     @F.arrow_udf("array<boolean>")
     def close(left: pa.Array, right: pa.Array) -> pa.Array:
-        found = zip(left.to_pylist(), right.to_pylist())
-        return pa.array([[_close(a, b), _close(b, a)] for a, b in found], pa.list_(pa.bool_()))
+        return pa.array([_close(a, b) for a, b in zip(left.to_pylist(), right.to_pylist())], pa.list_(pa.bool_()))
 
     judged = met.select("a", "b", close("bare", "y").alias("is"))
     both = F.filter(F.array(F.struct("a", "b", F.col("is")[0].alias("is")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("is")[1].alias("is"))), lambda x: x["is"])
