@@ -748,7 +748,9 @@ def service_gate(t: Tables) -> DataFrame:
         run.trigger(availableNow=True).start().awaitTermination()
     rows = t.spark.read.schema(gate.ANSWER).parquet(f"{place}/out")
     first = t.events.agg(F.unix_millis(F.min("ts").cast("timestamp")).alias("first"))
-    since = F.when((F.col("status") != "quota") | (F.col("nth_of") == 1), F.col("started_ms") - F.col("first"))
-    # The call that spent the quota is the first of its number.
-    ranked = rows.withColumn("nth_of", F.row_number().over(Window.partitionBy("service", "nth").orderBy("started_ms", "id")))
-    return ranked.join(F.broadcast(first)).select("service", F.col("id").cast("long").alias("event_id"), since.alias("waited_ms"), "nth", "status")
+    # The call that spent the quota is the first that found it spent.
+    spent = rows.where("status = 'quota'").groupBy("service").agg(F.min(F.struct("started_ms", "id")).alias("spent"))
+    called = (F.col("status") != "quota") | (F.struct("started_ms", "id") == F.col("spent"))
+    since = F.when(called, F.col("started_ms") - F.col("first"))
+    placed = rows.join(F.broadcast(spent), "service", "left").join(F.broadcast(first))
+    return placed.select("service", F.col("id").cast("long").alias("event_id"), since.alias("waited_ms"), "nth", "status")

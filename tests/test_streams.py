@@ -5,6 +5,7 @@ import os
 import random
 import sys
 
+import pandas as pd
 import pytest
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
@@ -245,6 +246,67 @@ def test_a_gate_for_a_whole_service(spark, tmp_path):
     assert {r["status"] for r in got} == {"ok", "empty", "failed", "quota"}
 
 
+class Store:
+    """State in memory that counts how often it is asked."""
+
+    def __init__(self):
+        self.rows, self.asked, self.timers = {}, 0, []
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.rows[key]
+
+    def updateValue(self, key, row):
+        self.asked += 1
+        self.rows[key] = row
+
+    def removeKey(self, key):
+        self.asked += 1
+        del self.rows[key]
+
+    def exists(self):
+        return "own" in self.rows
+
+    def get(self):
+        return self.rows.get("own")
+
+    def update(self, row):
+        self.rows["own"] = row
+
+
+class Time:
+    def __init__(self, at):
+        self.at = at
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: self.at
+
+
+def test_a_gate_asks_its_state_by_entries_not_by_requests(tmp_path):
+    """Half of a batch waits for a timer; a quota is spent then, and what comes afterwards doesn't reach the state at all."""
+    store = Store()
+    processor = gate.Gate(answering(str(tmp_path)), 20, False)
+    processor.init(store)
+    rows = [("s", f"{i:05}", "quota" if i == 4000 else "none" if i % 3 else "x", 10 * i) for i in range(9000)]
+    frame = lambda part: pd.DataFrame(part, columns=["service", "id", "value", "at_ms"])
+    got = list(processor.handleInputRows(("s",), iter([frame(rows[3000:5000]), frame(rows[:3000])]), Time(0)))
+    assert 2000 < sum(map(len, got)) < 3000 and store.timers
+    got += processor.handleExpiredTimer(("s",), Time(70_000), Time(store.timers[-1]))
+    assert sum(map(len, got)) == 3501  # the first of the others wait in the midst of an entry
+    got += processor.handleExpiredTimer(("s",), Time(100_000), Time(store.timers[-1]))
+    got += processor.handleInputRows(("s",), iter([frame(rows[7000:]), frame(rows[5000:7000])]), Time(0))
+    found = [tuple(None if x is None or x != x else x for x in r) for part in got for r in part.itertuples(index=False)]
+    assert sorted(map(repr, found)) == answered(rows, 20, tmp_path)
+    assert store.asked <= 12
+
+
 def test_a_queue_in_state_equals_a_replay(spark, tmp_path):
     rng = random.Random(7)
     changes = []
