@@ -697,7 +697,8 @@ def incremental_counts(t: Tables) -> DataFrame:
 
 
 def _served(t: Tables, reader):
-    options = {"client": "millrace.sources.services:Recorded", "path": f"{t.sf_dir}/pages.parquet", "order": "page_id", "columns": "page_id bigint, url string, html string", "size": "50"}
+    path = services.recorded(t.pages.select("page_id", "url", "html"), "page_id")
+    options = {"client": "millrace.sources.services:Recorded", "path": path, "order": "page_id", "columns": "page_id bigint, url string, html string", "size": "50"}
     return reader.format(services.NAME).options(**options).option("partitions", 4)
 
 

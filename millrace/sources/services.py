@@ -14,16 +14,20 @@ stream's batch, default all that is there). Others are the client's.
 from __future__ import annotations
 
 import importlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import date
+from itertools import accumulate
 from typing import Protocol
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from millrace import schemas
 from millrace.sources.connectors import Clock, QuotaSpent, RateLimited
+from millrace.storage import shared_folder
 
 NAME = "millrace_service"
 
@@ -43,25 +47,69 @@ def client_of(options: dict[str, str]) -> Client:
     return getattr(importlib.import_module(module), factory)(options)
 
 
+def recorded(rows: DataFrame, order: str, group: int = 8 << 20) -> str:
+    """A folder in which `rows` lie in the order of a column, in row groups of about `group` bytes, for `Recorded`."""
+    path = shared_folder(rows.sparkSession)
+    rows.repartitionByRange(order).sortWithinPartitions(order).write.option("parquet.block.size", group).parquet(path)
+    return path
+
+
 class Recorded:
-    """A client over items that were recorded as a Parquet table, in the order of a column (option `order`)."""
+    """A client over items that were recorded as a Parquet table, in the order of a column (option `order`).
+
+    Row groups are placed by their counts where their ranges don't meet, so a call reads those alone that hold its items and one
+    is kept for the next call. Groups whose ranges meet are a run, of which the column is read as a whole.
+    """
 
     def __init__(self, options: dict[str, str]):
         import pyarrow.dataset as ds
 
-        self.table, self.order = ds.dataset(options["path"].removeprefix("file://"), format="parquet"), options["order"]
-        self.numbers: list | None = None
+        table, self.order = ds.dataset(options["path"].removeprefix("file://"), format="parquet"), options["order"]
+        self.names, groups = table.schema.names, []
+        for group in (g for file in table.get_fragments() for g in file.split_by_row_group()):
+            ends = (group.row_groups[0].statistics or {}).get(self.order, {})
+            exact = isinstance(ends.get("min"), (int, date)) and isinstance(ends.get("max"), (int, date))
+            groups.append((ends["min"], ends["max"], group) if exact else (None, None, group))
+        if any(least is None for least, _, _ in groups):
+            runs = [[g for _, _, g in groups]]
+        else:
+            runs, upto = [], None
+            for least, most, group in sorted(groups, key=lambda g: g[:2]):
+                if runs and least <= upto:
+                    runs[-1].append(group)
+                else:
+                    runs.append([group])
+                upto = most if upto is None else max(upto, most)
+        self.runs = runs
+        self.ends = list(accumulate(sum(g.row_groups[0].num_rows for g in run) for run in runs))
+        self.held, self.rows, self.numbers = None, None, None
 
     def count(self) -> int:
-        return self.table.count_rows()
+        return self.ends[-1] if self.ends else 0
 
     def items(self, first: int, last: int) -> list[dict]:
+        out, last = [], min(last, self.count())
+        while first < last:
+            run = bisect_right(self.ends, first)
+            begin, upto = self.ends[run - 1] if run else 0, min(last, self.ends[run])
+            out += self._of(run, first - begin, upto - begin)
+            first = upto
+        return out
+
+    def _of(self, run: int, first: int, last: int) -> list[dict]:
         import pyarrow.compute as pc
 
-        if self.numbers is None:
-            self.numbers = sorted(self.table.to_table(columns=[self.order])[self.order].to_pylist())
-        wanted = self.numbers[first:last]
-        rows = self.table.to_table(filter=pc.field(self.order).isin(wanted)).to_pylist() if wanted else []
+        groups = self.runs[run]
+        if self.held != run:
+            self.held = run
+            if len(groups) == 1:
+                self.rows = groups[0].to_table(columns=self.names, use_threads=False).sort_by(self.order)
+            else:
+                self.numbers = sorted(n for g in groups for n in g.to_table(columns=[self.order])[self.order].to_pylist())
+        if len(groups) == 1:
+            return self.rows.slice(first, last - first).to_pylist()
+        wanted = pc.field(self.order).isin(self.numbers[first:last])
+        rows = [r for g in groups for r in g.to_table(columns=self.names, filter=wanted, use_threads=False).to_pylist()]
         return sorted(rows, key=lambda r: r[self.order])
 
 

@@ -6,6 +6,8 @@ import random
 import sys
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
@@ -159,6 +161,26 @@ def test_service_as_a_stream_goes_on_where_it_was(spark, tmp_path):
     assert sorted(r["n"] for r in spark.read.parquet(f"file://{tmp_path}/rows").collect()) == list(range(60))
 
 
+def test_a_recorded_service_reads_what_a_call_asks_for(tmp_path):
+    """Row groups in order are reached by their counts, others don't have to be read; those that meet are put in order."""
+    numbers = list(range(0, 900, 3))
+    table = pa.table({"n": numbers, "s": [f"v{n}" for n in numbers]})
+    want = table.to_pylist()
+    pq.write_table(table, tmp_path / "a.parquet", row_group_size=100, compression="none", use_dictionary=False)
+    client = services.Recorded({"path": f"file://{tmp_path}/a.parquet", "order": "n"})
+    assert client.count() == 300 and client.items(95, 205) == want[95:205] and client.items(300, 300) == []
+    column = pq.ParquetFile(tmp_path / "a.parquet").metadata.row_group(0).column(0)
+    with open(tmp_path / "a.parquet", "r+b") as file:
+        file.seek(column.data_page_offset)
+        file.write(b"\xff" * column.total_compressed_size)
+    assert services.Recorded({"path": f"{tmp_path}/a.parquet", "order": "n"}).items(150, 230) == want[150:230]
+    (tmp_path / "b").mkdir()
+    for k in range(3):
+        pq.write_table(table.take([i for i in reversed(range(300)) if i < 200 and i % 2 == k or i >= 200 and k == 2]), tmp_path / f"b/{k}.parquet")
+    mixed = services.Recorded({"path": f"{tmp_path}/b", "order": "n"})
+    assert [r for at in range(0, 300, 70) for r in mixed.items(at, min(300, at + 70))] == want
+
+
 def test_ranges_are_whole_calls():
     for first, last, most, size in [(0, 95, 3, 10), (0, 0, 4, 10), (7, 8, 4, 10), (3, 1003, 7, 100), (0, 5, 9, 1)]:
         found = services.ranges(first, last, most, size)
