@@ -670,15 +670,13 @@ WITH seen AS (
 
 
 def _streamed(t: Tables) -> str:
-    """The rounds as a stream of three batches into a catalogue, in two runs: the second starts where the first has stopped."""
+    """The rounds as a stream into a catalogue, a run for each: the next starts where the one before has stopped. A run takes a round's files as one batch."""
     place = shared_folder(t.spark)
     observed = _observed(t).withColumn("round", F.floor(F.col("seq") / 1_000_000_000).cast("int"))
     with page_stream.keyed_state(t.spark):
-        for rounds in ((0, 1), (2,)):
-            for number in rounds:
-                rows = observed.where(F.col("round") == number).drop("round")
-                rows.coalesce(1).write.parquet(f"{place}/in/{number}")  # one file, so one batch
-            source = t.spark.readStream.schema(page_stream.EVENT).option("maxFilesPerTrigger", 1).parquet(f"{place}/in/*")
+        for number in range(3):
+            observed.where(F.col("round") == number).drop("round").write.parquet(f"{place}/in/{number}")
+            source = t.spark.readStream.schema(page_stream.EVENT).parquet(f"{place}/in/*")
             page_stream.catalogue_sink(page_stream.memoised(source, _titles), f"{place}/out", f"{place}/state").awaitTermination()
     return f"{place}/out"
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 
+from millrace import queries
 from millrace.sources import connectors, files, services
 from millrace.operators import merging
 from millrace.streaming import gate, logs, pages
@@ -311,6 +312,67 @@ class Time:
     getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: self.at
 
 
+class Memos(Store):
+    def exists(self):
+        self.asked += 1
+        return bool(self.rows)
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.rows.get(key)
+
+
+def test_pages_of_a_group_share_calls_and_frames():
+    """Three batches of a group of 50 pages: one question whether anything is known, then a look-up of each page, and a write only where it gave something new."""
+    memos, names = Memos(), [x.split()[0] for x in pages.EVENT.split(", ")]
+    processor = pages.PageMemo(words)
+    processor.init(memos)
+    rows, asked = [], []
+    for batch, mark in enumerate(["f1", "f1", "f2"]):
+        part = [(f"h{i % 50}", 100 * batch + i, "u", "A", "t", f"a{batch}", mark) for i in range(100)]
+        frames = [pd.DataFrame(x, columns=names) for x in (part[40:], part[:40])]
+        before = memos.asked
+        (got,) = processor.handleInputRows((7,), iter(frames), None)
+        rows += map(tuple, got.itertuples(index=False))
+        asked.append(memos.asked - before)
+    want = plain([(f"h{i % 50}", 100 * b + i, "u", "A", "t", f"a{b}", m) for b, m in enumerate(["f1", "f1", "f2"]) for i in range(100)])[0]
+    assert rows == want
+    assert asked == [1 + 50, 1 + 50, 1 + 50 + 50]
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_pages_that_share_a_group_keep_their_own_memos(spark, tmp_path, groups):
+    """Failures, a page without a hash, and a restart after each batch."""
+    (tmp_path / "in").mkdir()
+    rows = [(None if r[0] == "h3" else r[0], *r[1:]) for r in observations(random.Random(5), 90, True)]
+    for number in range(3):
+        put(tmp_path / "in", number, rows[number * 30 : number * 30 + 30])
+        source = spark.readStream.schema(pages.EVENT).json(f"file://{tmp_path}/in")
+        with pages.keyed_state(spark):
+            run = pages.memoised(source, words, groups=groups).writeStream.format("parquet").option("path", f"file://{tmp_path}/out")
+            run.option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(pages.EARLY).parquet(f"file://{tmp_path}/out")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(plain(rows)[0], key=repr)
+
+
+def test_a_round_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """A table in four files reaches the stream in four, and the catalogue is that of the batch plan."""
+    part = [(i, f"http://c{i % 3}.x/t{i % 2}/{i}", f"<h1>{i}</h1>" if i % 4 else "none") for i in range(40)]
+    spark.createDataFrame(part, "page_id bigint, url string, html string").repartition(4).write.parquet(f"file://{tmp_path}/pages.parquet")
+    size = spark.conf.get("spark.sql.files.openCostInBytes")
+    monkeypatch.setattr(queries, "shared_folder", lambda _: f"file://{tmp_path}/shared")
+    spark.conf.set("spark.sql.files.openCostInBytes", "512m")  # a task for each file
+    try:
+        found = queries.QUERIES["incremental_catalogue"](spark, f"file://{tmp_path}")
+        early = pages.recomputed(queries._observed(queries.Tables(spark, f"file://{tmp_path}")), queries._titles)
+        last = early.groupBy("city", "topic", "url_hash").agg(F.max_by(F.coalesce(F.get_json_object("records", "$[0].name"), F.lit("")), "seq").alias("name"))
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, last.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", size)
+    for number in range(3):
+        assert len(list((tmp_path / "shared").glob(f"in/{number}/part-*"))) == 4
+
+
 def test_a_gate_asks_its_state_by_entries_not_by_requests(tmp_path):
     """Half of a batch waits for a timer; a quota is spent then, and what comes afterwards doesn't reach the state at all."""
     store = Store()
