@@ -15,7 +15,7 @@ from millrace.functions import text as T
 from millrace.operators import dedupe, merging
 from millrace.plans import acquire, cache, enrich, extract, serving
 from millrace.sources import connectors, services
-from millrace.storage import shared_folder
+from millrace.storage import removed_folder, shared_folder
 from millrace.streaming import gate, logs
 from millrace.streaming import pages as page_stream
 
@@ -670,7 +670,7 @@ WITH seen AS (
 
 
 def _streamed(t: Tables) -> str:
-    """The rounds as a stream into a catalogue, a run for each: the next starts where the one before has stopped. A run takes a round's files as one batch."""
+    """The rounds as a stream into a catalogue, a run for each: the next starts where the one before has stopped. A run takes a round's files as one batch; they go once it is over."""
     place = shared_folder(t.spark)
     observed = _observed(t).withColumn("round", F.floor(F.col("seq") / 1_000_000_000).cast("int"))
     with page_stream.keyed_state(t.spark):
@@ -678,6 +678,7 @@ def _streamed(t: Tables) -> str:
             observed.where(F.col("round") == number).drop("round").write.parquet(f"{place}/in/{number}")
             source = t.spark.readStream.schema(page_stream.EVENT).parquet(f"{place}/in/*")
             page_stream.catalogue_sink(page_stream.memoised(source, _titles), f"{place}/out", f"{place}/state").awaitTermination()
+            removed_folder(t.spark, f"{place}/in/{number}")
     return f"{place}/out"
 
 
